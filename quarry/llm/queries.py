@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality
+from quarry.llm import mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +43,37 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 7) = 0 AS kept, fail_bits FROM b
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_quality_ledger": op4_quality_ledger}
-ORACLES: dict[str, str] = {"op4_quality_ledger": OP4_SQL}
+def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle_documents(_table(spark, sf_dir, "documents"), 24)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len([x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''])::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT] AS w, 3 * source_size AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / sum(w) OVER (ORDER BY cap::DOUBLE / w, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT min(level) FROM l WHERE cap::DOUBLE / w >= level)) AS target FROM l),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+c AS (
+  SELECT d.doc_id, d.size, f.source_size, f.target, f.whole, CASE WHEN f.source_size > 0 THEN f.target - f.whole * f.source_size ELSE 0 END AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS here
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, target,
+       (size * least(3, whole + CASE WHEN upto <= rest OR (upto - here <= rest AND upto - rest < rest - (upto - here)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_ledger": op4_quality_ledger,
+    "op5_hypergeometric_shards": op5_hypergeometric_shards,
+    "op7_mix_sources": op7_mix_sources,
+}
+ORACLES: dict[str, str] = {"op4_quality_ledger": OP4_SQL, "op7_mix_sources": OP7_SQL}

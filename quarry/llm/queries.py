@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, quality, sharding
+from quarry.llm import mixing, quality, sharding, simhash
+from quarry.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,9 +73,15 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
+def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_ledger": op4_quality_ledger,
     "op5_hypergeometric_shards": op5_hypergeometric_shards,
     "op7_mix_sources": op7_mix_sources,
+    "op8_simhash_variants": op8_simhash_variants,
 }
 ORACLES: dict[str, str] = {"op4_quality_ledger": OP4_SQL, "op7_mix_sources": OP7_SQL}

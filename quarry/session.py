@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows and bytes that a Python worker gets at once: long texts stay bounded.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 
@@ -29,10 +32,13 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors, once per context.
+    """Hands this package to the executors, once per context, and bounds what a Python worker gets at once.
 
     A cluster that has it installed, or got it by --py-files, loses nothing.
     """
+    for key in SETTINGS:
+        if ".arrow.max" in key:
+            spark.conf.set(key, SETTINGS[key])
     context = spark.sparkContext
     if getattr(context, "_quarry_shipped", False):
         return

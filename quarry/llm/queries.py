@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, quality, sharding, simhash
+from quarry.llm import mixing, quality, sharding, simhash, token_files, warc
 from quarry.session import ship
 
 
@@ -16,6 +17,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicate_pages(spark, _table(spark, sf_dir, "pages"))
+
+
+def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_files.encode_and_read_back(spark, docs, public_tokenizers.path("word_bpe_49k.json"), 1, True)
+
+
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.ledger(_table(spark, sf_dir, "documents"))
     return quality.apply_policy(led, quality.V1).select(
@@ -79,8 +89,10 @@ def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_revisits": op2_warc_revisits,
     "op4_quality_ledger": op4_quality_ledger,
     "op5_hypergeometric_shards": op5_hypergeometric_shards,
+    "op6_token_frames": op6_token_frames,
     "op7_mix_sources": op7_mix_sources,
     "op8_simhash_variants": op8_simhash_variants,
 }

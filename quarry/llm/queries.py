@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, quality, sharding, simhash, token_files, warc
+from quarry.llm import brown_lm, jpeg, mixing, packing, quality, sharding, simhash, token_files, warc
 from quarry.session import ship
 
 
@@ -26,6 +26,18 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read_back(spark, docs, public_tokenizers.path("word_bpe_49k.json"), 1, True)
 
 
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(jpeg.encode_media(_table(spark, sf_dir, "documents")))
+
+
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.ledger(_table(spark, sf_dir, "documents"))
     return quality.apply_policy(led, quality.V1).select(
@@ -90,10 +102,13 @@ def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
+    "op3_bm25_packing": op3_bm25_packing,
     "op4_quality_ledger": op4_quality_ledger,
     "op5_hypergeometric_shards": op5_hypergeometric_shards,
     "op6_token_frames": op6_token_frames,
     "op7_mix_sources": op7_mix_sources,
     "op8_simhash_variants": op8_simhash_variants,
+    "op9_brown_lm": op9_brown_lm,
+    "op10_jpeg_media": op10_jpeg_media,
 }
 ORACLES: dict[str, str] = {"op4_quality_ledger": OP4_SQL, "op7_mix_sources": OP7_SQL}

@@ -41,9 +41,10 @@ def hash60(doc_id: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
     """From ``source, source_size``: with ``target``, the level where shares by weight meet the caps.
 
-    Sources reach their caps in the order of cap / weight.  The level is the
-    first of: what is left over, divided by the weights left over, that the next
-    cap does not undercut.  One row per source, so one task is enough.
+    Sources reach their caps in the order of cap / weight.  Behind each number of
+    capped sources, what is left over divided by the weights left over rises as
+    long as the next source is to be capped and falls afterwards, so the level
+    is its maximum.  One row per source, so one task is enough.
     """
     order = W.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
     cycle = F.array(*map(F.lit, weights))
@@ -53,9 +54,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     before, rest = by_ratio.rowsBetween(W.unboundedPreceding, -1), by_ratio.rowsBetween(0, W.unboundedFollowing)
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     levels = ranked.withColumn("level", left.cast("double") / F.sum("w").over(rest))
-    fits = F.when(F.col("cap").cast("double") / F.col("w") >= F.col("level"), F.col("level"))
-    return levels.withColumn("fits", F.min(fits).over(everything)).select(
-        "source", "source_size", F.least(F.col("cap").cast("double"), F.col("fits") * F.col("w")).alias("target")
+    return levels.withColumn("level", F.max("level").over(everything)).select(
+        "source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target")
     )
 
 

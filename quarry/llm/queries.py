@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import brown_lm, jpeg, mixing, packing, quality, sharding, simhash, token_files, warc
+from quarry.llm import brown_lm, jpeg, mixing, packing, quality, sharding, simhash, token_files, toxicity, warc
 from quarry.session import ship
 
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicate_pages(spark, _table(spark, sf_dir, "pages"))
 
@@ -84,7 +88,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT] AS w, 3 * source_size AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
         / sum(w) OVER (ORDER BY cap::DOUBLE / w, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-t AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT min(level) FROM l WHERE cap::DOUBLE / w >= level)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT max(level) FROM l)) AS target FROM l),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 c AS (
   SELECT d.doc_id, d.size, f.source_size, f.target, f.whole, CASE WHEN f.source_size > 0 THEN f.target - f.whole * f.source_size ELSE 0 END AS rest,
@@ -101,6 +105,7 @@ def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_lexicon": op1_toxicity_lexicon,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_bm25_packing": op3_bm25_packing,
     "op4_quality_ledger": op4_quality_ledger,

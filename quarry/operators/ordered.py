@@ -49,7 +49,7 @@ def runs(df: DataFrame, test: Column, by: Sequence[str], order: str) -> DataFram
 
 def trailing_counts(df: DataFrame, by: Sequence[str], ts: str, seconds: Sequence[int]) -> DataFrame:
     """``n_<s>``: rows of the key in the s seconds up to and including this one (both ends count)."""
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     df = df.withColumn("_at", at)
     over = lambda s: F.count("*").over(W.partitionBy(*by).orderBy("_at").rangeBetween(-s * 1_000_000, 0))
     return df.withColumns({f"n_{s}": over(s) for s in seconds}).drop("_at")

@@ -1,8 +1,8 @@
 """Registered queries, and the semantic layer."""
 
-from quarry.plans import relational_queries
+from quarry.plans import ordered_queries, relational_queries, text_queries
 from quarry.plans.registry import Registry
 
 REGISTRY = Registry()
-for _part in (relational_queries,):
+for _part in (relational_queries, text_queries, ordered_queries):
     REGISTRY.update(_part.R)

@@ -134,7 +134,7 @@ def join_capped(parts: Column, cap: int) -> Column:
         over = F.length(longer) > cap
         return F.struct(F.when(a.full | over, a.out).otherwise(longer).alias("out"), (a.full | over).alias("full"))
 
-    kept = F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p != "")
     return F.aggregate(kept, start, step, lambda a: a.out)
 
 

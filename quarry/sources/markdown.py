@@ -133,7 +133,7 @@ def tables(files: DataFrame, heading: str) -> DataFrame:
     found = rows.join(ended, "path", "left").where(F.col("cell_row") & (F.col("next").isNull() | (F.col("n") < F.col("next"))))
     first = found.groupBy("path").agg(F.min_by("block", "n").alias("block"))
     data = found.join(first, ["path", "block"]).where(~F.col("line").rlike(r"^\s*\|[\s:|-]+\|\s*$"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     return data.withColumn("row", F.row_number().over(_w("path")) - 1).where("row > 0").select("path", "row", cells.alias("cells"))
 
 
@@ -146,7 +146,7 @@ def _w(*by: str):
 def top_tutorials(table: DataFrame) -> DataFrame:
     """rank, tutorials (back-ticked names, a/b/c expanded), citations and what is tested."""
     cell = lambda k: F.get("cells", F.lit(k))
-    slugs = F.filter(F.transform(F.flatten(F.transform(F.regexp_extract_all(cell(1), F.lit("`([^`]+)`"), F.lit(1)), lambda x: F.split(x, "/"))), F.trim), lambda s: s != "")
+    slugs = F.filter(F.transform(F.flatten(F.transform(F.regexp_extract_all(cell(1), F.lit("`([^`]+)`"), F.lit(1)), lambda x: F.split(x, "/"))), lambda x: F.trim(x)), lambda s: s != "")
     return table.select("path", "row", T.first_int(cell(0), r"(\d+)").alias("rank"), F.get(slugs, F.lit(0)).alias("tutorial"), slugs.alias("tutorials"), T.first_int(cell(2), r"(\d+)").alias("citations"), F.nullif(cell(3), F.lit("")).alias("what_it_tests"))
 
 
@@ -208,7 +208,7 @@ def tutorial_rows(files: DataFrame, cap: int = 4000) -> DataFrame:
 
 def phrasing_rows(tutorials: DataFrame) -> DataFrame:
     """Golden rows from phrasings: one per distinct phrasing of a slug, numbered in order."""
-    each = tutorials.where("error IS NULL").select("slug", "topic", F.posexplode(F.array_distinct(F.transform("phrasings", F.trim))).alias("i", "question_text")).where("question_text <> ''")
+    each = tutorials.where("error IS NULL").select("slug", "topic", F.posexplode(F.array_distinct(F.transform("phrasings", lambda x: F.trim(x)))).alias("i", "question_text")).where("question_text <> ''")
     number = F.lpad((F.col("i") + 1).cast("string"), 3, "0")
     return each.select(F.concat_ws("-", F.lit("phr"), "slug", number).alias("eval_id"), "question_text", F.col("slug").alias("expected_slug"), F.lit("phrasings").alias("source"), T.phrasing_difficulty(F.col("question_text"), F.col("topic")).alias("difficulty"))
 

@@ -30,6 +30,19 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read_back(spark, docs, public_tokenizers.path("word_bpe_49k.json"), 1, True)
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(payload), 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1) FOR k IN range(0, 32)], '') AS payload_digest
+  FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM m
+"""
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -116,4 +129,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_brown_lm": op9_brown_lm,
     "op10_jpeg_media": op10_jpeg_media,
 }
-ORACLES: dict[str, str] = {"op4_quality_ledger": OP4_SQL, "op7_mix_sources": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op4_quality_ledger": OP4_SQL, "op7_mix_sources": OP7_SQL}

@@ -99,3 +99,20 @@ BREAKER_FAILURES, BREAKER_WINDOW, BREAKER_OPEN = 5, 60, 300
 SPEND_CAPS = {"anonymous": 0.50, "free": 2.00, "global": 5.00}
 CACHE_TTL_DAYS, SINK_ROWS, SINK_SECONDS, AUDIO_CHUNK_SECONDS = 30, 100, 30, 900
 PLACEHOLDERS = ["TBD", "tbd", "???", "TODO", "FIXME", "XXX"]
+
+# What makes a figure worth drawing, as patterns in a question or slug prefixes.
+GRAPH_PATTERNS = [
+    r"\bsketch\b", r"\bgraph\b", r"\bplot\b", r"\binequalit\w*\b", r"\bshapes?\s+of\b", r"\bmodulus\b", r"\bvenn\b", r"\bargand\b", r"\bargument\b",
+    r"\bmodulus and argument\b", r"\bpolar form\b", r"\bmutually exclusive\b", r"\bconditional probabilit\w*\b", r"\bindependent events?\b", r"\bdraw\b",
+    r"\bbehaviour at infinity\b", r"\bbehavior at infinity\b", r"\bturning point\b", r"\bturning points\b", r"\basymptote\b", r"\basymptotes\b", r"\bcurve\b",
+    r"\bvisualise\b", r"\bvisualize\b", r"\bwhat does .* look like\b",
+]
+GRAPH_PREFIXES = ["functions-graphs-", "trigonometry-", "statistics-", "indices-logs-", "differentiation-"]
+
+# The anchor override, evidence, and costs.
+ANCHOR_STOPWORDS = "explain describe tell about what are the with from this that have does where when which give list".split()
+ANCHOR_FLOOR, ANCHOR_LENGTH, EVIDENCE_CHUNKS, DWELL_MS = 0.01, 4, 4, 1500
+SNIPPETS = {"tutorials": 2000, "solutions": 2200, "summaries": 800}
+EUR_PER_USD, FALLBACK_EUR = 0.92, 0.0005
+#: Of a model class: USD for a million input and output tokens, or for a call.
+PRICES = {"small": (1.0, 5.0, None), "large": (3.0, 15.0, None), "warehouse": (None, None, 0.0005), "analyst": (None, None, 0.001), "none": (None, None, 0.0002)}

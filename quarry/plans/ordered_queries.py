@@ -128,7 +128,7 @@ def cap_crossing(t) -> DataFrame:
 
 @R.query("recent_7d", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' - INTERVAL 7 DAYS")
 def recent_7d(t) -> DataFrame:
-    return t.events.where(c("ts") >= F.lit("2024-01-29").cast("timestamp") - F.expr("INTERVAL 7 DAYS")).select("event_id")
+    return t.events.where(c("ts") >= F.lit("2024-01-29").cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")).select("event_id")
 
 
 @R.query("warm_window", "SELECT hour(ts + INTERVAL 1 HOUR) AS hour, count(*) AS n FROM events WHERE hour(ts + INTERVAL 1 HOUR) >= 8 AND hour(ts + INTERVAL 1 HOUR) < 22 GROUP BY 1")

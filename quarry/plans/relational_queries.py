@@ -73,15 +73,31 @@ def by_tag_explode(t) -> DataFrame:
     "SELECT coalesce(r.s, p.s) AS segment, coalesce(p.prior, 0) AS prior_orders, coalesce(r.recent, 0) AS recent_orders, coalesce(r.recent, 0) - coalesce(p.prior, 0) AS delta FROM r FULL OUTER JOIN p USING (s)",
 )
 def strand_growth(t) -> DataFrame:
-    joined = t.orders.join(t.customer, c("o_custkey") == c("c_custkey")).select(c("c_mktsegment").alias("segment"), F.year("o_orderdate").alias("y"))
-    era = lambda a, b, n: joined.where(c("y").between(a, b)).groupBy("segment").agg(F.count("*").alias(n))
-    both = era(1998, 2001, "recent_orders").join(era(1995, 1997, "prior_orders"), "segment", "full_outer").na.fill(0, ["recent_orders", "prior_orders"])
-    return both.select("segment", "prior_orders", "recent_orders", (c("recent_orders") - c("prior_orders")).alias("delta"))
+    # Counts of both eras in one scan, summed by customer before the join, whose exchange they share.
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    d = c("o_orderdate")
+    recent, prior = d.between(at("1998-01-01"), at("2001-12-31 23:59:59.999999")), d.between(at("1995-01-01"), at("1997-12-31 23:59:59.999999"))
+    by_customer = t.orders.where(recent | prior).groupBy("o_custkey").agg(F.count_if(prior).alias("p"), F.count_if(recent).alias("r"))
+    joined = by_customer.join(t.customer, c("o_custkey") == c("c_custkey"))
+    sums = joined.groupBy(c("c_mktsegment").alias("segment")).agg(F.sum("p").alias("prior_orders"), F.sum("r").alias("recent_orders"))
+    return sums.withColumn("delta", c("recent_orders") - c("prior_orders"))
+
+
+@R.query(
+    "era_outer_join",
+    "WITH r AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1), p AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1) "
+    "SELECT k AS o_custkey, coalesce(p.n, 0) AS prior_orders, coalesce(r.n, 0) AS recent_orders FROM r FULL OUTER JOIN p USING (k)",
+)
+def era_outer_join(t) -> DataFrame:
+    era = lambda test, n: t.orders.where(test).groupBy("o_custkey").agg(F.count("*").alias(n))
+    d = c("o_orderdate")
+    p, r = era(d < F.lit("1996-01-01").cast("timestamp_ntz"), "prior_orders"), era(d >= F.lit("1998-01-01").cast("timestamp_ntz"), "recent_orders")
+    return p.join(r, "o_custkey", "full_outer").na.fill(0, ["prior_orders", "recent_orders"])
 
 
 @R.query("count_filtered", "SELECT count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999 AND o_orderstatus = 'F' AND (o_orderpriority ILIKE '%high%' OR o_orderpriority ILIKE '%urgent%')")
 def count_filtered(t) -> DataFrame:
-    era = (c("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")) & (c("o_orderdate") < F.lit("2000-01-01").cast("timestamp"))
+    era = (c("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (c("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
     return t.orders.where(era & (c("o_orderstatus") == "F") & (c("o_orderpriority").ilike("%high%") | c("o_orderpriority").ilike("%urgent%"))).agg(F.count("*").alias("n"))
 
 
@@ -113,7 +129,7 @@ def top_cited(t) -> DataFrame:
 
 @R.query("heavy_filter", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_quantity >= 45 AND l_returnflag = 'R' AND l_discount < 0.05")
 def heavy_filter(t) -> DataFrame:
-    return t.lineitem.where((c("l_shipdate") >= F.lit("1999-01-01").cast("timestamp")) & (c("l_quantity") >= 45) & (c("l_returnflag") == "R") & (c("l_discount") < 0.05)).select("l_orderkey", "l_linenumber", "l_quantity")
+    return t.lineitem.where((c("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz")) & (c("l_quantity") >= 45) & (c("l_returnflag") == "R") & (c("l_discount") < 0.05)).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 def line_model(t) -> Model:

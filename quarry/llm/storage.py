@@ -17,17 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session.
 
-    A local master without the setting gets a fresh folder of its own; on a
-    cluster the setting is required, since local folders are not shared there.
+    A local master without the setting gets one fresh folder; on a cluster the
+    setting is required, since local folders are not shared there.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if not hasattr(context, "_quarry_folder"):
+        context._quarry_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return context._quarry_folder
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

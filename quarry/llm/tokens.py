@@ -1,21 +1,30 @@
-"""Token ids of texts, by the tokenizers library with a cache of text parts.
-
-A text is cut where its tokenizer always ends a token, parts are encoded once
-per worker, and the ids of a text are those of its parts in order.  The cut is
-white space for a tokenizer that drops it, and before a single space for a
-byte-level one, whose tokens hold a space at their start only.  Texts with
-adjacent spaces are encoded whole by the latter.
+"""Token ids of texts, by the tokenizers library with caches of text parts.
+
+A text is cut where its tokenizer always ends a token: at white space for a
+tokenizer that drops it, and before a single space for a byte-level one, whose
+tokens hold a space at their start only.  A part that a worker has not seen is
+cut into the pieces that the vocabulary's own pattern gives, and pieces go to
+the library's BPE model, each once.  Parts and pieces of other kinds (text that
+normalisation may change, strings of special tokens), and texts with adjacent
+spaces for the byte-level tokenizer, are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import itertools
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 
-import numpy as np
+import regex
+from public_tokenizers import PATTERN
 
-#: Parts that a worker remembers before it starts anew; some 200 bytes each.
-CACHE_PARTS = 900_000
+#: Parts and pieces that a worker remembers, some 200 bytes each; then it forgets the later
+#: half, in which the rare ones are.
+CACHE_PARTS, CACHE_PIECES = 900_000, 250_000
+#: How a tokenizer that drops white space cuts normalised text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_symbols() -> dict[int, str]:
@@ -28,8 +37,15 @@ def byte_symbols() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(other)}}
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PartEncoder:
-    """``ids(text)``: little-endian ids of a text, two bytes each (vocabularies of up to 65,536)."""
+    """``batch(texts)``: little-endian ids, two bytes each (vocabularies of up to 65,536)."""
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
@@ -37,48 +53,57 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids need more than two bytes")
-        self.drops_space, self.known = drops_space, {}
-        self.symbols = {b: c for b, c in byte_symbols().items()}
-
-    def _whole(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _learn(self, parts: Iterable[str]) -> None:
-        """Runs of Latin letters are one piece before merging, so the merges are asked directly."""
-        rest, model, symbols = [], self.tokenizer.model, self.symbols
-        for p in parts:
-            core = p if self.drops_space else p[1:]
-            if core.isalpha() and (self.drops_space or p[0] == " ") and max(core) < "ɐ":
-                if self.drops_space:
-                    plain = unicodedata.normalize("NFC", core).lower()
-                    piece = plain if plain.isascii() else None if not plain.isalpha() else "".join(symbols[b] for b in plain.encode())
-                else:
-                    piece = "".join(symbols[b] for b in p.encode())
-                if piece:
-                    self.known[p] = np.array([t.id for t in model.tokenize(piece)], dtype="<u2").tobytes()
-                    continue
-            rest.append(p)
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            self.known.update(zip(some, self._whole(some), strict=True))
-
-    def _parts(self, text: str) -> list[str]:
+        self.drops_space, self.known, self.pieces = drops_space, {"": b""}, {}
+        self.symbols, self.model = byte_symbols(), self.tokenizer.model
+        self.cut = regex.compile(WORD_PATTERN if drops_space else PATTERN).findall
+
+    def _whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is None:
+            plain = piece.isascii() and piece.isalpha()
+            tokens = self.model.tokenize(piece if plain else "".join([self.symbols[b] for b in piece.encode()]))
+            ids = self.pieces[piece] = packed([t.id for t in tokens])
+        return ids
+
+    def _learn(self, part: str) -> bytes:
+        text = part
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
+            # Lower case depends on the library but for Latin letters.
+            if max(part) >= "ɐ" or "İ" in part:
+                return self._whole(part)
+            text = unicodedata.normalize("NFC", part).lower()
+        if "<|" in text:
+            return self._whole(part)
+        return b"".join([self._piece(p) for p in self.cut(text)])
+
+    def _spaced(self, parts: list[str]) -> bytes:
+        """Ids of parts that follow a space, which their keys leave out; or of parts without white space."""
+        get = self.known.get
+        try:
+            return b"".join(map(get, parts))
+        except TypeError:
+            for p in parts:
+                if p not in self.known:
+                    self.known[p] = self._learn(p if self.drops_space else " " + p)
+            return b"".join(map(get, parts))
+
+    def _encode(self, text: str) -> bytes:
+        if self.drops_space:
+            return self._spaced(text.replace("\n", " ").split(" "))
+        if "  " in text or text.endswith(" "):
+            return self._whole(text)
         first, *others = text.split(" ")
-        return ([first] if first else []) + [" " + p for p in others]
+        return (self._learn(first) if first else b"") + self._spaced(others)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.drops_space and "  " in t for t in texts]
-        parts = [[] if w else self._parts(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > CACHE_PARTS:
-            self.known.clear()
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        if new := {q for p, f in zip(parts, found, strict=True) if None in f for q, x in zip(p, f, strict=True) if x is None}:
-            self._learn(new)
-            found = [list(map(get, p)) if None in f else f for p, f in zip(parts, found, strict=True)]
-        return [self._whole([t])[0] if w else b"".join(f) for t, w, f in zip(texts, whole, found, strict=True)]
+        for held, most in ((self.known, CACHE_PARTS), (self.pieces, CACHE_PIECES)):
+            if len(held) > most:
+                kept = list(itertools.islice(held.items(), most // 2))
+                held.clear()
+                held.update(kept)
+        return [self._encode(t) for t in texts]
 
 
 _encoders: dict[tuple[str, bool], PartEncoder] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import ordered
+from quarry.plans.ordered_queries import LIMITER_SQL
 from quarry.plans.registry import Registry
 from quarry.sources import markdown
 from quarry.streaming import gates, jobs
@@ -48,10 +49,10 @@ def strip_generated_block(t) -> DataFrame:
 
 @R.query("streaming_daily_spend", "SELECT event_type, ts::DATE::VARCHAR AS day, round(sum(value), 4) AS spend FROM events GROUP BY 1, 2")
 def streaming_daily_spend(t) -> DataFrame:
-    return jobs.run_to_table(t, "events", jobs.daily_spend)
+    return jobs.run_to_table(t, "events", jobs.daily_spend, complete=True)
 
 
-@R.query("streaming_limiter", None)
+@R.query("streaming_limiter", f"SELECT event_id, user_id, decision FROM ({LIMITER_SQL}) JOIN events USING (event_id)")
 def streaming_limiter(t) -> DataFrame:
     return jobs.run_to_table(t, "events", gates.stream_limiter)
 

@@ -213,12 +213,40 @@ def rerank_pool(t) -> DataFrame:
     return V.rerank(pool, pairs, lexical_logit, rules.TOP_K)
 
 
-@R.query("rewrite_aware")
+_ANY_WORDS = "[x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF x <> '']"
+
+
+def bm25_ctes(p: str, queries: str, docs: str = "true", tokens: str = _WORDS, k: int = 5) -> str:
+    """CTEs, named with a prefix, up to the k best documents of each query."""
+    steps = {
+        "q": f"SELECT query_id, unnest(list_distinct({tokens})) AS term FROM ({queries})",
+        "d": f"SELECT doc_id, {tokens} AS terms FROM documents WHERE {docs}",
+        "s": f"SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM {p}d",
+        "e": f"SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM {p}d",
+        "t": f"SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM {p}e WHERE term IN (SELECT term FROM {p}q) GROUP BY 1, 2",
+        "f": f"SELECT term, count(*) AS df FROM {p}t GROUP BY 1",
+        "w": f"SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) AS w FROM {p}t JOIN {p}f USING (term), {p}s",
+        "b": f"SELECT query_id, doc_id, round(sum(w), 6) AS score FROM {p}q JOIN {p}w USING (term) GROUP BY 1, 2",
+        "r": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {p}b) WHERE rank <= {k}",
+    }
+    return ", ".join(f"{p}{name} AS ({sql})" for name, sql in steps.items())
+
+
+_ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
+_SHORT = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM benchmark"
+
+
+@R.query(
+    "rewrite_aware",
+    f"WITH {bm25_ctes('p', _ITEMS)}, {bm25_ctes('r', _SHORT)}, f AS (SELECT item_id AS query_id, CASE WHEN length(text) < 200 THEN 'iter1' WHEN length(text) < 260 THEN 'fallback' ELSE 'none' END AS m FROM benchmark), "
+    "c AS (SELECT f.query_id FROM f LEFT JOIN pr ON pr.query_id = f.query_id AND pr.rank = 1 LEFT JOIN rr ON rr.query_id = f.query_id AND rr.rank = 1 WHERE (m = 'iter1' AND coalesce(rr.score, -1) >= 0) OR (m = 'fallback' AND coalesce(pr.score, 0) < 0.3 AND coalesce(rr.score, -1) >= coalesce(pr.score, 0))) "
+    "SELECT query_id, doc_id, rank FROM pr WHERE query_id NOT IN (SELECT query_id FROM c) UNION ALL SELECT query_id, doc_id, rank FROM rr WHERE query_id IN (SELECT query_id FROM c)",
+)
 def rewrite_aware(t) -> DataFrame:
     shorter = _items(t).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 12), " "))
     rewritten = V.ranked(V.bm25_scores(shorter, t.documents.select("doc_id", "text"), words), 5)
     firing = _items(t).select("query_id", F.when(F.length("text") < 200, "iter1").when(F.length("text") < 260, "fallback").otherwise("none").alias("mechanism"))
-    return V.rewrite_aware(_bm25(t, 5), rewritten, firing)
+    return V.rewrite_aware(_bm25(t, 5), rewritten, firing).select("query_id", "doc_id", "rank")
 
 
 @R.query("failure_buckets")

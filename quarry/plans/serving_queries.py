@@ -11,7 +11,7 @@ from quarry.operators import evaluation as E
 from quarry.operators import retrieval as V
 from quarry.operators import serving as S
 from quarry.plans.registry import Registry
-from quarry.plans.retrieval_queries import _ROWS, _bm25, _golden_rows, _items
+from quarry.plans.retrieval_queries import _ANY_WORDS, _ITEMS, _ROWS, _bm25, _golden_rows, _items, bm25_ctes
 from quarry.plans.text_queries import ROUTE_SQL, _matches
 
 R = Registry()
@@ -121,12 +121,16 @@ def prompts(t) -> DataFrame:
     return S.prompts(_items(t).withColumn("route", T.classify(c("text"))), hits)
 
 
-@R.query("fan_out")
+@R.query(
+    "fan_out",
+    f"WITH {bm25_ctes('t', _ITEMS, "lang = 'en'", _ANY_WORDS)}, {bm25_ctes('s', _ITEMS + ' WHERE length(text) >= 200', "lang = 'de'", _ANY_WORDS)} "
+    "SELECT query_id, doc_id, rank, 'tutorials' AS surface FROM tr UNION ALL SELECT query_id, doc_id, rank, 'summaries' FROM sr",
+)
 def fan_out(t) -> DataFrame:
     queries = _items(t).withColumn("route", F.when(F.length("text") < 200, "concept").otherwise("summary_request"))
     docs = lambda lang: t.documents.where(c("lang") == lang).select("doc_id", "text")
     search = lambda lang: lambda q: V.ranked(V.bm25_scores(q.select("query_id", "text"), docs(lang), T.tokens), 5)
-    return S.fan_out(queries, {"tutorials": search("en"), "summaries": search("de")}, {"concept": ["tutorials"], "summary_request": ["tutorials", "summaries"]})
+    return S.fan_out(queries, {"tutorials": search("en"), "summaries": search("de")}, {"concept": ["tutorials"], "summary_request": ["tutorials", "summaries"]}).drop("score")
 
 
 @R.query("guardrail", "SELECT doc_id, (n_chars < 300 OR n_chars / 10000.0 < 0.3) AND lang <> 'en' AS guarded FROM documents")

@@ -20,7 +20,7 @@ def work_folder(spark: SparkSession, tag: str) -> str:
     """A new folder below spark.checkpoint.dir; on a local master without it, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -29,10 +29,14 @@ def work_folder(spark: SparkSession, tag: str) -> str:
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
     """A table of the folder as a stream of files; times as timestamps, for watermarks."""
     path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet")
-    is_file = spark.read.format("binaryFile").load(path).select("path").limit(2).count() == 1 and spark.read.format("binaryFile").load(path).first()["path"].endswith(f"/{name}.parquet")
-    rows = stream.parquet(folder).where(F.input_file_name().endswith(f"/{name}.parquet")) if is_file else stream.parquet(path)
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+    files = table.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        # A stream reads folders, so a table of one file is picked from its folder by name.
+        rows = stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    else:
+        rows = stream.parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
@@ -48,22 +52,29 @@ def distinct_days(events: DataFrame) -> DataFrame:
     return keyed.dropDuplicates(["user_id", "event_type", "day"]).select("user_id", "event_type", F.to_date("day").cast("string").alias("day"))
 
 
-def run_to_table(t, name: str, job: Callable[[DataFrame], DataFrame], mode: str | None = None) -> DataFrame:
-    spark = t.spark
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    where = work_folder(spark, "stream")
-    out = job(read_stream(spark, t.folder, name))
-    final = mode or ("complete" if job is daily_spend else "append")
-    if final == "complete":
-        # The last batch holds the whole result.
+def streaming_session(spark: SparkSession) -> SparkSession:
+    """A session of its own whose state lies in RocksDB."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own
+
+
+def run_to_table(t, name: str, job: Callable[[DataFrame], DataFrame], complete: bool = False) -> DataFrame:
+    """What a job writes over the table; a ``complete`` job's last batch is its whole result."""
+    own, where = streaming_session(t.spark), work_folder(t.spark, "stream")
+    out = job(read_stream(own, t.folder, name))
+    writer = out.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True)
+    if complete:
+
         def replace(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{where}/out")
 
-        query = out.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+        query = writer.outputMode("complete").foreachBatch(replace).start()
     else:
-        query = out.writeStream.outputMode(final).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+        query = writer.outputMode("append").format("parquet").option("path", f"{where}/out").start()
     query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{where}/out")
+    return t.spark.read.schema(out.schema).parquet(f"{where}/out")
 
 
 def log_sink(rows: DataFrame, required: Sequence[str], where: str):
@@ -83,6 +94,6 @@ def log_sink(rows: DataFrame, required: Sequence[str], where: str):
 
 def run_log_sink(t, name: str, required: Sequence[str]) -> DataFrame:
     where = work_folder(t.spark, "log")
-    rows = read_stream(t.spark, t.folder, name)
+    rows = read_stream(streaming_session(t.spark), t.folder, name)
     log_sink(rows, required, where).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{where}/rows")

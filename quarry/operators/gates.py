@@ -66,6 +66,8 @@ class Subnet:
 class Breaker:
     """Opens at five failures in a minute; success clears them but never shortens an open period."""
 
+    window: float = rules.BREAKER_WINDOW
+    hold: float = rules.BREAKER_OPEN
     failures: list[float] = field(default_factory=list)
     open_until: float = 0.0
 
@@ -79,9 +81,9 @@ class Breaker:
         if not failed:
             self.failures = []
         else:
-            self.failures = [t for t in self.failures if t >= now - rules.BREAKER_WINDOW] + [now]
+            self.failures = [t for t in self.failures if t >= now - self.window] + [now]
             if len(self.failures) >= rules.BREAKER_FAILURES and not self.open_until:
-                self.open_until = now + rules.BREAKER_OPEN
+                self.open_until = now + self.hold
         return "open" if was_open or self.open_until else "closed"
 
 
@@ -135,8 +137,8 @@ def limit_subnets(events: DataFrame, key: str) -> DataFrame:
     return fold(events, key, lambda s, r: s.decide(_seconds(r)), lambda r: Subnet())
 
 
-def break_circuits(events: DataFrame, key: str, failed: str) -> DataFrame:
-    return fold(events, key, lambda s, r: s.record(_seconds(r), bool(getattr(r, failed))), lambda r: Breaker())
+def break_circuits(events: DataFrame, key: str, failed: str, window: float = rules.BREAKER_WINDOW, hold: float = rules.BREAKER_OPEN) -> DataFrame:
+    return fold(events, key, lambda s, r: s.record(_seconds(r), bool(getattr(r, failed))), lambda r: Breaker(window, hold))
 
 
 def cache_lookups(events: DataFrame, key: str, ttl_seconds: float) -> DataFrame:

@@ -52,9 +52,9 @@ def streaming_daily_spend(t) -> DataFrame:
     return jobs.run_to_table(t, "events", jobs.daily_spend, complete=True)
 
 
-@R.query("streaming_limiter", f"SELECT event_id, user_id, decision FROM ({LIMITER_SQL}) JOIN events USING (event_id)")
+@R.query("streaming_limiter", f"SELECT event_id, user_id % 3 AS user_id, decision FROM ({LIMITER_SQL}) JOIN events USING (event_id)")
 def streaming_limiter(t) -> DataFrame:
-    return jobs.run_to_table(t, "events", gates.stream_limiter)
+    return jobs.run_to_table(t, "events", lambda events: gates.stream_limiter(events.withColumn("user_id", c("user_id") % 3)))
 
 
 @R.query("streaming_dedup", "SELECT DISTINCT user_id, event_type, ts::DATE::VARCHAR AS day FROM events")

@@ -62,7 +62,7 @@ def limiter_window(t) -> DataFrame:
 
 
 LIMITER_SQL = """
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+WITH RECURSIVE e AS (SELECT user_id % 3 AS user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS k FROM events),
 r AS (
   SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, []::BIGINT[] AS kept, ''::VARCHAR AS decision FROM (SELECT DISTINCT user_id FROM e)
   UNION ALL
@@ -75,20 +75,45 @@ SELECT event_id, decision FROM r WHERE k > 0
 
 @R.query("limiter_exact", LIMITER_SQL)
 def limiter_exact(t) -> DataFrame:
-    events = t.events.select("event_id", "ts", "user_id", F.lit("authenticated").alias("tier"))
+    events = t.events.select("event_id", "ts", (c("user_id") % 3).alias("user_id"), F.lit("authenticated").alias("tier"))
     return gates.limit_requests(events, "user_id", "tier").select("event_id", "decision")
 
 
-@R.query("subnet_limiter")
+SUBNET_SQL = """
+WITH RECURSIVE e AS (SELECT user_id // 40 AS subnet, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id // 40 ORDER BY ts, event_id) AS k FROM events),
+r AS (
+  SELECT subnet, 0::BIGINT AS k, 0::BIGINT AS event_id, []::BIGINT[] AS kept, ''::VARCHAR AS decision FROM (SELECT DISTINCT subnet FROM e)
+  UNION ALL
+  SELECT subnet, k, event_id, CASE WHEN d = 'ok' THEN list_append(live, us) ELSE live END, d FROM (
+    SELECT *, CASE WHEN len([x FOR x IN live IF x >= us - 3600000000]) >= 12 OR len(live) >= 30 THEN 'subnet_cap' ELSE 'ok' END AS d FROM (
+      SELECT e.subnet, e.k, e.event_id, e.us, [x FOR x IN r.kept IF x >= e.us - 86400000000] AS live FROM r JOIN e ON e.subnet = r.subnet AND e.k = r.k + 1)))
+SELECT event_id, subnet, decision FROM r WHERE k > 0
+"""
+
+
+@R.query("subnet_limiter", SUBNET_SQL)
 def subnet_limiter(t) -> DataFrame:
-    events = t.events.select("event_id", "ts", F.floor(c("user_id") / 4).alias("subnet"))
+    events = t.events.select("event_id", "ts", F.floor(c("user_id") / 40).alias("subnet"))
     return gates.limit_subnets(events, "subnet").select("event_id", "subnet", "decision")
 
 
-@R.query("breaker_states")
+BREAKER_SQL = """
+WITH RECURSIVE e AS (SELECT user_id % 5 AS route, event_id, event_type <> 'signup' AS failed, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS k FROM events),
+r AS (
+  SELECT route, 0::BIGINT AS k, 0::BIGINT AS event_id, []::BIGINT[] AS fails, 0::BIGINT AS opened FROM (SELECT DISTINCT route FROM e)
+  UNION ALL
+  SELECT route, k, event_id, f2, CASE WHEN failed AND len(f2) >= 5 AND o1 = 0 THEN us + 43200000000 ELSE o1 END FROM (
+    SELECT *, CASE WHEN NOT failed THEN []::BIGINT[] ELSE list_append([x FOR x IN f1 IF x >= us - 21600000000], us) END AS f2 FROM (
+      SELECT e.route, e.k, e.event_id, e.us, e.failed, CASE WHEN r.opened <> 0 AND e.us >= r.opened THEN 0 ELSE r.opened END AS o1, CASE WHEN r.opened <> 0 AND e.us >= r.opened THEN []::BIGINT[] ELSE r.fails END AS f1
+      FROM r JOIN e ON e.route = r.route AND e.k = r.k + 1)))
+SELECT event_id, route, CASE WHEN opened <> 0 THEN 'open' ELSE 'closed' END AS decision FROM r WHERE k > 0
+"""
+
+
+@R.query("breaker_states", BREAKER_SQL)
 def breaker_states(t) -> DataFrame:
-    events = t.events.select("event_id", "ts", (c("user_id") % 5).alias("route"), (c("event_type") == "error").alias("failed"))
-    return gates.break_circuits(events, "route", "failed").select("event_id", "route", "decision")
+    events = t.events.select("event_id", "ts", (c("user_id") % 5).alias("route"), (c("event_type") != "signup").alias("failed"))
+    return gates.break_circuits(events, "route", "failed", window=6 * 3600, hold=12 * 3600).select("event_id", "route", "decision")
 
 
 @R.query(

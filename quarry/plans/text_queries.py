@@ -97,14 +97,17 @@ def truncate_snippet(t) -> DataFrame:
     return t.documents.select("doc_id", T.shorten(c("text"), 80).alias("snippet"))
 
 
+def _cut_sql(mark: str, length: int) -> str:
+    at = f"(length(h) - instr(reverse(h), reverse({mark})) - {length} + 2)"
+    return f"WHEN instr(h, {mark}) > 0 AND {at} - 1 > 200 THEN rtrim(substr(h, 1, {at} - 1)) "
+
+
 @R.query(
-    "cut_at_line",
-    "WITH h AS (SELECT doc_id, text, substr(text, 1, 400) AS h FROM documents), p AS (SELECT *, length(h) - instr(reverse(h), chr(10)) + 1 AS nl, instr(reverse(h), chr(10)) > 0 AS has FROM h) "
-    "SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN has AND nl - 1 > 200 THEN rtrim(substr(h, 1, nl - 1)) ELSE h END AS cut FROM p WHERE NOT contains(h, chr(10) || '#') AND NOT contains(h, chr(10) || chr(10))",
+    "cut_at_section",
+    "SELECT doc_id, CASE WHEN length(text) <= 400 THEN text " + _cut_sql("chr(10) || '## '", 4) + _cut_sql("chr(10) || chr(10)", 2) + _cut_sql("chr(10)", 1) + "ELSE h END AS cut FROM (SELECT doc_id, text, substr(text, 1, 400) AS h FROM documents)",
 )
-def cut_at_line(t) -> DataFrame:
-    head = F.substring("text", 1, 400)
-    return t.documents.where(~head.contains("\n#") & ~head.contains("\n\n")).select("doc_id", T.cut_at_section(c("text"), 400).alias("cut"))
+def cut_at_section(t) -> DataFrame:
+    return t.documents.select("doc_id", T.cut_at_section(c("text"), 400).alias("cut"))
 
 
 @R.query(

@@ -76,11 +76,16 @@ def hash_order(key: str, seed: int) -> list[Column]:
 
 
 def stratified_sample(rows: DataFrame, key: str, source: str, strand: str, quotas: dict[str, int], seed: int) -> DataFrame:
-    """Round-robin over strands within each source, up to the source's quota."""
+    """Round-robin over strands within each source, up to the source's quota.
+
+    A row of wave w has w - 1 rows of its strand before it, so no wave beyond the
+    largest quota is ever taken, and groups are cut to it before they meet.
+    """
     wave = F.row_number().over(W.partitionBy(source, strand).orderBy(*hash_order(key, seed)))
     place = F.row_number().over(W.partitionBy(source).orderBy("wave", strand, key))
     quota = T.first_match([(F.col(source) == s, str(n)) for s, n in quotas.items()], F.lit("0")).cast("int")
-    return rows.withColumn("wave", wave).withColumn("place", place).where(F.col("place") <= quota)
+    few = rows.withColumn("wave", wave).where(F.col("wave") <= max(quotas.values()))
+    return few.withColumn("place", place).where(F.col("place") <= quota)
 
 
 def sample_per_group(rows: DataFrame, key: str, group: str, n: int, seed: int) -> DataFrame:

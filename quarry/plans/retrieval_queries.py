@@ -206,7 +206,17 @@ def lexical_logit(queries: list[str], texts: list[str]) -> list[float]:
     return out
 
 
-@R.query("rerank_pool")
+def _bag(expr: str) -> str:
+    return rf"list_distinct([w FOR w IN regexp_split_to_array(lower({expr}), '\s+') IF w <> ''])"
+
+
+@R.query(
+    "rerank_pool",
+    _FUSED + _TOP.format(name="pool", of="h", k=20)
+    + f", x AS (SELECT pool.query_id, pool.doc_id, {_bag('i.text')} AS a, {_bag('substr(d.text, 1, 256)')} AS bag FROM pool JOIN benchmark i ON i.item_id = pool.query_id JOIN documents d ON d.doc_id = pool.doc_id), "
+    "y AS (SELECT query_id, doc_id, round(1 / (1 + exp(-(4.0 * len(list_intersect(a, bag)) / greatest(1, len(a)) - 2.0))), 6) AS score FROM x), "
+    + _TOP.format(name="r", of="y", k=5) + " SELECT query_id, doc_id, score, rank FROM r",
+)
 def rerank_pool(t) -> DataFrame:
     pool = _hybrid(t, 20)
     pairs = pool.select("query_id", "doc_id").join(_items(t).withColumnRenamed("text", "query_text"), "query_id").join(t.documents.select("doc_id", c("text").alias("doc_text")), "doc_id")

@@ -33,8 +33,10 @@ from quarry.llm.tokens import encoder
 
 #: Remainders of a shard, on average.
 SHARD_ROWS = 2048
-#: BM25's saturation and length normalisation, the query's rarest terms that are looked up, and neighbours that are ranked at a time.
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 48
+#: BM25's saturation and length normalisation, and neighbours that are ranked at a time.
+K1, B, NEIGHBOURS = 1.2, 0.75, 48
+#: Documents of a shard that make a term common there; seeds whose common terms are scored at once.
+COMMON, SEEDS = 32, 128
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECE = pa.schema([(f.split()[0], pa.int64()) for f in PIECE.split(", ")])
@@ -49,6 +51,14 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
     return [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema]
 
 
+def term_weights(df: np.ndarray, total: int) -> np.ndarray:
+    return np.log1p((total - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def encode(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0) -> DataFrame:
     """Pieces that fill a window alone (with their even sequence_id), and remainders with ``ids`` and ``number``."""
     end = np.array([end_id], dtype="<u2").tobytes()
@@ -72,9 +82,13 @@ def encode(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0
 
 
 class Bm25Index:
-    """An inverted index of token-id arrays; documents are numbered from 0."""
+    """An inverted index of token-id arrays; documents are numbered from 0.
+
+    ``df``, ``total`` and ``mean`` are the documents with each term, all documents
+    and their mean length in the whole collection; without them, those of ``docs``.
+    """
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], df: np.ndarray | None = None, total: int | None = None, mean: float | None = None):
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
         self.terms, n = terms, len(docs)
         flat, owner = np.concatenate(terms), np.repeat(np.arange(n), [len(t) for t in terms])
@@ -83,20 +97,35 @@ class Bm25Index:
         self.start = np.concatenate([[0], np.cumsum(self.df)])
         length = np.array([len(d) for d in docs], float)
         tf = np.concatenate(counts).astype(float)
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
-        weight = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
+        weight = term_weights(self.df if df is None else df, total or n)[flat] * saturation(tf, length[owner], mean or length.mean())
         self.owner, self.weight, self.n = owner[order], weight[order], n
+        # Terms of many documents are scored for a block of seeds at once, the others from their postings.
+        common = np.nonzero(self.df >= COMMON)[0]
+        self.column = np.full(1 << 16, -1)
+        self.column[common] = np.arange(len(common))
+        self.grid = np.zeros((n, len(common)), np.float32)
+        at = self.column[flat]
+        self.grid[owner[at >= 0], at[at >= 0]] = weight[at >= 0]
+        self.by_length = np.argsort(-length, kind="stable")
+        self.rank = np.argsort(self.by_length)
+        self.ready: dict[int, np.ndarray] = {}
+
+    def _common(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """What common terms give each document; longer seeds come first, so the next ones are computed too."""
+        if seed not in self.ready:
+            block = self.by_length[self.rank[seed] :]
+            block = np.concatenate([[seed], block[unused[block] & (block != seed)][: SEEDS - 1]])
+            self.ready = dict(zip(block.tolist(), (self.grid[block] > 0).astype(np.float32) @ self.grid.T, strict=True))
+        return self.ready[seed]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a rare term of ``seed``, best first."""
+        """Unused documents that share any term of ``seed``, best first."""
         t = self.terms[seed]
-        t = t[self.df[t] > 1]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argsort(self.df[t], kind="stable")[:QUERY_TERMS]]
-        if not len(t):
-            return np.zeros(0, int)
-        spans = [slice(self.start[x], self.start[x + 1]) for x in t.tolist()]
-        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        t = t[(self.df[t] > 1) & (self.column[t] < 0)]
+        score = self._common(seed, unused).astype(float)
+        if len(t):
+            spans = [slice(self.start[x], self.start[x + 1]) for x in t.tolist()]
+            score += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score[~unused] = 0
         score[seed] = 0
         found = np.nonzero(score)[0]

@@ -24,3 +24,23 @@ def test_neighbours_score_all_terms_of_the_seed():
     assert got[0] == want[0] == 1
     assert np.allclose([score(k) for k in got], [score(k) for k in want[: len(got)]], rtol=1e-4)
     assert min(map(score, got)) > 0 and len(got) == packing.NEIGHBOURS
+
+
+def test_shards_hold_like_documents(spark, monkeypatch):
+    """Copies and documents of one topic meet, however many shards there are."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 50)
+    rng, rows = np.random.default_rng(3), []
+    for k in range(400):
+        topic = k % 8
+        ids = rng.integers(1000 * topic, 1000 * topic + 300, 60) if k < 380 else np.frombuffer(rows[k - 380][4], "<u2")
+        rows.append((k, 0, len(ids), int(rng.permutation(1 << 20)[0]) * 512 + k, ids.astype("<u2").tobytes()))
+    rest = spark.createDataFrame(rows, "doc_id long, start long, doc_tokens long, number long, ids binary").repartition(4)
+    about = packing.collection(rest)
+    assert about.total == 400 and about.mean == 60
+    assert about.df.sum() == sum(len(np.unique(np.frombuffer(r[4], "<u2"))) for r in rows)
+    shards = packing.deal(rest, about, 8).rdd.glom().map(lambda p: [r.doc_id for r in p]).collect()
+    shard = {d: k for k, p in enumerate(shards) for d in p}
+    assert len(shard) == 400 and max(map(len, shards)) < 100
+    assert sum(shard[k] == shard[k - 380] for k in range(380, 400)) >= 18
+    same = np.mean([shard[a] == shard[b] for a in range(0, 380) for b in range(a % 8, 380, 8)])
+    assert same > 0.5

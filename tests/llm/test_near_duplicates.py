@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+
 from quarry.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -24,3 +25,54 @@ def test_ids_that_are_null_or_shared_do_not_drop_texts(spark):
     want = sorted([("None", a), ("None", b), ("None", c), ("7", d), ("7", e), ("9", f)])
     for stage in (simhash.keep_one, lambda x: corpus_pipeline.near_duplicates(spark, x, "")):
         assert sorted((str(r.doc_id), r.text) for r in stage(docs).collect()) == want
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def components(texts):
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both, whole = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * whole and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_stage_links_texts_of_similarity_of_eight_tenths(spark):
+    rng, all_texts = random.Random(9), []
+    for t in texts(30, 8):
+        # Edits that move far from the first step by step, so that some are linked only through others.
+        w = t.split()
+        for k in range(4):
+            all_texts.append(" ".join(w))
+            for _ in range(rng.choice([1, 2, 3])):
+                w[rng.randrange(len(w))] = f"edit{k}"
+    big = texts(1, 77)[0].split()
+    all_texts += [" ".join(big[:k] + [f"w{k}"] + big[k:]) for k in range(60)] + [None, "", "  ", "a b", "a B", "few words here"]
+    group = components(all_texts)
+    want = sorted(min(i for i, g in enumerate(group) if g == x) for x in set(group))
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(all_texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert 30 < len(want) < 100
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_texts_that_share_bands_without_links_meet_all_others(spark, monkeypatch):
+    """Bands of one minimum: most members are not similar to the leader, and are still linked among themselves."""
+    from quarry.llm import similar
+
+    monkeypatch.setattr(similar, "LEADERS", 2)
+    nodes = [(k, t.encode(), [0]) for k, t in enumerate(t + x for t in texts(6, 4) for x in ("", " coda", " more coda"))]
+    signatures = spark.createDataFrame(nodes, "node long, text binary, bands array<long>")
+    group = components([t.decode() for _, t, _ in nodes])
+    pairs = {(r.a, r.b) for r in similar.links(signatures).collect()}
+    assert all(group[a] == group[b] for a, b in pairs)
+    found = list(range(len(nodes)))
+    for a, b in pairs:
+        found = [found[a] if g == found[b] else g for g in found]
+    assert len(set(found)) == len(set(group)) == 6

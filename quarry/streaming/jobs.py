@@ -46,9 +46,15 @@ def daily_spend(events: DataFrame) -> DataFrame:
     return windows.select("event_type", F.to_date("window.start").cast("string").alias("day"), "spend")
 
 
-def distinct_days(events: DataFrame) -> DataFrame:
-    """Each user's types of a day, once: verification tokens and the like that live for a while."""
-    keyed = events.withColumn("day", F.date_trunc("day", "ts")).withWatermark("day", "2 days")
+def distinct_days(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Each user's types of a day, once: verification tokens and the like that live for a while.
+
+    A table's files come in any order of time, so without ``late`` no row is too
+    late and the state holds all keys.  An endless stream in order of time may
+    name the delay after which keys are forgotten and rows dropped.
+    """
+    keyed = events.withColumn("day", F.date_trunc("day", "ts"))
+    keyed = keyed.withWatermark("day", late) if late else keyed
     return keyed.dropDuplicates(["user_id", "event_type", "day"]).select("user_id", "event_type", F.to_date("day").cast("string").alias("day"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import brown_lm, jpeg, mixing, packing, quality, sharding, simhash, token_files, toxicity, warc
+from quarry.llm.storage import materialize
 from quarry.session import ship
 
 
@@ -52,7 +53,7 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.media_features(jpeg.encode_media(_table(spark, sf_dir, "documents")))
+    return jpeg.media_features(materialize(jpeg.encode_media(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

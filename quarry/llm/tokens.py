@@ -8,11 +8,15 @@ gives, and pieces go to the library's BPE model, each once.  Parts of other kind
 (text that normalisation may change, strings of special tokens), and texts with
 longer runs of white space for the byte-level tokenizer, are encoded whole by the
 library.
+
+Defined cases: an empty text has no ids; texts of any length are taken whole; a
+vocabulary of more than 65,536 entries is refused.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 import sys
 import unicodedata
 from array import array
@@ -28,6 +32,9 @@ CACHE_PARTS, CACHE_PIECES = 900_000, 250_000
 CLOSING = frozenset(",.;:!?")
 #: Runs of white space that are not cut, and the mark of a line break in a list of parts.
 RUNS, BREAK = ("  ", " \n", "\n ", "\n\n", "\0"), "\0"
+#: White space other than spaces and line breaks; beside one of those it makes a run that is not cut.
+OTHER_SPACE = tuple(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
+SPACE_RUN = re.compile(r"\s[ \n]|[ \n]\s")
 #: How a tokenizer that drops white space cuts normalised text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -100,7 +107,7 @@ class PartEncoder:
     def _encode(self, text: str) -> bytes:
         if self.drops_space:
             parts = text.replace("\n", " ").split(" ")
-        elif text.endswith(" ") or any(r in text for r in RUNS):
+        elif text.endswith(" ") or any(r in text for r in RUNS) or (any(c in text for c in OTHER_SPACE) and SPACE_RUN.search(text)):
             return self._whole(text)
         else:
             # A key that begins with a line break stands for a part without a space before it.

@@ -24,12 +24,27 @@ def test_any_text(name, drops):
     @example("<|endoftext|> a<|startoftext|>")
     @example("a.\nB c\n")
     @example(" \n")
+    @example("a\n\xa0")
+    @example("a\n\xa0\xa0b")
+    @example("\n\xa0")
     def same(text):
         assert np.frombuffer(encode([text])[0], "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
 
     same()
 
 
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+
+
+@pytest.mark.parametrize(("name", "drops"), NAMES)
+def test_runs_of_white_space(name, drops):
+    path = public_tokenizers.path(name)
+    whole, encode = Tokenizer.from_file(path), tokens.encoder(path, drops)
+    texts = [head + a + b + tail for a in SPACES for b in ["", *SPACES] for head in ("", "a", "a.") for tail in ("", "b", "\xa0b", " b", "\n")]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_forgetting_keeps_results(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PARTS", 10)
     monkeypatch.setattr(tokens, "CACHE_PIECES", 5)

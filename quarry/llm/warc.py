@@ -11,7 +11,9 @@ their original responses.
 Defined cases: a null html is an empty payload, and empty payloads revisit each
 other like any; of records with equal payloads the one with the largest page_id
 is the response (null ids come last; of repeated ids one, by place in the
-archives); an empty table gives no archives and no rows; further columns are
+archives); repeated ids with different payloads are records of their own; a page
+without url has its record's name as target; a very long html is held by its
+task alone, as one record; an empty table gives no archives and no rows; further columns are
 ignored.
 """
 
@@ -26,25 +28,22 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.skew import join_hot
 from quarry.llm.storage import create, materialize, new_path, open_at
 
-#: Namespace of record ids; the low half of a record's UUID is its page's id.
-RECORD_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-records").int >> 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Pages have no date of their own; a fixed one keeps archives repeatable.
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 HEADERS = "page_id long, url string, uri string, offset long, length long, payload_bytes long, payload_digest string"
 PIECE = 1 << 16
 
 
-def record_id(page_id: int | None, uri: str, offset: int) -> str:
-    """Names the page in its low half; a page without id is named by its place."""
-    if page_id is None:
-        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri}#{offset}')}>"
-    return f"<urn:uuid:{uuid.UUID(int=RECORD_SPACE << 64 | page_id & (1 << 64) - 1)}>"
+def record_id(uri: str, offset: int) -> str:
+    """Names a record by its place in the raw archives, so repeated page ids stay apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri}#{offset}')}>"
 
 
 def digest(payload: bytes) -> str:
@@ -80,8 +79,16 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(END)[2]
 
 
-def _clean(url: str | None) -> str | None:
-    return None if url is None else " ".join(url.split())
+def _target(url: str | None, record: str) -> str:
+    """A header needs a URI on one line; a page without one is named by its record."""
+    return " ".join((url or "").split()) or record.strip("<>")
+
+
+def _head(record: str, target: str, sum_: str, page_id: int | None) -> dict[str, object]:
+    return {
+        "WARC-Record-ID": record, "WARC-Date": DATE, "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{sum_}",
+        "Content-Type": "application/http; msgtype=response", "X-Page-ID": page_id,
+    }
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -104,10 +111,9 @@ def write_responses(pages: DataFrame, folder: str) -> DataFrame:
             for b in (x for some in ([first], batches) for x in some):
                 rows = []
                 for page_id, url, payload in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    payload, url = payload or b"", _clean(url)
-                    sum_ = digest(payload)
-                    head = {"WARC-Record-ID": record_id(page_id, uri, at), "WARC-Date": DATE, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{sum_}"}
-                    member = _member("response", head, _block(payload, len(payload)))
+                    payload, record = payload or b"", record_id(uri, at)
+                    sum_, url = digest(payload), _target(url, record)
+                    member = _member("response", _head(record, url, sum_, page_id), _block(payload, len(payload)))
                     out.write(member)
                     rows.append((page_id, url, uri, at, len(member), len(payload), sum_))
                     at += len(member)
@@ -118,10 +124,10 @@ def write_responses(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def resolve(headers: DataFrame) -> DataFrame:
-    """Headers with the original of their payload: ``of`` (page_id, uri, offset); a response is its own."""
-    place = F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "uri", "offset")
+    """Headers with the original of their payload: ``of`` (page_id, uri, offset, url); a response is its own."""
+    place = F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "uri", "offset", "url")
     originals = headers.groupBy("payload_digest").agg(F.max(place).alias("of"))
-    return headers.join(originals, "payload_digest")
+    return join_hot(headers, materialize(originals, "warc-originals"), "payload_digest")
 
 
 def write_resolved(resolved: DataFrame, folder: str) -> DataFrame:
@@ -142,13 +148,13 @@ def write_resolved(resolved: DataFrame, folder: str) -> DataFrame:
                     out = opened.__enter__()
                     done.append(name)
                 of, own = row["of"], (row["uri"], row["offset"])
-                head = {"WARC-Record-ID": record_id(row["page_id"], *own), "WARC-Date": DATE, "WARC-Target-URI": row["url"], "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "X-Page-ID": row["page_id"]}
+                head = _head(record_id(*own), row["url"], row["payload_digest"], row["page_id"])
                 if (of["uri"], of["offset"]) == own:
                     source.seek(row["offset"])
                     _, block = parse(zlib.decompress(source.read(row["length"]), 31))
                     member = _member("response", head, block)
                 else:
-                    head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(of["page_id"], of["uri"], of["offset"])}
+                    head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(of["uri"], of["offset"]), "WARC-Refers-To-Target-URI": of["url"], "WARC-Refers-To-Date": DATE}
                     member = _member("revisit", head, _block(None, row["payload_bytes"]))
                 out.write(member)
                 at += len(member)
@@ -215,10 +221,10 @@ def read_records(files: DataFrame) -> DataFrame:
 
 
 def follow_revisits(records: DataFrame) -> DataFrame:
-    """Records with the length of the full payload and the page that a revisit refers to."""
-    originals = records.filter("record_type = 'response'").select(F.col("record_id").alias("of_id"), F.col("page_id").alias("of_page"), F.col("payload_bytes").alias("of_bytes"))
-    numbered = originals.withColumn("k", F.row_number().over(W.partitionBy("of_id").orderBy("of_page"))).filter("k = 1").drop("k")
-    revisits = records.filter("record_type = 'revisit'").join(numbered, F.col("refers_to_id") == F.col("of_id"))
+    """Records with the length of the full payload and the page that a revisit refers to; one original may have any number of revisits."""
+    originals = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("of_page"), F.col("payload_bytes").alias("of_bytes"))
+    revisits = records.filter("record_type = 'revisit'").drop("payload_bytes", "record_id")
+    revisits = join_hot(revisits, originals, "refers_to_id")
     out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     own = records.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*out)
     return own.unionByName(revisits.select("page_id", F.col("of_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("of_page").alias("refers_to")))

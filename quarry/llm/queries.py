@@ -96,7 +96,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len([x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''])::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT] AS w, 3 * source_size AS cap FROM s),
@@ -106,10 +106,10 @@ t AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT max(level) FROM
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 c AS (
   SELECT d.doc_id, d.size, f.source_size, f.target, f.whole, CASE WHEN f.source_size > 0 THEN f.target - f.whole * f.source_size ELSE 0 END AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS here
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target,
-       (size * least(3, whole + CASE WHEN upto <= rest OR (upto - here <= rest AND upto - rest < rest - (upto - here)) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * least(3, whole + CASE WHEN upto <= rest OR (upto - size <= rest AND upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
 

@@ -146,6 +146,22 @@ def test_mixing(docs, rows):
     assert {k: v for k, v in times.items() if v} == {k: v for k, v in repeated.items() if times[k]}
 
 
+def test_mixing_ties(spark, monkeypatch):
+    """Null and repeated ids, and equal rows, come near the target like any others."""
+    rows = [(None, f"w{i} x y z", "a") for i in range(100)] + [(7, " ".join(["v"] * 4), "b") for _ in range(90)] + [(8, "q", "b")] * 9 + [(None, "k", None)] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_documents(docs).collect()
+    target, taken, times = {}, Counter(), Counter()
+    for r in got:
+        key = {4: "a", 1: None}.get(r.size, "b") if r.doc_id is None else "b"
+        target[key] = r.target
+        taken[key] += r.taken
+    assert len(got) == len(rows) and all(abs(taken[k] - target[k]) <= 4 for k in target)
+    for r in mixing.repeat_rows(docs).collect():
+        times[r.source] += len(r.text.split())
+    assert times == taken
+
+
 def test_simhash_and_components(docs, rows, spark):
     def fp(t):
         w = bytes_of(t).lower().split()
@@ -407,13 +423,33 @@ def test_toxicity_without_labels(spark, docs, empty):
 
 def test_warc(spark):
     rows = [(i, f"http://h/{i}\n", h) for i, h in enumerate(["a", "b", None, "a", "", "a", "é\r\n\r\nWARC/1.1", "b"])] + [(5, None, "a"), (None, "u", "a")]
+    assert_warc(spark, rows)
+
+
+def test_warc_repeated_ids(spark):
+    assert_warc(spark, [(5, "u", "A"), (5, None, "BBBB"), (3, "u", "BBBB"), (2, "v", "A"), (1, "u", "BBBB"), (None, "u", "CC"), (None, "u", "CC"), *((k, "u", "hot") for k in range(10, 60))])
+
+
+def test_warc_headers(spark):
+    """Records carry what the format asks of responses and revisits."""
+    pages = spark.createDataFrame([(1, None, "a"), (2, "http://h/2", "a")], "page_id long, url string, html string").coalesce(1)
+    folder = new_path(spark, "warc")
+    files = warc.write_resolved(warc.resolve(warc.write_responses(pages, f"{folder}/raw")), f"{folder}/resolved")
+    heads = [warc.parse(m)[0] for r in files.collect() for m in warc._members(r.uri)]
+    assert sorted(h["WARC-Type"] for h in heads) == ["response", "revisit"]
+    response, revisit = sorted(heads, key=lambda h: h["WARC-Type"])
+    assert all(h["WARC-Target-URI"] and h["Content-Type"].startswith("application/http") for h in heads)
+    assert revisit["WARC-Refers-To"] == response["WARC-Record-ID"] and revisit["WARC-Refers-To-Target-URI"] == "http://h/2"
+
+
+def assert_warc(spark, rows):
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, payload_bytes int, uri string").repartition(3)
     got = Counter(tuple(r) for r in warc.deduplicate_pages(spark, pages).collect())
     want, groups = Counter(), {}
     for i, _, h in rows:
         groups.setdefault(h or "", []).append(i)
     for h, ids in groups.items():
-        top, left = max(x for x in ids if x is not None), 1
+        top, left = max((x for x in ids if x is not None), default=None), 1
         for i in ids:
             own = i == top and left
             left -= own

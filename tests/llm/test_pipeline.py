@@ -10,7 +10,6 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from tokenizers import Tokenizer
 
 from quarry.llm import toxicity
@@ -62,18 +61,17 @@ def good(t):
     return len(w) >= 50 and 100 * len(covered) <= 50 * len(w) and 10 * signs <= len(w)
 
 
-def fingerprint(t):
+def shingles(t):
     w = (t or "").encode().lower().split()
-    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
 def one_of_each(rows):
-    fps, group = [fingerprint(r[1]) for r in rows], list(range(len(rows)))
+    """Of the components of five-word shingle similarity 0.8 or more, the row of the smallest id."""
+    sets, group = [shingles(r[1]) for r in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     best = {}
@@ -97,7 +95,8 @@ def mixed(rows):
         capped |= over
     out = []
     for n in names:
-        own = sorted((int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16), str(r), r) for r in rows if r[3] == n)
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        own = sorted((int(md5(f"{'' if r[0] is None else r[0]}/{md5(r[1] or '')}")[:15], 16), str(r), r) for r in rows if r[3] == n)
         whole = math.floor(target[n] / sizes[n])
         rest, upto = target[n] - whole * sizes[n], 0
         for _, _, r in own:

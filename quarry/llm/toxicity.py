@@ -17,8 +17,9 @@ Defined cases: a null or empty text has no weight and scores like any clean one;
 null ids are held out, and labels with a null id or label are not used; several
 labels of an id count as one, toxic if any is; without both toxic and clean
 labels the lexicon is empty and all scores are the smoothed share of toxic
-labels; an empty table gives no rows; further columns are ignored, or returned
-by ``keep_clean``.
+labels; very long texts are matched whole, in time that grows with their length
+and matches; repeated rows are scored each on its own; an empty table gives no
+rows; further columns are ignored, or returned by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ from quarry.llm.storage import materialize
 
 #: Labelled rows that are learned from, in expectation.
 SAMPLE_ROWS = 24_000
-#: Lengths of word beginnings; the share of toxic texts, and how many, that an entry needs; its least log odds; entries kept.
-BEGINNINGS, LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS, MOST_ENTRIES = range(4, 9), 0.02, 4, 3.0, 2000
+#: Lengths of word beginnings; the share of toxic texts, and how many, that an entry needs; its least log odds.
+BEGINNINGS, LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS = range(4, 9), 0.02, 4, 3.0
 #: Words added to a text's length, so that one match in a few words is not all.
 EXTRA_WORDS = 40
 
@@ -112,7 +113,15 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 hits[start] = max(w, hits.get(start, 0.0))
-        return sum(w for at, w in hits.items() if not any(a <= at < b for a, b in spared))
+        spared.sort(reverse=True)
+        total, upto = 0.0, 0
+        for at in sorted(hits):
+            # Of the phrases that begin at or before here, the furthest end.
+            while spared and spared[-1][0] <= at:
+                upto = max(upto, spared.pop()[1])
+            if at >= upto:
+                total += hits[at]
+        return total
 
     def density(self, text: str | None) -> float:
         """Weight for each hundred words."""
@@ -179,7 +188,7 @@ def learn_lexicon(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -
     often = {r["term"]: r["n"] for r in _count_terms(sample.filter("toxic = 1")).filter(F.col("n") >= least).collect()}
     also = {r["term"]: r["n"] for r in _count_terms(sample.filter("toxic = 0"), frozenset(often)).collect()}
     odds = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((also.get(t, 0) + 0.5) / (clean + 1)) for t, n in often.items()}
-    strong = sorted((t for t in odds if odds[t] >= LEAST_ODDS), key=lambda t: (-odds[t] * often[t], t))[:MOST_ENTRIES]
+    strong = sorted((t for t in odds if odds[t] >= LEAST_ODDS), key=lambda t: (-odds[t] * often[t], t))
     # An entry adds nothing to a beginning of it that is as telling; a beginning adds
     # nothing to far more telling entries that account for most of it.
     whole = [t for t in strong if not any(odds.get(t[:k], 0) >= max(LEAST_ODDS, odds[t] - 1) for k in range(2, len(t)))]

@@ -6,31 +6,38 @@ Tokens are the words of a text and one end; a text starts after an end.
 Everything that is counted covers all training documents:
 
 * words, by one distributed sum (combined in each worker first);
-* bigrams of *units*: the most frequent words, and for all others the ending of
-  the word, so the matrix of units is bounded whatever the corpus;
-* class totals, by a second pass over the vocabulary table.
-
-Exchange clustering moves one unit at a time to the class that raises the
-likelihood of the class bigrams most, until no move helps; a word outside the
-units has the class of its ending.  Class transitions are smoothed by adding a
-constant; word emissions by absolute discounting, whose discount (from the
-numbers of words seen once and twice) pays for unknown words of the class.
-
-Scoring sends counts of frequent words to all workers (a bounded table) and joins
-the rest to the vocabulary by word, as (document, word, times) rows; no word of
-these is frequent, so no key is hot.
+* bigrams of *units*: all words but rare ones, and for a rare or unknown word its
+  ending.  Units are the words that a worker can know (65,000 of them), so the
+  table of bigrams is bounded by its units and not by the corpus.
+
+Exchange clustering moves a unit to the class that raises the likelihood of the
+class bigrams most.  It starts on the driver, over the most frequent words and
+endings, and goes on in Spark over all units: each row holds a unit with its
+neighbours, each sweep lets half of the units move against the classes of the
+others, and sweeps end when the likelihood no longer rises.  Then every rare
+training word gets the class that its own contexts make likeliest, by one window
+over its occurrences.  So each word of the training documents has a class from
+its own contexts; an ending names the class of unseen words alone.
+
+Class transitions are smoothed by adding a constant; word emissions by absolute
+discounting, whose discount (from the numbers of words seen once and twice) pays
+for unknown words of the class.
+
+Texts are read twice: to count words, and to store each document as its units and
+its rare words.  Rare words meet in a shuffle by word, where none is frequent, so
+no key is hot, and go back to their documents by number.
 
 Defined cases: a null or empty text is its end alone; a null id counts as held
-out; repeated rows are counted and scored each on its own; with no training
-document every probability is that of an untrained model; an empty table gives
-no rows; further columns are ignored.
+out; repeated rows are counted and scored each on its own; very long texts are
+taken whole, as one row each; with no training document every probability is that
+of an untrained model; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,14 +52,16 @@ from quarry.llm.words import ascii_words
 
 #: The token that ends a text; no word is empty.
 END = b""
-#: Units: frequent words, endings, and one for other endings; classes beside that of the end.
-UNIT_WORDS, UNIT_ENDINGS, CLASSES, SWEEPS = 1024, 512, 32, 12
-#: Words whose counts every worker holds.
-KNOWN_WORDS = 65_536
+#: Words that are units of their own; those that clustering starts with; endings; classes beside that of the end.
+UNIT_WORDS, FIRST_WORDS, UNIT_ENDINGS, CLASSES = 65_000, 1024, 512, 32
+#: Sweeps over the first units, and over all.
+SWEEPS, WIDE_SWEEPS = 12, 6
 #: Added to class transitions; added to unigram counts by the base score.
 TRANSITION, BASE = 0.5, 0.1
-#: Entries of a worker's tables before it passes them on or starts anew.
-HELD = 400_000
+#: Entries of a worker's tables before it passes them on or starts anew; units that are judged at once.
+HELD, TOGETHER = 400_000, 256
+#: Marks of a token's class byte: an unknown word, and the first occurrence of a rare training word.
+UNKNOWN, FIRST = 0x40, 0x80
 
 
 def ending(word: bytes) -> bytes:
@@ -110,6 +119,8 @@ class Units:
         self.words = {END: 0}
         for w in words:
             self.words.setdefault(w, len(self.words))
+        #: The last unit that is a word.
+        self.n_words = len(self.words) - 1
         self.endings = {e: len(self.words) + k for k, e in enumerate(endings)}
         self.other = len(self.words) + len(self.endings)
         self.n, self.seen = self.other + 1, {}
@@ -128,19 +139,30 @@ class Units:
             got = [self.of(w) if u is None else u for w, u in zip(tokens, got, strict=True)]
         return np.array(got, np.int64)
 
+    @property
+    def names(self) -> list[bytes]:
+        return list(self.words)[1:]
+
+    def first_units(self) -> np.ndarray:
+        """For each unit, the one that clustering starts with: itself, or a less frequent word's ending."""
+        kept = min(FIRST_WORDS, self.n_words)
+        later = [self.endings.get(ending(w), self.other) for w in self.names[kept:]]
+        tail = np.array([*later, *range(self.n_words + 1, self.n)], np.int64) - (self.n_words - kept)
+        return np.concatenate([np.arange(kept + 1), tail])
+
     def __getstate__(self):
         return {**self.__dict__, "seen": {}}
 
 
-def choose_units(words: DataFrame) -> Units:
-    top = frequent(words, UNIT_WORDS)
-    names = sorted(top, key=lambda w: (-top[w], w))
+def choose_units(words: DataFrame, top: dict[bytes, int]) -> Units:
+    names = sorted((w for w in top if w != END), key=lambda w: (-top[w], w))
+    first = set(names[:FIRST_WORDS])
 
     def endings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
         for b in batches:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if w not in top:
+                if w != END and w not in first:
                     sums[ending(w)] += c
             if len(sums) > HELD:
                 yield _counts(sums, ("e", "c"), pa.binary())
@@ -151,185 +173,390 @@ def choose_units(words: DataFrame) -> Units:
     return Units(names, [bytes(r["e"]) for r in found.collect()])
 
 
-def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
-    """Counts [unit, next unit] over all training documents; each text starts after an end."""
+# --- documents as units ------------------------------------------------------
+
+ENCODED = "no long, doc_id long, held_out boolean, n_tokens long, units binary, rare array<binary>"
+
+
+def encode(docs: DataFrame, units: Units) -> DataFrame:
+    """Each document numbered, with the unit of each token (two bytes) and its rare words in order; written once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = TaskContext.get().partitionId() << 40
+        for b in batches:
+            blobs, counts, words, ends = [], [], [], [0]
+            for text in b.column(1).to_pylist():
+                tokens = _tokens(text)
+                u = units.all_of(tokens)
+                blobs.append(u.astype("<u2").tobytes())
+                counts.append(len(u))
+                words.extend([tokens[i] for i in np.flatnonzero(u > units.n_words).tolist()])
+                ends.append(len(words))
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(no, no + len(counts))), b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), rare],
+                ["no", "doc_id", "held_out", "n_tokens", "units", "rare"],
+            )
+            no += len(counts)
+
+    return materialize(_input(docs).mapInArrow(run, ENCODED), "lm-encoded")
+
+
+def _joined(blobs: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def _after_end(x: np.ndarray) -> np.ndarray:
+    """What comes before each of ``x``; every document ends with 0, so the next one starts after it."""
+    return np.concatenate([x[:0], [0], x[:-1]]) if len(x) else x
+
+
+# --- exchange clustering -----------------------------------------------------
+
+
+def neighbours(encoded: DataFrame, units: Units) -> DataFrame:
+    """One row per unit: the units after it and before it with their counts in training documents; written once.
+
+    ``others`` (two bytes each) has those after it first, ``split`` of them;
+    ``counts`` has eight bytes each.
+    """
     n = units.n
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = np.zeros(n * n, np.int64)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                u = units.all_of(_tokens(text))
-                np.add.at(grid, np.concatenate([[0], u[:-1]]) * n + u, 1)
-        at = np.nonzero(grid)[0]
-        for k in range(0, len(at), 1 << 16):
-            some = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(grid[some])], ["pair", "n"])
+        held, size = [], 0
 
-    training = _input(docs).filter(~F.col("held_out")).select("text")
-    sums = training.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    out = np.zeros(n * n, np.int64)
-    table = sums.toArrow()
-    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    return out.reshape(n, n)
+        def summed() -> Iterator[pa.RecordBatch]:
+            pair, times = np.unique(np.concatenate(held), return_counts=True)
+            for k in range(0, len(pair), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(pair[k : k + (1 << 16)]), pa.array(times[k : k + (1 << 16)])], ["pair", "n"])
+
+        for b in batches:
+            u = _joined(b.column(0).to_pylist(), "<u2").astype(np.int64)
+            held.append(_after_end(u) * n + u)
+            size += len(u)
+            if size > 8 * HELD:
+                yield from summed()
+                held, size = [], 0
+        if size:
+            yield from summed()
+
+    pairs = encoded.filter(~F.col("held_out")).select("units").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = materialize(pairs, "lm-bigrams")
+    first, second = F.expr(f"pair div {n}"), F.col("pair") % n
+    side = lambda unit, other, k: pairs.select((F.shiftleft(unit, 17) + (k << 16) + other).alias("key"), "n")
+    both = side(first, second, 0).union(side(second, first, 1))
+    tasks = 1 + 2 * pairs.count() // (1 << 20)
+    ordered = both.repartition(tasks, F.shiftright("key", 17)).sortWithinPartitions("key")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                key, times = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate((key, times)))
+            starts = np.flatnonzero(np.diff(key >> 17, prepend=-1)).tolist()
+            # The last unit may go on in the next batch.
+            ends = [*starts[1:], *([len(key)] if b is None and len(key) else [])]
+            rows = [(int(key[s] >> 17), int(np.searchsorted(key[s:e] >> 16 & 1, 1)), (key[s:e] & 0xFFFF).astype("<u2").tobytes(), times[s:e].astype("<i8").tobytes()) for s, e in zip(starts, ends, strict=False)]
+            if ends:
+                key, times = key[ends[-1] :], times[ends[-1] :]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "split", "others", "counts"])
+
+    return materialize(ordered.mapInArrow(pack, "unit int, split int, others binary, counts binary"), "lm-neighbours")
+
+
+def _side_counts(b: pa.RecordBatch, of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of a batch; counts [unit, class] after and before it; and of itself after itself."""
+    unit, split = b.column(0).to_numpy(), b.column(1).to_numpy()
+    blobs = b.column(2).to_pylist()
+    size = np.array([len(x) // 2 for x in blobs], np.int64)
+    other, times = _joined(blobs, "<u2"), _joined(b.column(3).to_pylist(), "<i8").astype(float)
+    row, starts = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    before = np.arange(len(other)) - starts[row] >= split[row]
+    counts = np.bincount((2 * row + before) * width + of[other], times, 2 * len(size) * width).reshape(len(size), 2, width)
+    itself = (other == unit[row]) & ~before
+    return unit, counts[:, 0], counts[:, 1], np.bincount(row[itself], times[itself], len(size))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def likelihood(grid: np.ndarray) -> float:
+    """Log likelihood of class bigrams [class, next class], but for a constant."""
+    return float(_xlogx(grid).sum() - _xlogx(grid.sum(1)).sum() - _xlogx(grid.sum(0)).sum())
+
+
+def gains(grid: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What each class [unit, class] would add to the likelihood, each unit taken from its class ``of`` alone.
+
+    ``out`` and ``into`` count classes after and before a unit, ``own`` the unit
+    after itself.  The end's class 0 takes no other unit.
+    """
+    b, rows, cols = np.arange(len(of)), out.sum(1, keepdims=True), into.sum(1, keepdims=True)
+    out, into = out.astype(float), into.astype(float)
+    out[b, of] -= own
+    into[b, of] -= own
+    g = np.repeat(grid[None].astype(float), len(of), 0)
+    g[b, of] -= out
+    g[b, :, of] -= into
+    g[b, of, of] -= own
+    now, own = _xlogx(g), own[:, None]
+    diagonal, diagonal_now = np.einsum("bkk->bk", g), np.einsum("bkk->bk", now)
+    by_row, by_col = _xlogx(g + out[:, None, :]) - now, _xlogx(g + into[:, :, None]) - now
+    gain = by_row.sum(2) - np.einsum("bkk->bk", by_row) + by_col.sum(1) - np.einsum("bkk->bk", by_col)
+    gain += _xlogx(diagonal + out + into + own) - diagonal_now
+    # Classes as wholes lose the unit alone, not what is beside it.
+    left, right = g.sum(2) + into, g.sum(1) + out
+    gain -= _xlogx(left + rows) - _xlogx(left) + _xlogx(right + cols) - _xlogx(right)
+    gain[:, 0] = -np.inf
+    return gain
+
+
+def best_classes(gain: np.ndarray, of: np.ndarray) -> np.ndarray:
+    stay = gain[np.arange(len(of)), of] >= gain.max(1) - 1e-9
+    return np.where(stay, of, gain.argmax(1))
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each unit; the end (unit 0) keeps class 0 for itself."""
+    """The class of each unit, one move after another; the end (unit 0) keeps class 0 for itself."""
     n = len(bigrams)
     of = np.concatenate([[0], 1 + np.arange(n - 1) % classes])
     one_hot = np.eye(classes + 1, dtype=np.int64)[of]
     to_class, from_class = bigrams @ one_hot, bigrams.T @ one_hot
     grid = one_hot.T @ to_class
-    rows, cols = bigrams.sum(1), bigrams.sum(0)
-    order = 1 + np.argsort(-(rows + cols)[1:], kind="stable")
+    order = 1 + np.argsort(-(bigrams.sum(1) + bigrams.sum(0))[1:], kind="stable")
     for _ in range(sweeps):
         moved = 0
         for u in order.tolist():
             s, own = of[u], bigrams[u, u]
-            out, into = to_class[u].copy(), from_class[u].copy()
-            out[s] -= own
-            into[s] -= own
-            grid[s] -= out
-            grid[:, s] -= into
-            grid[s, s] -= own
-            now, diagonal = _xlogx(grid), np.diag(grid)
-            by_row, by_col = _xlogx(grid + out) - now, _xlogx(grid + into[:, None]) - now
-            gain = by_row.sum(1) - np.diag(by_row) + by_col.sum(0) - np.diag(by_col)
-            gain += _xlogx(diagonal + out + into + own) - np.diag(now)
-            left, right = grid.sum(1), grid.sum(0)
-            gain -= _xlogx(left + rows[u]) - _xlogx(left) + _xlogx(right + cols[u]) - _xlogx(right)
-            gain[0] = -np.inf
-            k = s if gain[s] >= gain.max() - 1e-9 else int(gain.argmax())
-            grid[k] += out
-            grid[:, k] += into
-            grid[k, k] += own
+            gain = gains(grid, to_class[u : u + 1], from_class[u : u + 1], np.array([own]), np.array([s]))
+            k = int(best_classes(gain, np.array([s]))[0])
             if k != s:
+                out, into = to_class[u].copy(), from_class[u].copy()
+                out[s] -= own
+                into[s] -= own
+                for c, sign in ((s, -1), (k, 1)):
+                    grid[c] += sign * out
+                    grid[:, c] += sign * into
+                    grid[c, c] += sign * own
+                    to_class[:, c] += sign * bigrams[:, u]
+                    from_class[:, c] += sign * bigrams[u]
                 of[u], moved = k, moved + 1
-                to_class[:, s] -= bigrams[:, u]
-                to_class[:, k] += bigrams[:, u]
-                from_class[:, s] -= bigrams[u]
-                from_class[:, k] += bigrams[u]
         if not moved:
             break
     return of
 
 
+def class_grid(near: DataFrame, of: np.ndarray, width: int) -> np.ndarray:
+    """Counts [class of a unit, class of the next] over all units; a class for each unit is given."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros((width, width))
+        for b in batches:
+            unit, out, _, _ = _side_counts(b, of, width)
+            np.add.at(grid, of[unit], out)
+        at = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(grid.ravel()[at].astype(np.int64))], ["pair", "n"])
+
+    return _square(near.mapInArrow(count, "pair long, n long"), width)
+
+
+def _square(sums: DataFrame, width: int) -> np.ndarray:
+    """Partial sums of (pair, n) as a matrix of ``width`` squared, whatever the input's size."""
+    table, out = sums.groupBy("pair").agg(F.sum("n").alias("n")).toArrow(), np.zeros(width * width, np.int64)
+    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    return out.reshape(width, width)
+
+
+def _moves(near: DataFrame, of: np.ndarray, grid: np.ndarray, turn: int) -> list:
+    """(unit, class) of the units that gain by moving, of every other unit."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit, out, into, own = _side_counts(b, of, len(grid))
+            turns = np.flatnonzero((unit % 2 == turn % 2) & (unit > 0))
+            for k in range(0, len(turns), TOGETHER):
+                at = turns[k : k + TOGETHER]
+                was = of[unit[at]]
+                new = best_classes(gains(grid, out[at], into[at], own[at], was), was)
+                yield pa.RecordBatch.from_arrays([pa.array(unit[at][new != was]), pa.array(new[new != was])], ["unit", "k"])
+
+    return near.mapInArrow(run, "unit int, k long").collect()
+
+
+def cluster(near: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the counts between classes."""
+    first = units.first_units()
+    coarse = class_grid(near, first, int(first.max()) + 1)
+    of, width = exchange(coarse)[first], CLASSES + 1
+    grid = class_grid(near, of, width)
+    for turn in range(WIDE_SWEEPS):
+        moves, new = _moves(near, of, grid, turn), of.copy()
+        for unit, k in moves:
+            new[unit] = k
+        after = class_grid(near, new, width)
+        if likelihood(after) <= likelihood(grid):
+            break
+        of, grid = new, after
+    return of, grid
+
+
+def transitions(grid: np.ndarray) -> np.ndarray:
+    """log10 P(next class | class)."""
+    return np.log10((grid + TRANSITION) / (grid.sum(1, keepdims=True) + TRANSITION * len(grid)))
+
+
+# --- rare words, and sequences of classes ------------------------------------
+
+
+def rare_words(encoded: DataFrame, units: Units, of: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """no, pos, c and k of each rare word: its place, its count in training documents, and its class.
+
+    The class is the one that is likeliest by all its training contexts; that of
+    its ending where it has none.  k is marked with FIRST at one occurrence of
+    each training word.
+    """
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs, rare = b.column(2).to_pylist(), b.column(3)
+            size = np.array([len(x) // 2 for x in blobs], np.int64)
+            u = _joined(blobs, "<u2")
+            k = of[u]
+            at = np.flatnonzero(u > units.n_words)
+            row = np.repeat(np.arange(len(size)), size)[at]
+            # A rare word is never the end, so something follows it in its document.
+            context = np.where(b.column(1).to_numpy(zero_copy_only=False)[row], 0, 1 + _after_end(k)[at] * (CLASSES + 1) + k[np.minimum(at + 1, len(k) - 1)])
+            pos = at - (np.cumsum(size) - size)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), rare.flatten(), pa.array(pos << 24 | k[at] << 16 | context)], ["no", "word", "info"])
+
+    rows = encoded.select("no", "held_out", "units", "rare").mapInArrow(emit, "no long, word binary, info long")
+    log, word = transitions(grid), W.partitionBy("word")
+    tokens = np.log10(np.maximum(grid.sum(0), 1))
+    table = lambda xs: f"array({', '.join(f'{x:.6f}D' for x in xs)})"
+    context = F.col("info").bitwiseAND(0xFFFF)
+    seen = rows.withColumns({"h": ((context - 1) / (CLASSES + 1)).cast("int"), "x": ((context - 1) % (CLASSES + 1)).cast("int"), "training": context > 0})
+    fits = [F.sum(F.when(F.col("training"), F.expr(f"get({table(log[:, k] - tokens[k])}, h) + get({table(log[k])}, x)"))).over(word) for k in range(1, CLASSES + 1)]
+    here = F.struct("no", "info")
+    judged = seen.select(
+        "no", "info", F.count_if("training").over(word).alias("c"), F.array(*fits).alias("fits"), (F.min(F.when(F.col("training"), here)).over(word) == here).alias("first")
+    )
+    best = F.array_position("fits", F.array_max("fits"))
+    k = F.when(F.col("c") > 0, best + F.when(F.coalesce("first", F.lit(False)), FIRST).otherwise(0)).otherwise(F.shiftright("info", 16).bitwiseAND(0xFF))
+    return judged.select("no", F.shiftright("info", 24).alias("pos"), "c", k.cast("long").alias("k"))
+
+
 @dataclass
 class Model:
     units: Units
     class_of: np.ndarray
+    counts: np.ndarray  # of the end and the words that are units
     transition: np.ndarray  # log10, [class, next class]
     class_tokens: np.ndarray
     class_words: np.ndarray
     discount: float
     train_tokens: int
     train_words: int
-    known: dict[bytes, int]
-
-    def class_of_words(self, tokens: list[bytes]) -> np.ndarray:
-        return self.class_of[self.units.all_of(tokens)]
 
     def emission(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
         """log10 P(word | class) of words seen ``c`` times; unknown words share what discounting leaves."""
-        total = self.class_tokens[k]
         mass = np.where(c > 0, c - self.discount, self.discount * self.class_words[k])
-        return np.where(total > 0, np.log10(np.maximum(mass, 1e-300) / np.maximum(total, 1)), 0.0)
+        return np.where(self.class_tokens[k] > 0, np.log10(np.maximum(mass, 1e-300) / np.maximum(self.class_tokens[k], 1)), 0.0)
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + BASE) / (self.train_tokens + BASE * (self.train_words + 1)))
 
+SEQUENCES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, seen double, classes binary"
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the vocabulary table (word, c)."""
-    words = vocabulary(docs)
-    units = choose_units(words)
-    bigrams = unit_bigrams(docs, units)
-    class_of = exchange(bigrams)
-    one_hot = np.eye(CLASSES + 1, dtype=np.int64)[class_of]
-    between = one_hot.T @ bigrams @ one_hot
-    transition = np.log10((between + TRANSITION) / (between.sum(1, keepdims=True) + TRANSITION * (CLASSES + 1)))
-
-    def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sequences(encoded: DataFrame, rare: DataFrame, units: Units, of: np.ndarray, counts: np.ndarray, discount: float, tokens: int, words: int) -> DataFrame:
+    """Documents as classes (one byte a token), with what needs the counts of words already summed; written once."""
+    grouped = rare.groupBy("no").agg(F.collect_list(F.struct("pos", "c", "k")).alias("found"))
+    joined = encoded.join(grouped, "no", "left").select("doc_id", "held_out", "n_tokens", "units", "found")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, c = class_of[units.all_of(b.column(0).to_pylist())], b.column(1).to_numpy()
-            sums, n, once, twice = (np.bincount(k, w, CLASSES + 1).astype(np.int64) for w in (c, None, c == 1, c == 2))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(CLASSES + 1), sums, n, once, twice)], ["k", "c", "n", "once", "twice"])
-
-    sums = words.mapInArrow(totals, "k long, c long, n long, once long, twice long").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("c", "n", "once", "twice"))).collect()
-    tokens, distinct = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
-    for r in sums:
-        tokens[r["k"]], distinct[r["k"]] = r["c"], r["n"]
-    once, twice = sum(r["once"] for r in sums), sum(r["twice"] for r in sums)
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    model = Model(units, class_of, transition, tokens, distinct, discount, int(tokens.sum()), int(distinct.sum()), frequent(words, KNOWN_WORDS))
-    return model, words
+            blobs = b.column(3).to_pylist()
+            size = np.array([len(x) // 2 for x in blobs], np.int64)
+            u, found = _joined(blobs, "<u2"), b.column(4)
+            rare, starts = found.flatten(), np.cumsum(size) - size
+            pos, c_rare, k_rare = (rare.field(x).to_numpy() for x in range(3))
+            owner = np.repeat(np.arange(len(size)), found.value_lengths().fill_null(0).to_numpy())
+            at = starts[owner] + pos
+            k, c = of[u].astype(np.uint8), counts[np.minimum(u, units.n_words)].astype(float)
+            k[at], c[at] = k_rare, c_rare
+            k[c == 0] |= UNKNOWN
+            known, total = c > 0, np.add.reduceat
+            base = total(np.log10((c + BASE) / (tokens + BASE * (words + 1))), starts)
+            seen = total(np.where(known, np.log10(np.maximum(c - discount, 1e-300)), 0.0), starts)
+            flat = k.tobytes()
+            classes = [flat[s : s + n] for s, n in zip(starts.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(x) for x in range(3)), pa.array(total(known.astype(np.int64), starts)), pa.array(base), pa.array(seen), pa.array(classes, pa.binary())],
+                [x.split()[0] for x in SEQUENCES.split(", ")],
+            )
+
+    return materialize(joined.mapInArrow(run, SEQUENCES), "lm-sequences")
+
+
+def _class_sums(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of training documents: counts [class, next class], and rare words by class."""
+    width = CLASSES + 1
 
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((width + 1) ** 2, np.int64)
+        for b in batches:
+            flat = _joined(b.column(0).to_pylist(), np.uint8)
+            k = (flat & 0x3F).astype(np.int64)
+            sums += np.bincount(_after_end(k) * (width + 1) + k, minlength=len(sums))
+            sums += np.bincount(width * (width + 1) + k[flat & FIRST > 0], minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["pair", "n"])
 
-ENTRY = "no long, word binary, times long, k int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-_ENTRY = pa.schema([("no", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("k", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    sums = _square(found.filter(~F.col("held_out")).select("classes").mapInArrow(count, "pair long, n long"), width + 1)
+    return sums[:width, :width], sums[width, :width]
 
 
-def _entries(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each text one row with what frequent words and transitions give, and one for each other word."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and all documents as sequences of classes."""
+    words = vocabulary(docs)
+    top = frequent(words, UNIT_WORDS)
+    units = choose_units(words, top)
+    tokens, distinct, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+    ends = words.filter(F.col("word") == F.lit(END)).select("c").first()
+    # By unit; what comes after the words (endings) has counts of rare words instead.
+    counts = np.array([ends[0] if ends else 0, *(top[w] for w in units.names)], np.int64)
+    encoded = encode(docs, units)
+    of, grid = cluster(neighbours(encoded, units), units)
+    found = sequences(encoded, rare_words(encoded, units, of, grid), units, of, counts, discount, tokens, distinct)
+    between, rare = _class_sums(found)
+    class_words = rare + np.bincount(of[: len(counts)][counts > 0], minlength=CLASSES + 1)
+    return Model(units, of, counts, transitions(between), between.sum(0), class_words, discount, tokens, distinct), found
+
+
+def score(found: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    everything = np.arange(CLASSES + 1)
+    unknown = model.emission(np.zeros(CLASSES + 1, np.int64), everything)
+    # A word that was seen has log10(c - discount) summed already.
+    seen = -np.log10(np.maximum(model.class_tokens, 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: k for k, w in enumerate(model.known)}
-        counts = np.array(list(model.known.values()), np.int64)
-        classes = model.class_of_words(list(model.known)) if len(counts) else np.zeros(0, np.int64)
-        base, emission = model.base(counts), model.emission(counts, classes)
-        no = TaskContext.get().partitionId() << 40
         for b in batches:
-            cols: list[list] = [[] for _ in _ENTRY]
-            for doc_id, text, out in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                tokens = _tokens(text)
-                at = np.fromiter(map(number.get, tokens, itertools.repeat(-1)), np.int64, len(tokens))
-                rare = np.nonzero(at < 0)[0]
-                rare_words = [tokens[i] for i in rare.tolist()]
-                k = np.zeros(len(tokens), np.int64)
-                k[at >= 0] = classes[at[at >= 0]]
-                k[rare] = model.class_of_words(rare_words)
-                common = at[at >= 0]
-                moves = model.transition[np.concatenate([[0], k[:-1]]), k].sum()
-                times, class_of = Counter(rare_words), dict(zip(rare_words, k[rare].tolist(), strict=True))
-                for col, x in zip(cols, (no, None, None, None, doc_id, out, len(tokens), len(common), base[common].sum(), emission[common].sum() + moves), strict=True):
-                    col.append(x)
-                n = len(times)
-                for col, xs in zip(cols, ([no] * n, times.keys(), times.values(), map(class_of.get, times), *[[None] * n] * 6), strict=True):
-                    col.extend(xs)
-                no += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ENTRY, strict=True)], schema=_ENTRY)
-
-    return run
-
-
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
-    entries = materialize(_input(docs).mapInArrow(_entries(model), ENTRY), "lm-entries")
-    rare = entries.filter(F.col("word").isNotNull()).select("no", "word", "times", "k")
-    counted = rare.join(words.hint("shuffle_hash"), "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    total = F.get(F.array(*(F.lit(int(x)) for x in model.class_tokens)), F.col("k"))
-    unseen = F.get(F.array(*(F.lit(float(model.discount * x)) for x in model.class_words)), F.col("k"))
-    mass = F.when(c > 0, c - model.discount).otherwise(F.greatest(unseen, F.lit(1e-300)))
-    emission = F.when(total > 0, F.log10(mass / total)).otherwise(0.0)
-    base = F.log10((c + BASE) / (model.train_tokens + BASE * (model.train_words + 1)))
-    sums = counted.groupBy("no").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * base).alias("rare_base"), F.sum(F.col("times") * emission).alias("rare_score")
-    )
-    whole = entries.filter(F.col("word").isNull()).join(sums, "no", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "rare_known").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        plus("base", "rare_base").alias("base_score"), plus("score", "rare_score").alias("score"),
-    )
+            blobs = b.column(6).to_pylist()
+            size = np.array([len(x) for x in blobs], np.int64)
+            flat = _joined(blobs, np.uint8)
+            k = (flat & 0x3F).astype(np.int64)
+            each = model.transition[_after_end(k), k] + np.where(flat & UNKNOWN > 0, unknown[k], seen[k])
+            total = np.add.reduceat(each, np.cumsum(size) - size) + b.column(5).to_numpy()
+            n = pa.array(np.full(len(size), model.train_tokens, np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in range(4)), n, b.column(4), pa.array(total)], [x.split()[0] for x in out.split(", ")])
+
+    return found.mapInArrow(run, out)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Trains on the documents that are not held out, and scores all."""
-    model, words = train(docs)
-    return score(docs, model, words)
+    model, found = train(docs)
+    return score(found, model)

@@ -298,23 +298,99 @@ def test_brown_lm(docs, rows):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t))
 
 
-def test_brown_model_is_a_distribution(docs, monkeypatch):
-    monkeypatch.setattr(brown_lm, "KNOWN_WORDS", 20)
-    model, words = brown_lm.train(docs)
-    table = {bytes(r.word): r.c for r in words.collect()}
+def brown_classes(docs, rows, monkeypatch):
+    """A model with few unit words, and of each training word its count and class, read from the sequences."""
+    monkeypatch.setattr(brown_lm, "UNIT_WORDS", 20)
+    monkeypatch.setattr(brown_lm, "FIRST_WORDS", 8)
+    monkeypatch.setattr(brown_lm, "UNIT_ENDINGS", 5)
+    model, found = brown_lm.train(docs)
+    found, known, seen = found.collect(), {}, Counter()
+    toks = {}
+    for i, t in ((r[0], r[1]) for r in rows):
+        toks.setdefault((i, len([*bytes_of(t).split(), b""])), [*bytes_of(t).lower().split(), b""])
+    for r in found:
+        t = toks[r.doc_id, r.n_tokens]
+        assert len(t) == len(r.classes) == r.n_tokens
+        for w, k in zip(t, r.classes, strict=True):
+            if not k & brown_lm.UNKNOWN:
+                assert known.setdefault(w, k & 0x3F) == k & 0x3F
+            if not r.held_out:
+                seen[w] += 1
+    return model, found, toks, {w: (seen[w], k) for w, k in known.items()}
+
+
+def test_brown_model_is_a_distribution(docs, rows, monkeypatch):
+    model, _, _, known = brown_classes(docs, rows, monkeypatch)
+    assert len(known) > 1000 and model.units.n_words <= 20 and set(c > 0 for c, _ in known.values()) == {True}
     for before in range(3):
         total = 0.0
         for k in range(brown_lm.CLASSES + 1):
-            own = np.array([c for w, c in table.items() if model.class_of_words([w])[0] == k], np.int64)
+            own = np.array([c for c, of in known.values() if of == k], np.int64)
+            assert own.sum() == model.class_tokens[k] and len(own) == model.class_words[k]
             inside = (10 ** model.emission(own, np.full(len(own), k))).sum() + (10 ** model.emission(np.array([0]), np.array([k])))[0]
             total += 10 ** model.transition[before, k] * inside
         assert total == pytest.approx(1, abs=1e-6)
-    # The joined path gives what the model gives word by word.
-    for r in brown_lm.score(docs.filter("doc_id < 60"), model, words).collect()[:20]:
-        t = [*bytes_of(next(x for i, x in enumerate(texts()) if i == r.doc_id)).lower().split(), b""]
-        k = model.class_of_words(t)
-        c = np.array([table.get(x, 0) for x in t])
-        assert r.score == pytest.approx(model.emission(c, k).sum() + model.transition[np.concatenate([[0], k[:-1]]), k].sum())
+
+
+def test_brown_scores_and_classes_against_brute_force(docs, rows, spark, monkeypatch):
+    model, found, toks, known = brown_classes(docs, rows, monkeypatch)
+    grid = np.zeros((brown_lm.CLASSES + 1,) * 2, np.int64)
+    for r in found:
+        k = [0, *(x & 0x3F for x in r.classes)]
+        if not r.held_out:
+            np.add.at(grid, (k[:-1], k[1:]), 1)
+    assert np.allclose(10.0 ** model.transition, (grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * len(grid)))
+    classes = {(r.doc_id, r.n_tokens): [x & 0x3F for x in r.classes] for r in found}
+    got = brown_lm.score(spark.createDataFrame(found, brown_lm.SEQUENCES), model).collect()
+    for r in got:
+        t, k = toks[r.doc_id, r.n_tokens], classes[r.doc_id, r.n_tokens]
+        c = np.array([known[w][0] if w in known else 0 for w in t])
+        assert r.score == pytest.approx(model.emission(c, np.array(k)).sum() + model.transition[[0, *k[:-1]], k].sum())
+    # A rare word's class is the likeliest by all its contexts.
+    encoded = brown_lm.encode(docs, model.units)
+    of, grid = brown_lm.cluster(brown_lm.neighbours(encoded, model.units), model.units)
+    assert of.tolist() == model.class_of.tolist()
+    log, tokens, fits = brown_lm.transitions(grid), np.log10(np.maximum(grid.sum(0), 1)), {}
+    for r in encoded.filter("not held_out").collect():
+        k = of[np.frombuffer(r.units, "<u2")]
+        t = toks[r.doc_id, r.n_tokens]
+        for i, w in enumerate(t):
+            if w not in model.units.words:
+                fits[w] = fits.get(w, 0) + log[k[i - 1] if i else 0] - tokens + log[:, k[i + 1]]
+    assert len(fits) > 1000
+    for w, f in fits.items():
+        assert f[known[w][1]] >= f[1:].max() - 1e-3
+
+
+def test_wide_sweeps_raise_the_likelihood(docs, rows, monkeypatch):
+    """The likelihood of all units' classes, counted plainly, is that of the class counts, and no lower than at the start."""
+    monkeypatch.setattr(brown_lm, "FIRST_WORDS", 8)
+    monkeypatch.setattr(brown_lm, "UNIT_ENDINGS", 5)
+    words = brown_lm.vocabulary(docs)
+    units = brown_lm.choose_units(words, brown_lm.frequent(words, 800))
+    encoded = brown_lm.encode(docs, units)
+    near = brown_lm.neighbours(encoded, units)
+    of, grid = brown_lm.cluster(near, units)
+    bigrams = np.zeros((units.n, units.n), np.int64)
+    for r in encoded.filter("not held_out").collect():
+        u = np.frombuffer(r.units, "<u2").astype(int)
+        np.add.at(bigrams, (np.concatenate([[0], u[:-1]]), u), 1)
+    one_hot = np.eye(brown_lm.CLASSES + 1, dtype=np.int64)
+    assert (one_hot[of].T @ bigrams @ one_hot[of] == grid).all() and bigrams.sum() == grid.sum()
+    first = units.first_units()
+    start = brown_lm.exchange(brown_lm.class_grid(near, first, int(first.max()) + 1))[first]
+    assert brown_lm.likelihood(grid) > brown_lm.likelihood(one_hot[start].T @ bigrams @ one_hot[start])
+
+
+def test_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(4)
+    bigrams, of, eye = rng.integers(0, 9, (12, 12)), np.array([0, *rng.integers(1, 5, 11)]), np.eye(5, dtype=np.int64)
+    grid = lambda c: eye[c].T @ bigrams @ eye[c]
+    out, into = bigrams @ eye[of], bigrams.T @ eye[of]
+    got = brown_lm.gains(grid(of), out[1:], into[1:], np.diag(bigrams)[1:], of[1:])
+    for u in range(1, 12):
+        moved = [brown_lm.likelihood(grid(np.where(np.arange(12) == u, k, of))) for k in range(1, 5)]
+        assert np.allclose(np.array(moved) - moved[of[u] - 1], got[u - 1, 1:] - got[u - 1, of[u]])
 
 
 def test_exchange_raises_likelihood():

@@ -8,7 +8,8 @@ one row at a time: no shuffle, no Python.
 
 Defined cases: a null text counts as an empty one (no words, so the word-count
 rule fails); repeated rows and repeated or null ids are measured each on its
-own; an empty table gives an empty ledger; further columns are left alone
+own; very long texts are measured whole, within their row; an empty table gives an
+empty ledger; further columns are left alone
 (``ledger`` drops them, ``keep_rows`` returns them).
 """
 
@@ -149,6 +150,13 @@ def keep_rows(docs: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES, te
     return docs.filter(~fails(_ledger_column(F.col(text_col), rules).bits, policy, rules))
 
 
+def only_rule(bits: Column, policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
+    """The name of the policy's rule that alone rejects a text; null if none or several do."""
+    own = bits.bitwiseAND(F.lit(mask(policy, rules)).cast("long"))
+    names = [F.when(own == 1 << r.bit, r.name) for r in rules if r.name in policy.rules]
+    return F.coalesce(*names)
+
+
 def ablation(led: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES) -> DataFrame:
     """For each rule of a policy: rows failing it, failing it alone, and kept without it.
 

@@ -57,9 +57,14 @@ def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality.ledger(_table(spark, sf_dir, "documents"))
-    return quality.apply_policy(led, quality.V1).select(
-        "doc_id", *quality.MEASUREMENTS, quality.fails(F.col("fail_bits"), quality.BASE).alias("base_failed"), "kept", "fail_bits"
+    """Policy v1 decides; the strict one, and what v1 would keep without a rule, come from the same stored ledger."""
+    led = materialize(quality.ledger(_table(spark, sf_dir, "documents")), "quality-ledger")
+    base_failed, strict = quality.fails(F.col("fail_bits"), quality.BASE), ~quality.fails(F.col("fail_bits"), quality.POLICIES["strict"])
+    decided = quality.apply_policy(led, quality.V1).withColumns({"base_failed": base_failed, "kept_strict": strict, "only_rule": quality.only_rule(F.col("fail_bits"), quality.V1)})
+    regained = quality.ablation(led, quality.V1).select(F.col("rule").alias("only_rule"), F.col("n_failed_alone").alias("regained"))
+    # One row for each rule of the policy.
+    return decided.join(F.broadcast(regained), "only_rule", "left").select(
+        "doc_id", *quality.MEASUREMENTS, "base_failed", "kept", "fail_bits", "kept_strict", "only_rule", "regained"
     )
 
 
@@ -82,7 +87,10 @@ b AS (
     + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN word_chars < 3 * n_words THEN 8 ELSE 0 END
     + CASE WHEN word_chars > 10 * n_words THEN 16 ELSE 0 END
     + CASE WHEN 100 * n_dup_lines > 30 * greatest(n_lines, 1) THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 7) = 0 AS kept, fail_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 7) = 0 AS kept, fail_bits, fail_bits = 0 AS kept_strict,
+       CASE fail_bits & 7 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'many_symbols' END AS only_rule,
+       CASE WHEN fail_bits & 7 IN (1, 2, 4) THEN count(*) OVER (PARTITION BY fail_bits & 7) END AS regained
+FROM b
 """
 
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,11 @@ class bigrams most.  It starts on the driver, over the most frequent words and
 endings, and goes on in Spark over all units: each row holds a unit with its
 neighbours, each sweep lets half of the units move against the classes of the
 others, and sweeps end when the likelihood no longer rises.  Then every rare
-training word gets the class that its own contexts make likeliest, by one window
-over its occurrences.  So each word of the training documents has a class from
-its own contexts; an ending names the class of unseen words alone.
+training word gets the class that its own contexts make likeliest, by one sum
+over its occurrences.  So each word of the training documents is emitted from a
+class of its own contexts; unseen words are emitted from their ending's class.
+What comes after a rare or unseen word is conditioned on its ending's class: a
+document then needs the classes of rare words one by one and not in sequence.
 
 Class transitions are smoothed by adding a constant; word emissions by absolute
 discounting, whose discount (from the numbers of words seen once and twice) pays
@@ -25,7 +27,7 @@ for unknown words of the class.
 
 Texts are read twice: to count words, and to store each document as its units and
 its rare words.  Rare words meet in a shuffle by word, where none is frequent, so
-no key is hot, and go back to their documents by number.
+no key is hot; what they give is summed by document.
 
 Defined cases: a null or empty text is its end alone; a null id counts as held
 out; repeated rows are counted and scored each on its own; very long texts are
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import materialize
+from quarry.llm.storage import discard, materialize
 from quarry.llm.words import ascii_words
 
 #: The token that ends a text; no word is empty.
@@ -60,8 +62,6 @@ SWEEPS, WIDE_SWEEPS = 12, 6
 TRANSITION, BASE = 0.5, 0.1
 #: Entries of a worker's tables before it passes them on or starts anew; units that are judged at once.
 HELD, TOGETHER = 400_000, 256
-#: Marks of a token's class byte: an unknown word, and the first occurrence of a rare training word.
-UNKNOWN, FIRST = 0x40, 0x80
 
 
 def ending(word: bytes) -> bytes:
@@ -262,7 +262,9 @@ def neighbours(encoded: DataFrame, units: Units) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "split", "others", "counts"])
 
-    return materialize(ordered.mapInArrow(pack, "unit int, split int, others binary, counts binary"), "lm-neighbours")
+    packed = materialize(ordered.mapInArrow(pack, "unit int, split int, others binary, counts binary"), "lm-neighbours")
+    discard(pairs)
+    return packed
 
 
 def _side_counts(b: pa.RecordBatch, of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -407,15 +409,19 @@ def transitions(grid: np.ndarray) -> np.ndarray:
     return np.log10((grid + TRANSITION) / (grid.sum(1, keepdims=True) + TRANSITION * len(grid)))
 
 
-# --- rare words, and sequences of classes ------------------------------------
+# --- rare words ---------------------------------------------------------------
+
+
+def _array(values: Iterable[float]) -> str:
+    """A constant array for an SQL expression."""
+    return f"array({', '.join(f'{x:.12e}D' for x in values)})"
 
 
 def rare_words(encoded: DataFrame, units: Units, of: np.ndarray, grid: np.ndarray) -> DataFrame:
-    """no, pos, c and k of each rare word: its place, its count in training documents, and its class.
+    """no, held_out, h, k and c of each rare word: the class before it, its own, and its count in training documents; written once.
 
-    The class is the one that is likeliest by all its training contexts; that of
-    its ending where it has none.  k is marked with FIRST at one occurrence of
-    each training word.
+    Its class is the one that is likeliest by all its training contexts; that of
+    its ending where it has none.
     """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,25 +432,21 @@ def rare_words(encoded: DataFrame, units: Units, of: np.ndarray, grid: np.ndarra
             k = of[u]
             at = np.flatnonzero(u > units.n_words)
             row = np.repeat(np.arange(len(size)), size)[at]
+            held = b.column(1).to_numpy(zero_copy_only=False)[row].astype(np.int64)
             # A rare word is never the end, so something follows it in its document.
-            context = np.where(b.column(1).to_numpy(zero_copy_only=False)[row], 0, 1 + _after_end(k)[at] * (CLASSES + 1) + k[np.minimum(at + 1, len(k) - 1)])
-            pos = at - (np.cumsum(size) - size)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), rare.flatten(), pa.array(pos << 24 | k[at] << 16 | context)], ["no", "word", "info"])
-
-    rows = encoded.select("no", "held_out", "units", "rare").mapInArrow(emit, "no long, word binary, info long")
-    log, word = transitions(grid), W.partitionBy("word")
-    tokens = np.log10(np.maximum(grid.sum(0), 1))
-    table = lambda xs: f"array({', '.join(f'{x:.6f}D' for x in xs)})"
-    context = F.col("info").bitwiseAND(0xFFFF)
-    seen = rows.withColumns({"h": ((context - 1) / (CLASSES + 1)).cast("int"), "x": ((context - 1) % (CLASSES + 1)).cast("int"), "training": context > 0})
-    fits = [F.sum(F.when(F.col("training"), F.expr(f"get({table(log[:, k] - tokens[k])}, h) + get({table(log[k])}, x)"))).over(word) for k in range(1, CLASSES + 1)]
-    here = F.struct("no", "info")
-    judged = seen.select(
-        "no", "info", F.count_if("training").over(word).alias("c"), F.array(*fits).alias("fits"), (F.min(F.when(F.col("training"), here)).over(word) == here).alias("first")
+            info = held << 24 | k[at] << 16 | k[np.minimum(at + 1, len(k) - 1)] << 8 | _after_end(k)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), rare.flatten(), pa.array(info.astype(np.int32))], ["no", "word", "info"])
+
+    rows = encoded.select("no", "held_out", "units", "rare").mapInArrow(emit, "no long, word binary, info int").repartition("word")
+    field = lambda shift: F.shiftright("info", shift).bitwiseAND(0xFF)
+    log, tokens = transitions(grid), np.log10(np.maximum(grid.sum(0), 1))
+    fits = [F.sum(F.expr(f"get({_array(log[:, k] - tokens[k])}, info & 255) + get({_array(log[k])}, shiftright(info, 8) & 255)")) for k in range(1, CLASSES + 1)]
+    training = rows.filter(field(24) == 0).groupBy("word").agg(F.count("*").alias("c"), F.array(*fits).alias("fits"))
+    classes = training.select("word", "c", F.array_position("fits", F.array_max("fits")).cast("int").alias("best"))
+    out = rows.join(classes, "word", "left").select(
+        "no", (field(24) == 1).alias("held_out"), field(0).alias("h"), F.coalesce("best", field(16)).alias("k"), F.coalesce("c", F.lit(0)).alias("c")
     )
-    best = F.array_position("fits", F.array_max("fits"))
-    k = F.when(F.col("c") > 0, best + F.when(F.coalesce("first", F.lit(False)), FIRST).otherwise(0)).otherwise(F.shiftright("info", 16).bitwiseAND(0xFF))
-    return judged.select("no", F.shiftright("info", 24).alias("pos"), "c", k.cast("long").alias("k"))
+    return materialize(out, "lm-rare")
 
 
 @dataclass
@@ -464,99 +466,86 @@ class Model:
         mass = np.where(c > 0, c - self.discount, self.discount * self.class_words[k])
         return np.where(self.class_tokens[k] > 0, np.log10(np.maximum(mass, 1e-300) / np.maximum(self.class_tokens[k], 1)), 0.0)
 
+    @property
+    def whole(self) -> float:
+        return self.train_tokens + BASE * (self.train_words + 1)
 
-SEQUENCES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, seen double, classes binary"
-
-
-def sequences(encoded: DataFrame, rare: DataFrame, units: Units, of: np.ndarray, counts: np.ndarray, discount: float, tokens: int, words: int) -> DataFrame:
-    """Documents as classes (one byte a token), with what needs the counts of words already summed; written once."""
-    grouped = rare.groupBy("no").agg(F.collect_list(F.struct("pos", "c", "k")).alias("found"))
-    joined = encoded.join(grouped, "no", "left").select("doc_id", "held_out", "n_tokens", "units", "found")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blobs = b.column(3).to_pylist()
-            size = np.array([len(x) // 2 for x in blobs], np.int64)
-            u, found = _joined(blobs, "<u2"), b.column(4)
-            rare, starts = found.flatten(), np.cumsum(size) - size
-            pos, c_rare, k_rare = (rare.field(x).to_numpy() for x in range(3))
-            owner = np.repeat(np.arange(len(size)), found.value_lengths().fill_null(0).to_numpy())
-            at = starts[owner] + pos
-            k, c = of[u].astype(np.uint8), counts[np.minimum(u, units.n_words)].astype(float)
-            k[at], c[at] = k_rare, c_rare
-            k[c == 0] |= UNKNOWN
-            known, total = c > 0, np.add.reduceat
-            base = total(np.log10((c + BASE) / (tokens + BASE * (words + 1))), starts)
-            seen = total(np.where(known, np.log10(np.maximum(c - discount, 1e-300)), 0.0), starts)
-            flat = k.tobytes()
-            classes = [flat[s : s + n] for s, n in zip(starts.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(x) for x in range(3)), pa.array(total(known.astype(np.int64), starts)), pa.array(base), pa.array(seen), pa.array(classes, pa.binary())],
-                [x.split()[0] for x in SEQUENCES.split(", ")],
-            )
-
-    return materialize(joined.mapInArrow(run, SEQUENCES), "lm-sequences")
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + BASE) / self.whole)
 
 
-def _class_sums(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of training documents: counts [class, next class], and rare words by class."""
+def _word_transitions(encoded: DataFrame, units: Units, of: np.ndarray) -> np.ndarray:
+    """Counts [class, class of a word that is a unit after it] in training documents."""
     width = CLASSES + 1
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((width + 1) ** 2, np.int64)
+        sums = np.zeros(width * width, np.int64)
         for b in batches:
-            flat = _joined(b.column(0).to_pylist(), np.uint8)
-            k = (flat & 0x3F).astype(np.int64)
-            sums += np.bincount(_after_end(k) * (width + 1) + k, minlength=len(sums))
-            sums += np.bincount(width * (width + 1) + k[flat & FIRST > 0], minlength=len(sums))
+            u = _joined(b.column(0).to_pylist(), "<u2")
+            k = of[u]
+            sums += np.bincount((_after_end(k) * width + k)[u <= units.n_words], minlength=len(sums))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["pair", "n"])
 
-    sums = _square(found.filter(~F.col("held_out")).select("classes").mapInArrow(count, "pair long, n long"), width + 1)
-    return sums[:width, :width], sums[width, :width]
+    return _square(encoded.filter(~F.col("held_out")).select("units").mapInArrow(count, "pair long, n long"), width)
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and all documents as sequences of classes."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, all documents as units, and their rare words with classes."""
     words = vocabulary(docs)
     top = frequent(words, UNIT_WORDS)
     units = choose_units(words, top)
     tokens, distinct, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    ends = words.filter(F.col("word") == F.lit(END)).select("c").first()
-    # By unit; what comes after the words (endings) has counts of rare words instead.
-    counts = np.array([ends[0] if ends else 0, *(top[w] for w in units.names)], np.int64)
+    counts = np.array([top.get(w, 0) for w in (END, *units.names)], np.int64)
     encoded = encode(docs, units)
-    of, grid = cluster(neighbours(encoded, units), units)
-    found = sequences(encoded, rare_words(encoded, units, of, grid), units, of, counts, discount, tokens, distinct)
-    between, rare = _class_sums(found)
-    class_words = rare + np.bincount(of[: len(counts)][counts > 0], minlength=CLASSES + 1)
-    return Model(units, of, counts, transitions(between), between.sum(0), class_words, discount, tokens, distinct), found
+    near = neighbours(encoded, units)
+    of, grid = cluster(near, units)
+    discard(near)
+    rare = rare_words(encoded, units, of, grid)
+    # A word of count c adds 1 / c at each of its occurrences, so it counts once.
+    sums = rare.filter(~F.col("held_out")).groupBy((F.col("h") * (CLASSES + 1) + F.col("k")).cast("long").alias("pair")).agg(F.count("*").alias("n"), F.sum(1 / F.col("c")).alias("words")).collect()
+    between, class_words = _word_transitions(encoded, units, of), np.bincount(of[: len(counts)][counts > 0], minlength=CLASSES + 1).astype(float)
+    for r in sums:
+        between[divmod(r["pair"], CLASSES + 1)] += r["n"]
+        class_words[r["pair"] % (CLASSES + 1)] += r["words"]
+    return Model(units, of, counts, transitions(between), between.sum(0), class_words.round().astype(np.int64), discount, tokens, distinct), encoded, rare
+
+
+PART = "no long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
 
 
-def score(found: DataFrame, model: Model) -> DataFrame:
+def score(encoded: DataFrame, rare: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    everything = np.arange(CLASSES + 1)
-    unknown = model.emission(np.zeros(CLASSES + 1, np.int64), everything)
-    # A word that was seen has log10(c - discount) summed already.
-    seen = -np.log10(np.maximum(model.class_tokens, 1))
+    width, seen = CLASSES + 1, -np.log10(np.maximum(model.class_tokens, 1))
+    emission, base = model.emission(model.counts, model.class_of[: len(model.counts)]), model.base(model.counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = b.column(6).to_pylist()
-            size = np.array([len(x) for x in blobs], np.int64)
-            flat = _joined(blobs, np.uint8)
-            k = (flat & 0x3F).astype(np.int64)
-            each = model.transition[_after_end(k), k] + np.where(flat & UNKNOWN > 0, unknown[k], seen[k])
-            total = np.add.reduceat(each, np.cumsum(size) - size) + b.column(5).to_numpy()
-            n = pa.array(np.full(len(size), model.train_tokens, np.int64))
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in range(4)), n, b.column(4), pa.array(total)], [x.split()[0] for x in out.split(", ")])
-
-    return found.mapInArrow(run, out)
+            blobs = b.column(4).to_pylist()
+            size = np.array([len(x) // 2 for x in blobs], np.int64)
+            u = _joined(blobs, "<u2")
+            own, k, starts = u <= model.units.n_words, model.class_of[u], np.cumsum(size) - size
+            word = np.where(own, u, 0)
+            total = lambda each: np.add.reduceat(np.where(own, each, 0), starts)
+            known, given = total((model.counts[word] > 0).astype(np.int64)), total(model.transition[_after_end(k), k] + emission[word])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in range(4)), pa.array(known), pa.array(total(base[word])), pa.array(given)], [x.split()[0] for x in PART.split(", ")])
+
+    parts = encoded.select("no", "doc_id", "held_out", "n_tokens", "units").mapInArrow(run, PART)
+    c, known = F.col("c"), F.col("c") > 0
+    unknown = model.emission(np.zeros(width, np.int64), np.arange(width))
+    emitted = F.when(known, F.log10(c - model.discount) + F.expr(f"get({_array(seen)}, k)")).otherwise(F.expr(f"get({_array(unknown)}, k)"))
+    sums = rare.groupBy("no").agg(
+        F.count_if(known).alias("rare_known"), F.sum(F.log10((c + BASE) / model.whole)).alias("rare_base"), F.sum(F.expr(f"get({_array(model.transition.ravel())}, h * {width} + k)") + emitted).alias("rare_score")
+    )
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    return parts.join(sums, "no", "left").select(
+        "doc_id", "held_out", "n_tokens", plus("known", "rare_known").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        plus("base", "rare_base").alias("base_score"), plus("score", "rare_score").alias("score"),
+    )
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Trains on the documents that are not held out, and scores all."""
-    model, found = train(docs)
-    return score(found, model)
+    model, encoded, rare = train(docs)
+    return score(encoded, rare, model)

@@ -7,13 +7,17 @@ independent, so those of all images of a batch are decoded in step, each numpy
 operation taking one symbol of every interval.
 
 ``encode_bytes`` stores bytes without loss in that thumbnail: each byte is one
-flat block (quantiser 8, so the DC coefficient is the byte less 128), 24 blocks
-or more wide, a restart interval for each row of 24.  A payload above the format's
-largest image goes into several images, one after another.
-
-Defined cases: a null or empty text becomes one row of padding; repeated rows get
-equal values; null ids are kept; an empty table gives no rows; further columns
-are ignored.
+flat block (quantiser 8, so the DC coefficient is the sample less 128), 96 blocks
+or more wide, a restart interval for each row of 96.  Samples are bytes in another
+order, in which characters that are frequent in text lie around 128: neighbours
+then differ by little, and short differences have short codes.  A payload above
+the format's largest image goes into several images, one after another; images
+are encoded and decoded some megabytes at a time, however long one text is.
+
+Defined cases: a null or empty text becomes one unit of padding; a very long text
+becomes several images, of which some megabytes are expanded at once; repeated
+rows get equal values; null ids are kept; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The payload's unit, its padding byte, blocks of a restart interval, and the largest side in blocks.
-UNIT, PAD, INTERVAL, MOST_BLOCKS = 576, 255, 24, 8184
+UNIT, PAD, INTERVAL, MOST_BLOCKS = 576, 255, 96, 8184
+#: Characters in their order of frequency in running text; all other bytes follow in theirs.
+FREQUENT = " eaionrtslhdcumpgbfvkwyzjx.,\n"
 #: How often each code length occurs, and the symbols by code, of the standard luminance DC table.
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_SYMBOLS = tuple(range(12))
@@ -40,6 +46,22 @@ AC_LENGTHS, AC_SYMBOLS = (1, *[0] * 15), (0,)
 BATCH_BYTES = 1 << 21
 
 
+@cache
+def sample_of_byte() -> np.ndarray:
+    """Bytes by rank are 128, 127, 129, 126, 130 and so on."""
+    first = list(FREQUENT.encode())
+    ranked = np.array(first + [b for b in range(256) if b not in first])
+    rank = np.arange(256)
+    out = np.zeros(256, np.uint8)
+    out[ranked] = 128 + np.where(rank % 2, -(rank + 1) // 2, rank // 2)
+    return out
+
+
+@cache
+def byte_of_sample() -> np.ndarray:
+    return np.argsort(sample_of_byte()).astype(np.uint8)
+
+
 def canonical_codes(lengths: Iterable[int], symbols: Iterable[int]) -> dict[int, tuple[int, int]]:
     """symbol: (code, length), codes counting up within and across lengths."""
     code, out, left = 0, {}, iter(symbols)
@@ -97,17 +119,26 @@ def shape_of(n: int) -> tuple[int, int]:
 
 
 def images_of(n: int) -> list[int]:
-    """Bytes of each image of a payload: whole units, as many as one row of 24 blocks allows down, or one image."""
-    most = MOST_BLOCKS // 24 * UNIT
-    return [n] if n <= most else [most] * (n // most) + ([n % most] if n % most else [])
+    """Bytes of each image of a payload: whole units, as many as one row of INTERVAL blocks allows down."""
+    most = MOST_BLOCKS // (UNIT // INTERVAL) * UNIT
+    return [most] * (n // most) + ([n % most] if n % most else [])
 
 
-def encode_bytes(payloads: list[bytes]) -> list[bytes]:
-    """The media of each payload (multiples of UNIT bytes)."""
-    parts = [(k, size) for k, p in enumerate(payloads) for size in images_of(len(p))]
-    if not parts:
-        return []
-    flat = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16).reshape(-1, INTERVAL)
+def grouped(sizes: Iterable[int], most: int = BATCH_BYTES) -> Iterator[slice]:
+    """Runs of items of some ``most`` together."""
+    start, total, k = 0, 0, -1
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield slice(start, k + 1)
+            start, total = k + 1, 0
+    if start <= k:
+        yield slice(start, k + 1)
+
+
+def _encode_images(parts: list[memoryview]) -> Iterator[bytes]:
+    """One image for each part, of whole intervals."""
+    flat = sample_of_byte()[np.frombuffer(b"".join(parts), np.uint8)].astype(np.int16).reshape(-1, INTERVAL)
     diff = np.diff(flat - 128, axis=1, prepend=np.int16(0)) + 255
     bits, used = _difference_bits()
     lengths = used.sum(1)[diff].sum(1)
@@ -128,16 +159,30 @@ def encode_bytes(payloads: list[bytes]) -> list[bytes]:
     out = np.zeros(int(place[-1] + 1 + extra[-1]), np.uint8)
     out[place] = data
     after = place[ends - 1] + 1 + stuffed[ends - 1]
-    counts = [size // INTERVAL for _, size in parts]
+    counts = [len(p) // INTERVAL for p in parts]
     within = np.concatenate([np.arange(c) for c in counts])
     out[after], out[after + 1] = 0xFF, 0xD0 + within % 8
-    stops = after + 2
-    media, row, at = [b""] * len(payloads), 0, 0
-    for (k, size), count in zip(parts, counts, strict=True):
+    stops, row, at = after + 2, 0, 0
+    for p, count in zip(parts, counts, strict=True):
         row += count
-        media[k] += _header(*shape_of(size)) + out[at : stops[row - 1] - 2].tobytes() + b"\xff\xd9"
+        yield _header(*shape_of(len(p))) + out[at : stops[row - 1] - 2].tobytes() + b"\xff\xd9"
         at = int(stops[row - 1])
-    return media
+
+
+def encode_bytes(payloads: list[bytes]) -> list[bytes]:
+    """The media of each payload (multiples of UNIT bytes)."""
+    parts, owner = [], []
+    for k, p in enumerate(payloads):
+        view, at = memoryview(p), 0
+        for n in images_of(len(p)):
+            parts.append(view[at : at + n])
+            owner.append(k)
+            at += n
+    media: list[list[bytes]] = [[] for _ in payloads]
+    for s in grouped(map(len, parts)):
+        for k, image in zip(owner[s], _encode_images(parts[s]), strict=True):
+            media[k].append(image)
+    return [b"".join(m) for m in media]
 
 
 class Image:
@@ -314,18 +359,6 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
     return np.packbits(mean[:, :-1] > mean[:, 1:]).tobytes().hex()
 
 
-def _by_bytes(column: pa.Array) -> Iterator[slice]:
-    """Runs of rows of some BATCH_BYTES together."""
-    start, size = 0, 0
-    for k, n in enumerate(len(x) if x is not None else 0 for x in column.to_pylist()):
-        size += n
-        if size >= BATCH_BYTES:
-            yield slice(start, k + 1)
-            start, size = k + 1, 0
-    if start < len(column):
-        yield slice(start, len(column))
-
-
 def padded(text: bytes) -> bytes:
     return text + bytes([PAD]) * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
@@ -336,7 +369,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            for s in _by_bytes(b.column(1)):
+            for s in grouped(len(t or b"") for t in texts):
                 media = encode_bytes([padded(t or b"") for t in texts[s]])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), pa.array(media, pa.binary())], ["doc_id", "media"])
 
@@ -348,22 +381,40 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 _FEATURES = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in FEATURES.split(", ")])
 
 
+class _Payload:
+    """What is known of a media value's payload as its images are decoded, in order."""
+
+    def __init__(self, doc_id: int | None, media: bytes):
+        self.doc_id, self.media, self.sum, self.hashes = doc_id, media, hashlib.sha256(), []
+        self.n = self.width = self.height = 0
+        self.last = b""
+
+    def add(self, pixels: np.ndarray) -> None:
+        self.last = byte_of_sample()[pixels].tobytes()
+        self.sum.update(self.last)
+        self.hashes.append(thumbnail_hash(pixels))
+        self.n += len(self.last)
+        self.width, self.height = self.width or 8 * pixels.shape[1], self.height + 8 * pixels.shape[0]
+
+    def row(self) -> tuple:
+        # Padding is less than a unit or all of an only one, so it lies in the last image; UTF-8 has no byte 255.
+        pad = len(self.last) - len(self.last.rstrip(bytes([PAD])))
+        digests = self.sum.hexdigest(), zlib.crc32(self.last[-32:]), len(self.media), hashlib.sha256(self.media).hexdigest()
+        return self.doc_id, self.n - pad, self.n, *digests, self.width, self.height, len(self.hashes), f"{self.width}x{self.height}:{'.'.join(self.hashes)}"
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Dimensions, digests and thumbnail hash of each media value, from its stored bytes alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, values = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for s in _by_bytes(b.column(1)):
-                parsed = [parse_media(m) for m in values[s]]
-                pixels = iter(decode_luminance([im for images in parsed for im in images]))
-                rows = []
-                for doc_id, m, images in zip(ids[s], values[s], parsed, strict=True):
-                    own = [next(pixels) for _ in images]
-                    payload, n = b"".join(p.tobytes() for p in own), len(images)
-                    hashes = ".".join(map(thumbnail_hash, own))
-                    width, height = images[0].width, sum(im.height for im in images)
-                    rows.append((doc_id, len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), width, height, n, f"{width}x{height}:{hashes}"))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FEATURES, strict=True)], schema=_FEATURES)
+            for s in grouped(map(len, values)):
+                found = [_Payload(doc_id, m) for doc_id, m in zip(ids[s], values[s], strict=True)]
+                parts = [(f, im) for f in found for im in parse_media(f.media)]
+                for some in grouped(im.width * im.height // 64 for _, im in parts):
+                    for (f, _), pixels in zip(parts[some], decode_luminance([im for _, im in parts[some]]), strict=True):
+                        f.add(pixels)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(f.row() for f in found), strict=True), _FEATURES, strict=True)], schema=_FEATURES)
 
     return media.mapInArrow(run, FEATURES)

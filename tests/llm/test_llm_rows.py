@@ -105,6 +105,57 @@ def test_sharding(docs, rows, monkeypatch):
 
 
 
+def test_native_draws_follow_the_law(spark):
+    """Counts by column expressions: their law on small cases, and sums and bounds on large ones."""
+    rows = spark.range(20_000).select(sharding.hypergeometric_column(F.lit(6).cast("long"), F.lit(9).cast("long"), F.lit(5).cast("long"), (F.col("id") + 0.5) / 20_000).alias("k"))
+    got = Counter(r.k for r in rows.collect())
+    for k in range(6):
+        assert abs(got[k] - 20_000 * math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5)) <= 1
+    big = spark.range(50).select(sharding.hypergeometric_column(F.lit(10**6).cast("long"), F.lit(3 * 10**6).cast("long"), F.lit(10**5).cast("long"), (F.col("id") + 0.5) / 50).alias("k"))
+    ks = [r.k for r in big.collect()]
+    assert ks == sorted(ks) and abs(np.mean(ks) - 25_000) < 20 and abs(np.std(ks) - 135) < 12
+    for n in (0, 1, 15, 16, 17, 1000, 10**9):
+        assert spark.range(1).select(sharding.log_factorial(F.lit(n).cast("long")).alias("x")).first().x == pytest.approx(math.lgamma(n + 1), rel=1e-12, abs=1e-11)
+
+
+def test_matrix_drawn_in_levels(spark, monkeypatch):
+    """Few groups on the driver and many blocks: exact sizes, even with 100,000 equal rows of a null id."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 2000)
+    monkeypatch.setattr(sharding, "MOST_GROUPS", 4)
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("text"))
+    got = sharding.shuffle_documents(docs, 7).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert sorted(r.n for r in got) == sorted(sharding.equal_sizes(100_000, 7)) and all(r.n == r.d == r.m + 1 for r in got)
+
+
+def test_sharding_against_a_plain_deal(spark, monkeypatch):
+    """The same draws, dealt row by row in Python."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 8)
+    monkeypatch.setattr(sharding, "MOST_GROUPS", 3)
+    rows = spark.range(300).select("id", (F.col("id") % 5).alias("v")).repartition(3).cache()
+    held, counts = [], {}
+    plain, blocks = sharding.materialize, sharding.block_counts
+    monkeypatch.setattr(sharding, "materialize", lambda df, tag: held.append(out := plain(df, tag)) or out)
+    monkeypatch.setattr(sharding, "block_counts", lambda *a: counts.setdefault("all", blocks(*a)))
+    got = {(r.id, r.v): (r.shard, r.slot) for r in sharding.assign(rows, 4).collect()}
+    of_block = {r._block: r._counts for r in counts["all"].collect()}
+    draw = lambda k: F.xxhash64(F.lit(f"42/{k}"), "_at", "id", "v").alias(k)
+    drawn = held[0].select("id", "v", "_at", draw("block"), draw("first"), draw("second")).collect()
+    n_blocks = len(of_block)
+    assert n_blocks > 8 and [sum(c) for c in zip(*of_block.values(), strict=True)] == [75] * 4
+    shards = [[] for _ in range(4)]
+    for b, wanted in of_block.items():
+        mine = sorted((r for r in drawn if r.block % n_blocks == b), key=lambda r: (r.first, r._at))
+        assert len(mine) == sum(wanted)
+        for k, n in enumerate(wanted):
+            shards[k] += mine[:n]
+            mine = mine[n:]
+    for k, members in enumerate(shards):
+        # Ranges are those of the unsigned hash, rows within one in signed order.
+        order = sorted(members, key=lambda r: ((r.second & (1 << 64) - 1) >> 60, r.second, r._at))
+        assert [got[r.id, r.v] for r in order] == [(k, j) for j in range(len(order))]
+
+
 def water(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w, capped, total = {n: weights[i % 3] for i, n in enumerate(names)}, set(), sum(sizes.values())
@@ -298,70 +349,108 @@ def test_brown_lm(docs, rows):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t))
 
 
-def brown_classes(docs, rows, monkeypatch):
-    """A model with few unit words, and of each training word its count and class, read from the sequences."""
+@pytest.fixture
+def brown(docs, rows, monkeypatch):
+    """A model with few unit words; tokens of each document number; count and class of each training word."""
     monkeypatch.setattr(brown_lm, "UNIT_WORDS", 20)
     monkeypatch.setattr(brown_lm, "FIRST_WORDS", 8)
     monkeypatch.setattr(brown_lm, "UNIT_ENDINGS", 5)
-    model, found = brown_lm.train(docs)
-    found, known, seen = found.collect(), {}, Counter()
-    toks = {}
-    for i, t in ((r[0], r[1]) for r in rows):
-        toks.setdefault((i, len([*bytes_of(t).split(), b""])), [*bytes_of(t).lower().split(), b""])
-    for r in found:
-        t = toks[r.doc_id, r.n_tokens]
-        assert len(t) == len(r.classes) == r.n_tokens
-        for w, k in zip(t, r.classes, strict=True):
-            if not k & brown_lm.UNKNOWN:
-                assert known.setdefault(w, k & 0x3F) == k & 0x3F
-            if not r.held_out:
-                seen[w] += 1
-    return model, found, toks, {w: (seen[w], k) for w, k in known.items()}
-
-
-def test_brown_model_is_a_distribution(docs, rows, monkeypatch):
-    model, _, _, known = brown_classes(docs, rows, monkeypatch)
-    assert len(known) > 1000 and model.units.n_words <= 20 and set(c > 0 for c, _ in known.values()) == {True}
+    model, encoded, rare = brown_lm.train(docs)
+    units, toks, known, of_no = model.units, {}, {}, {}
+    for w, c in zip((b"", *units.names), model.counts.tolist(), strict=True):
+        known[w] = (c, int(model.class_of[units.words[w]]))
+    for r in rare.collect():
+        of_no.setdefault(r.no, []).append((r.h, r.k, r.c))
+    for r in encoded.collect():
+        u, words = np.frombuffer(r.units, "<u2"), iter(map(bytes, r.rare))
+        named = [b"", *units.names]
+        toks[r.no] = (r.doc_id, r.held_out, [named[x] if x <= units.n_words else next(words) for x in u.tolist()])
+    return model, encoded, rare, toks, known, of_no
+
+
+def history(model, word):
+    return int(model.class_of[model.units.of(word)])
+
+
+def test_brown_documents_come_back(brown, rows):
+    model, encoded, rare, toks, known, of_no = brown
+    assert Counter((i, tuple(t)) for i, _, t in toks.values()) == Counter((r[0], (*bytes_of(r[1]).lower().split(), b"")) for r in rows)
+    assert model.units.n_words <= 20 and sum(map(len, of_no.values())) > 5000
+
+
+def rare_classes(brown):
+    """The class that every rare training word should have, by all its contexts, and ties."""
+    model, encoded, _, toks, known, _ = brown
+    of, grid = brown_lm.cluster(brown_lm.neighbours(encoded, model.units), model.units)
+    assert of.tolist() == model.class_of.tolist()
+    log, tokens, fits, count = brown_lm.transitions(grid), np.log10(np.maximum(grid.sum(0), 1)), {}, Counter()
+    for _, held, t in toks.values():
+        for i, w in enumerate(t):
+            if not held and w not in model.units.words:
+                fits[w] = fits.get(w, 0) + log[history(model, t[i - 1]) if i else 0] - tokens + log[:, history(model, t[i + 1])]
+                count[w] += 1
+    return fits, count
+
+
+def test_brown_scores_against_brute_force(brown):
+    model, encoded, rare, toks, known, of_no = brown
+    fits, count = rare_classes(brown)
+    classes = {}
+    for no, (_, _, t) in toks.items():
+        before = [0, *(history(model, w) for w in t[:-1])]
+        want = [(h, w) for h, w in zip(before, t, strict=True) if w not in model.units.words]
+        got = sorted(of_no.get(no, []))
+        ks = {}
+        for h, w in want:
+            # Any class within rounding of the best will do, but one for each word.
+            ok = [k for k in range(1, 33) if fits[w][k] >= fits[w][1:].max() - 1e-9] if w in fits else [history(model, w)]
+            ks.setdefault((h, count[w]), []).append(ok)
+            if len(ok) == 1:
+                classes[w] = ok[0]
+        for (h, c), oks in ks.items():
+            mine = [k for a, k, n in got if (a, n) == (h, c)]
+            assert len(mine) == len(oks) and all(any(k in ok for ok in oks) for k in mine)
+    assert len(classes) > 1000
+    grid, words = np.zeros((33, 33), np.int64), Counter()
+    for no, (_, held, t) in toks.items():
+        if not held:
+            for i, w in enumerate(t):
+                if w in model.units.words:
+                    grid[history(model, t[i - 1]) if i else 0, known[w][1]] += 1
+            for h, k, _ in of_no.get(no, []):
+                grid[h, k] += 1
+    assert np.allclose(10.0 ** model.transition, (grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * 33))
+    assert model.class_tokens.tolist() == grid.sum(0).tolist() and model.class_words.sum() == model.train_words
+    by_id = {}
+    for no, (i, held, t) in toks.items():
+        total = sum(model.emission(np.array([c]), np.array([k]))[0] + model.transition[h, k] for h, k, c in of_no.get(no, []))
+        for j, w in enumerate(t):
+            if w in model.units.words:
+                c, k = known[w]
+                total += model.emission(np.array([c]), np.array([k]))[0] + model.transition[history(model, t[j - 1]) if j else 0, k]
+        by_id.setdefault((i, len(t)), []).append(total)
+    for r in brown_lm.score(encoded, rare, model).collect():
+        assert any(r.score == pytest.approx(x) for x in by_id[r.doc_id, r.n_tokens])
+
+
+def test_brown_model_is_a_distribution(brown):
+    model, _, _, toks, known, of_no = brown
+    # Rare words by class: each occurrence of a training word counts one part of it.
+    parts = [Counter() for _ in range(33)]
+    for no, (_, held, _) in toks.items():
+        for _, k, c in of_no.get(no, []):
+            if not held:
+                parts[k][c] += 1
     for before in range(3):
         total = 0.0
-        for k in range(brown_lm.CLASSES + 1):
-            own = np.array([c for c, of in known.values() if of == k], np.int64)
+        for k in range(33):
+            own = np.array([c for c, of in known.values() if of == k and c] + [c for c, n in parts[k].items() for _ in range(n // c)], np.int64)
             assert own.sum() == model.class_tokens[k] and len(own) == model.class_words[k]
             inside = (10 ** model.emission(own, np.full(len(own), k))).sum() + (10 ** model.emission(np.array([0]), np.array([k])))[0]
             total += 10 ** model.transition[before, k] * inside
         assert total == pytest.approx(1, abs=1e-6)
 
 
-def test_brown_scores_and_classes_against_brute_force(docs, rows, spark, monkeypatch):
-    model, found, toks, known = brown_classes(docs, rows, monkeypatch)
-    grid = np.zeros((brown_lm.CLASSES + 1,) * 2, np.int64)
-    for r in found:
-        k = [0, *(x & 0x3F for x in r.classes)]
-        if not r.held_out:
-            np.add.at(grid, (k[:-1], k[1:]), 1)
-    assert np.allclose(10.0 ** model.transition, (grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * len(grid)))
-    classes = {(r.doc_id, r.n_tokens): [x & 0x3F for x in r.classes] for r in found}
-    got = brown_lm.score(spark.createDataFrame(found, brown_lm.SEQUENCES), model).collect()
-    for r in got:
-        t, k = toks[r.doc_id, r.n_tokens], classes[r.doc_id, r.n_tokens]
-        c = np.array([known[w][0] if w in known else 0 for w in t])
-        assert r.score == pytest.approx(model.emission(c, np.array(k)).sum() + model.transition[[0, *k[:-1]], k].sum())
-    # A rare word's class is the likeliest by all its contexts.
-    encoded = brown_lm.encode(docs, model.units)
-    of, grid = brown_lm.cluster(brown_lm.neighbours(encoded, model.units), model.units)
-    assert of.tolist() == model.class_of.tolist()
-    log, tokens, fits = brown_lm.transitions(grid), np.log10(np.maximum(grid.sum(0), 1)), {}
-    for r in encoded.filter("not held_out").collect():
-        k = of[np.frombuffer(r.units, "<u2")]
-        t = toks[r.doc_id, r.n_tokens]
-        for i, w in enumerate(t):
-            if w not in model.units.words:
-                fits[w] = fits.get(w, 0) + log[k[i - 1] if i else 0] - tokens + log[:, k[i + 1]]
-    assert len(fits) > 1000
-    for w, f in fits.items():
-        assert f[known[w][1]] >= f[1:].max() - 1e-3
-
-
 def test_wide_sweeps_raise_the_likelihood(docs, rows, monkeypatch):
     """The likelihood of all units' classes, counted plainly, is that of the class counts, and no lower than at the start."""
     monkeypatch.setattr(brown_lm, "FIRST_WORDS", 8)
@@ -416,12 +505,24 @@ def test_jpeg(docs, rows):
 
 
 def test_jpeg_payloads_and_parts():
-    payloads = [bytes([255]) * 576, bytes(range(256)) * 9, b"\0\xff" * 288, random.Random(1).randbytes(576 * 900)]
+    payloads = [bytes([255]) * 576, bytes(range(256)) * 9, b"\0\xff" * 288, random.Random(1).randbytes(576 * 3000)]
     media = jpeg.encode_bytes(payloads)
     images = [jpeg.parse_media(m) for m in media]
     flat = iter(jpeg.decode_luminance([i for x in images for i in x]))
-    assert [b"".join(next(flat).tobytes() for _ in x) for x in images] == payloads
-    assert [len(x) for x in images] == [1, 1, 1, 3] and images[0][0].width == 192
+    assert [b"".join(jpeg.byte_of_sample()[next(flat)].tobytes() for _ in x) for x in images] == payloads
+    assert [len(x) for x in images] == [1, 1, 1, 3] and images[0][0].width == 768
+    assert sorted(jpeg.sample_of_byte().tolist()) == list(range(256))
+
+
+def test_jpeg_of_a_long_text_takes_bounded_memory(monkeypatch):
+    """Images of one text are expanded some at a time."""
+    most, plain = [], jpeg._encode_images
+    monkeypatch.setattr(jpeg, "_encode_images", lambda parts: (most.append(sum(map(len, parts))), plain(parts))[1])
+    text = jpeg.padded(b"a long text of many words " * 300_000)
+    media = jpeg.encode_bytes([text, jpeg.padded(b"short")])
+    images = jpeg.parse_media(media[0])
+    back = b"".join(jpeg.byte_of_sample()[p].tobytes() for s in jpeg.grouped(i.width * i.height // 64 for i in images) for p in jpeg.decode_luminance(images[s]))
+    assert back == text and max(most) < jpeg.BATCH_BYTES + max(jpeg.images_of(len(text))) and len(most) > 2
 
 
 def baseline_jpeg(grid, chroma, restart=0):

@@ -2,23 +2,34 @@
 
 A ranking is a table (query_id, doc_id, score, rank); all queries of a batch are
 answered at once.  Ties are broken by doc_id.
+
+Searches take queries in blocks of at most QUERY_BLOCK.  A block is sent to the
+tasks that read the corpus; each scores its rows, whole, where they are, and keeps
+k of them for each query over all that it reads.  So neither texts nor vectors are
+shuffled, no term is a join key, and what is shuffled has k rows for each query
+and task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry import rules
 from quarry.functions import scores as S
 
-#: Vectors of a block of the corpus, and of the queries.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Queries that are answered at once, and (document, term, query) triples that are summed at once.
+QUERY_BLOCK, TRIPLES = 1024, 1 << 22
+SCORED = "query_id long, doc_id long, score double"
 
 
 def ranked(scored: DataFrame, k: int | None = None) -> DataFrame:
@@ -28,40 +39,62 @@ def ranked(scored: DataFrame, k: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= k) if k is not None else out
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str, n: int) -> DataFrame:
-    """Rows packed into blocks of about ``size``: arrays of ids and of vectors."""
-    count = max(1, -(-n // size))
-    dealt = df.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(key), F.lit(count)).alias(name))
-    return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
+class Best:
+    """The k best documents of each query among those added."""
 
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str, min_rows: int | None = None) -> DataFrame:
-    """Exact top k by cosine similarity, clamped to [0, 1] and rounded to 6 digits.
+    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        q, d, s = (np.concatenate(x) for x in ((self.query, query), (self.doc, doc), (self.score, score)))
+        order = np.lexsort((d, -s, q))
+        q = q[order]
+        kept = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
+        self.query, self.doc, self.score = (np.concatenate(x)[kept] for x in ((self.query, query), (self.doc, doc), (self.score, score)))
 
-    Corpus and queries are packed in blocks, each pair of blocks is one matrix
-    product, and each keeps k of its rows for each query.
-    """
-    n_corpus, n_queries = corpus.count(), queries.count()
-    blocks = _blocks(corpus, key, vector, BLOCK, "c", n_corpus)
-    asked = _blocks(queries, key, vector, QUERY_BLOCK, "q", n_queries)
-    n_asked = max(1, -(-n_queries // QUERY_BLOCK))
-    pairs = blocks.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).withColumn("q", F.col("q").cast("long")).join(asked, "q")
+    def add_grid(self, ids: np.ndarray, docs: np.ndarray, grid: np.ndarray, kept: np.ndarray) -> None:
+        """``grid``: scores [query, document], of which those in ``kept`` count."""
+        if grid.shape[1] > self.k:
+            masked = np.where(kept, grid, -np.inf)
+            kept = kept & (grid >= np.partition(masked, -self.k, axis=1)[:, -self.k, None])
+        q, d = np.nonzero(kept)
+        self.add(ids[q], docs[d], grid[q, d])
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.query), pa.array(self.doc), pa.array(self.score)], ["query_id", "doc_id", "score"])
+
+
+def _in_blocks(queries: DataFrame, answer: Callable[[list[Row]], DataFrame]) -> DataFrame:
+    """The union of the answers to blocks of queries."""
+    answers = [answer(list(rows)) for rows in batched(queries.toLocalIterator(), QUERY_BLOCK)]
+    return reduce(DataFrame.unionByName, answers) if answers else queries.sparkSession.createDataFrame([], SCORED)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length == 0, 1, length)
 
-    def top(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c_rows, q_rows in zip(b["c_rows"], b["q_rows"], strict=True):
-                ids, qids = np.array([r["id"] for r in c_rows]), np.array([r["id"] for r in q_rows])
-                m, q = (np.array([r["v"] for r in rows], float) for rows in (c_rows, q_rows))
-                for x in (m, q):
-                    length = np.linalg.norm(x, axis=1, keepdims=True)
-                    x /= np.where(length == 0, 1, length)
-                score = np.round(np.clip(q @ m.T, 0, 1), 6)
-                for row, qid in zip(score, qids, strict=True):
-                    best = np.lexsort((ids, -row))[: k + 1]
-                    yield pd.DataFrame({"query_id": qid, "doc_id": ids[best], "score": row[best]})
 
-    found = pairs.select("c_rows", "q_rows").mapInPandas(top, "query_id long, doc_id long, score double")
-    return ranked(found, k + 1)
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """Exact top k + 1 by cosine similarity, clamped to [0, 1] and rounded to 6 digits."""
+    slim = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+
+    def answer(rows: list[Row]) -> DataFrame:
+        ids, asked = np.array([r["id"] for r in rows]), _unit(np.array([r["v"] for r in rows], float))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(k + 1)
+            for b in batches:
+                if b.num_rows:
+                    m = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(float)
+                    grid = np.round(np.clip(asked @ _unit(m).T, 0, 1), 6)
+                    best.add_grid(ids, b.column(0).to_numpy(), grid, np.ones_like(grid, bool))
+            yield best.rows()
+
+        return slim(corpus).mapInArrow(run, SCORED)
+
+    return ranked(_in_blocks(slim(queries), answer), k + 1)
 
 
 def without_self(ranking: DataFrame, k: int) -> DataFrame:
@@ -77,23 +110,85 @@ def merge_fields(*rankings: DataFrame) -> DataFrame:
     return union.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, terms: Callable[[Column], Column], k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
-    """(query_id, doc_id, score) of all documents that share a term; from (query_id, text) and (doc_id, text).
+class Asked:
+    """A block of queries by term: the terms, and which queries have each."""
 
-    Only the queries' terms are kept of the documents, so the postings that are
-    joined grow with the documents that match.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    lengths = docs.select("doc_id", terms(F.col("text")).alias("terms")).select("doc_id", "terms", F.size("terms").alias("dl"))
-    n, avgdl = lengths.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    hits = lengths.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term")
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = asked.join(weighted.select("doc_id", "term", weight.alias("w")), "term")
-    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")).where(F.col("score") > 0)
+    def __init__(self, rows: list[Row]):
+        self.ids = np.array([r["query_id"] for r in rows], np.int64)
+        number: dict[str, int] = {}
+        of = np.array([number.setdefault(t, len(number)) for r in rows for t in r["terms"]], np.int64)
+        query = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows])
+        self.terms = pa.array(list(number), pa.string())
+        self.queries = query[np.argsort(of, kind="stable")]
+        self.count = np.bincount(of, minlength=len(number)) if len(of) else np.zeros(len(number), np.int64)
+        self.start = np.cumsum(self.count) - self.count
+
+    def postings(self, terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents as lists of terms: row, term and count of each pair that some query asks for; and all lengths."""
+        length = terms.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        at = pc.index_in(terms.flatten(), value_set=self.terms).fill_null(-1).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(length)), length)
+        n = max(1, len(self.terms))
+        pair, tf = np.unique((row * n + at)[at >= 0], return_counts=True)
+        return pair // n, pair % n, tf, length
+
+    def scores(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+        """Sums [query, row] of the weights of the terms that a query has."""
+        out, many = np.zeros(len(self.ids) * n_rows), self.count[term]
+        upto = np.cumsum(many)
+        for part in np.split(np.arange(len(row)), np.searchsorted(upto, np.arange(TRIPLES, upto[-1], TRIPLES))) if len(row) else []:
+            each = many[part]
+            inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            query = self.queries[np.repeat(self.start[term[part]], each) + inside]
+            out += np.bincount(query * n_rows + np.repeat(row[part], each), np.repeat(weight[part], each), len(out))
+        return out.reshape(len(self.ids), n_rows)
+
+
+def _lexical(queries: DataFrame, docs: DataFrame, terms: Callable[[Column], Column], k: int, keep: Column | None, weigher: Callable[[DataFrame, Asked], Callable]) -> DataFrame:
+    """The k best documents of each query by the sums of their terms' weights; documents that score 0 are dropped."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("terms"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("terms"))
+
+    def answer(rows: list[Row]) -> DataFrame:
+        block = Asked(rows)
+        weigh = weigher(known, block)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(k)
+            for b in batches:
+                row, term, tf, length = block.postings(b.column(1))
+                grid = np.round(block.scores(row, term, weigh(term, tf, length[row]), b.num_rows), 6)
+                best.add_grid(block.ids, b.column(0).to_numpy(), grid, (grid > 0) & b.column(2).to_numpy(zero_copy_only=False))
+            yield best.rows()
+
+        return known.mapInArrow(run, SCORED)
+
+    return ranked(_in_blocks(asked, answer), k)
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, terms: Callable[[Column], Column], k: int, keep: Column | None = None, k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
+    """The k best by BM25, from (query_id, text) and (doc_id, text); counts are those of all ``docs``, ``keep`` says which may be found."""
+
+    def weigher(known: DataFrame, block: Asked) -> Callable:
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            df, n, total = np.zeros(len(block.terms), np.int64), 0, 0
+            for batch in batches:
+                _, term, _, length = block.postings(batch.column(0))
+                df += np.bincount(term, minlength=len(df))
+                n, total = n + len(length), total + int(length.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(df))), pa.array(np.concatenate([[total, n], df]))], ["term", "n"])
+
+        sums = {r["term"]: r["n"] for r in known.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n, df = sums.get(-1, 0), np.array([sums.get(t, 0) for t in range(len(block.terms))], float)
+        idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), sums.get(-2, 0) / max(1, n) or 1.0
+        return lambda term, tf, length: idf[term] * tf / (tf + k1 * (1 - b + b * length / mean))
+
+    return _lexical(queries, docs, terms, k, keep, weigher)
+
+
+def overlap_topk(queries: DataFrame, docs: DataFrame, terms: Callable[[Column], Column], k: int) -> DataFrame:
+    """The k best by the number of distinct terms that they share with the query."""
+    return _lexical(queries, docs, terms, k, None, lambda known, block: lambda term, tf, length: np.ones(len(term)))
 
 
 def rrf(*rankings: DataFrame, k: int = rules.RRF_K) -> DataFrame:
@@ -137,14 +232,6 @@ def rewrite_aware(plain: DataFrame, rewritten: DataFrame, firing: DataFrame, flo
     return plain.join(chosen, "query_id", "left_anti").unionByName(rewritten.join(chosen, "query_id", "left_semi"))
 
 
-def filter_then_rank(scored: DataFrame, attributes: DataFrame, equal: dict[str, str], k: int) -> DataFrame:
-    """Ranks only the documents whose attributes have these values."""
-    kept = attributes
-    for name, value in equal.items():
-        kept = kept.where(F.col(name) == value)
-    return ranked(scored.join(kept.select("doc_id"), "doc_id", "left_semi"), k)
-
-
 def fan_in(rankings: Iterable[DataFrame], k: int) -> DataFrame:
     """Several surfaces' hits as one ranking, each document once with its best score."""
     return ranked(merge_fields(*rankings), k)

@@ -142,7 +142,7 @@ def _items(t) -> DataFrame:
 
 
 def _bm25(t, k: int) -> DataFrame:
-    return V.ranked(V.bm25_scores(_items(t), t.documents.select("doc_id", "text"), words), k)
+    return V.bm25_topk(_items(t), t.documents.select("doc_id", "text"), words, k)
 
 
 @R.query("bm25_topk", _BM25 + _TOP.format(name="r", of="b", k=5) + "SELECT query_id, doc_id, rank FROM r")
@@ -160,10 +160,7 @@ _OVERLAP = "o AS (SELECT q.query_id, e.doc_id, count(DISTINCT term)::DOUBLE AS s
 
 
 def _overlap(t, k: int) -> DataFrame:
-    long_words = lambda x: F.array_distinct(F.filter(words(x), lambda w: F.length(w) >= 5))
-    asked = _items(t).select("query_id", F.explode(long_words(c("text"))).alias("term"))
-    have = t.documents.select("doc_id", F.explode(long_words(c("text"))).alias("term"))
-    return V.ranked(have.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), k)
+    return V.overlap_topk(_items(t), t.documents.select("doc_id", "text"), lambda x: F.filter(words(x), lambda w: F.length(w) >= 5), k)
 
 
 _FUSED = (
@@ -193,8 +190,7 @@ def fanin_dedupe(t) -> DataFrame:
 
 @R.query("attr_filter_then_rank", _BM25 + "k AS (SELECT b.* FROM b JOIN documents USING (doc_id) WHERE lang = 'en' AND source = 'src0'), " + _TOP.format(name="r", of="k", k=5) + " SELECT query_id, doc_id, rank FROM r")
 def attr_filter_then_rank(t) -> DataFrame:
-    scored = V.bm25_scores(_items(t), t.documents.select("doc_id", "text"), words)
-    return V.filter_then_rank(scored, t.documents.select("doc_id", "lang", "source"), {"lang": "en", "source": "src0"}, 5).select("query_id", "doc_id", "rank")
+    return V.bm25_topk(_items(t), t.documents, words, 5, keep=(c("lang") == "en") & (c("source") == "src0")).select("query_id", "doc_id", "rank")
 
 
 def lexical_logit(queries: list[str], texts: list[str]) -> list[float]:
@@ -254,7 +250,7 @@ _SHORT = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:
 )
 def rewrite_aware(t) -> DataFrame:
     shorter = _items(t).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 12), " "))
-    rewritten = V.ranked(V.bm25_scores(shorter, t.documents.select("doc_id", "text"), words), 5)
+    rewritten = V.bm25_topk(shorter, t.documents.select("doc_id", "text"), words, 5)
     firing = _items(t).select("query_id", F.when(F.length("text") < 200, "iter1").when(F.length("text") < 260, "fallback").otherwise("none").alias("mechanism"))
     return V.rewrite_aware(_bm25(t, 5), rewritten, firing).select("query_id", "doc_id", "rank")
 

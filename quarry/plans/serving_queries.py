@@ -129,7 +129,7 @@ def prompts(t) -> DataFrame:
 def fan_out(t) -> DataFrame:
     queries = _items(t).withColumn("route", F.when(F.length("text") < 200, "concept").otherwise("summary_request"))
     docs = lambda lang: t.documents.where(c("lang") == lang).select("doc_id", "text")
-    search = lambda lang: lambda q: V.ranked(V.bm25_scores(q.select("query_id", "text"), docs(lang), T.tokens), 5)
+    search = lambda lang: lambda q: V.bm25_topk(q.select("query_id", "text"), docs(lang), T.tokens, 5)
     return S.fan_out(queries, {"tutorials": search("en"), "summaries": search("de")}, {"concept": ["tutorials"], "summary_request": ["tutorials", "summaries"]}).drop("score")
 
 

@@ -18,7 +18,12 @@ SETTINGS = {
     # Rows and bytes that a Python worker gets at once: long texts stay bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    # Spark 4.1 takes a union for partitioned as its parts are, also where their partitions do
+    # not match, and then groups and joins by key come out wrong.
+    "spark.sql.unionOutputPartitioning": "false",
 }
+#: Those that results or bounds depend on; they are set in any session.
+NEEDED = [k for k in SETTINGS if ".arrow.max" in k or ".union" in k]
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -32,13 +37,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors, once per context, and bounds what a Python worker gets at once.
+    """Hands this package to the executors, once per context, and makes the NEEDED settings.
 
     A cluster that has it installed, or got it by --py-files, loses nothing.
     """
-    for key in SETTINGS:
-        if ".arrow.max" in key:
-            spark.conf.set(key, SETTINGS[key])
+    for key in NEEDED:
+        spark.conf.set(key, SETTINGS[key])
     context = spark.sparkContext
     if getattr(context, "_quarry_shipped", False):
         return

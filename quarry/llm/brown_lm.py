@@ -38,36 +38,46 @@ of an untrained model; an empty table gives no rows; further columns are ignored
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.storage import discard, materialize
-from quarry.llm.words import ascii_words
 
 #: The token that ends a text; no word is empty.
-END = b""
+END = ""
 #: Words that are units of their own; those that clustering starts with; endings; classes beside that of the end.
 UNIT_WORDS, FIRST_WORDS, UNIT_ENDINGS, CLASSES = 65_000, 1024, 512, 32
 #: Sweeps over the first units, and over all.
 SWEEPS, WIDE_SWEEPS = 12, 6
 #: Added to class transitions; added to unigram counts by the base score.
 TRANSITION, BASE = 0.5, 0.1
-#: Entries of a worker's tables before it passes them on or starts anew; units that are judged at once.
+#: Tokens (by eight) that a task sums before it passes the counts on; units that are judged at once.
 HELD, TOGETHER = 400_000, 256
 
 
-def ending(word: bytes) -> bytes:
-    """The last three bytes before closing punctuation, and whether there is any."""
-    core = word.rstrip(b".,;:!?\"')")
-    return core[-3:] + (b"." if len(core) < len(word) else b"")
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, with A-Z in lower case, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+    # White space at an edge of a text leaves an empty part.
+    kept = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(kept), np.bincount(row[kept.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def ending(words: pa.Array) -> pa.Array:
+    """The last three characters before closing punctuation, and whether there is any."""
+    core = pc.ascii_rtrim(words, characters=".,;:!?\"')")
+    closed = pc.if_else(pc.less(pc.binary_length(core), pc.binary_length(words)), ".", "")
+    return pc.binary_join_element_wise(pc.utf8_slice_codeunits(core, start=-3), closed, "")
 
 
 def held_out(doc_id) -> F.Column:
@@ -75,107 +85,85 @@ def held_out(doc_id) -> F.Column:
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-
-
-def _tokens(text: bytes | None) -> list[bytes]:
-    return [*ascii_words(text or b""), END]
-
-
-def _counts(pairs: Counter, names: tuple[str, str], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs.keys(), kind), pa.array(pairs.values(), pa.int64())], list(names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, c) of all tokens of training documents."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, size, ends = [], 0, 0
+
+        def summed() -> pa.RecordBatch:
+            found = pc.value_counts(pa.chunked_array(held, pa.string()))
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "c"])
+
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(_tokens(text))
-            if len(seen) > HELD:
-                yield _counts(seen, ("word", "c"), pa.binary())
-                seen.clear()
-        yield _counts(seen, ("word", "c"), pa.binary())
+            words, _ = words_of(b.column(0))
+            held.append(words)
+            size, ends = size + len(words), ends + b.num_rows
+            if size > 8 * HELD:
+                yield summed()
+                held, size = [], 0
+        yield summed()
+        yield pa.RecordBatch.from_pydict({"word": pa.array([END] if ends else [], pa.string()), "c": pa.array([ends] if ends else [], pa.int64())})
 
     training = _input(docs).filter(~F.col("held_out")).select("text")
-    words = training.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    words = training.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return materialize(words, "vocabulary")
 
 
-def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
+def frequent(words: DataFrame, most: int) -> dict[str, int]:
     """All words above the least count that at most ``most`` words exceed; ties at it stay out."""
     by_count = words.groupBy("c").agg(F.count("*").alias("n"))
     upto = by_count.select("c", F.sum("n").over(W.orderBy(F.desc("c")).rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
     least = upto.filter(F.col("upto") <= most).agg(F.min("c")).first()[0]
-    return {} if least is None else {bytes(r["word"]): r["c"] for r in words.filter(F.col("c") >= least).collect()}
+    return {} if least is None else {r["word"]: r["c"] for r in words.filter(F.col("c") >= least).collect()}
 
 
 class Units:
     """Numbers words: 0 is the end, then frequent words, then endings, last all others."""
 
-    def __init__(self, words: Iterable[bytes], endings: Iterable[bytes]):
-        self.words = {END: 0}
-        for w in words:
-            self.words.setdefault(w, len(self.words))
+    def __init__(self, words: Iterable[str], endings: Iterable[str]):
+        self.names, self.endings = pa.array([END, *words], pa.string()), pa.array(endings, pa.string())
         #: The last unit that is a word.
-        self.n_words = len(self.words) - 1
-        self.endings = {e: len(self.words) + k for k, e in enumerate(endings)}
-        self.other = len(self.words) + len(self.endings)
-        self.n, self.seen = self.other + 1, {}
-
-    def of(self, word: bytes) -> int:
-        unit = self.words.get(word)
-        return self.endings.get(ending(word), self.other) if unit is None else unit
-
-    def all_of(self, tokens: list[bytes]) -> np.ndarray:
-        got = list(map(self.seen.get, tokens))
-        if None in got:
-            if len(self.seen) > HELD:
-                self.seen.clear()
-            for w in {w for w, u in zip(tokens, got, strict=True) if u is None}:
-                self.seen[w] = self.of(w)
-            got = [self.of(w) if u is None else u for w, u in zip(tokens, got, strict=True)]
-        return np.array(got, np.int64)
+        self.n_words = len(self.names) - 1
+        self.n = self.n_words + len(self.endings) + 2
 
-    @property
-    def names(self) -> list[bytes]:
-        return list(self.words)[1:]
+    def by_ending(self, words: pa.Array) -> np.ndarray:
+        at = pc.index_in(ending(words), value_set=self.endings).fill_null(len(self.endings))
+        return self.n_words + 1 + at.to_numpy().astype(np.int64)
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        out = pc.index_in(words, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+        if (missing := out < 0).any():
+            out[missing] = self.by_ending(words.filter(pa.array(missing)))
+        return out
 
     def first_units(self) -> np.ndarray:
         """For each unit, the one that clustering starts with: itself, or a less frequent word's ending."""
         kept = min(FIRST_WORDS, self.n_words)
-        later = [self.endings.get(ending(w), self.other) for w in self.names[kept:]]
-        tail = np.array([*later, *range(self.n_words + 1, self.n)], np.int64) - (self.n_words - kept)
-        return np.concatenate([np.arange(kept + 1), tail])
-
-    def __getstate__(self):
-        return {**self.__dict__, "seen": {}}
+        tail = np.concatenate([self.by_ending(self.names[kept + 1 :]), np.arange(self.n_words + 1, self.n)])
+        return np.concatenate([np.arange(kept + 1), tail - (self.n_words - kept)])
 
 
-def choose_units(words: DataFrame, top: dict[bytes, int]) -> Units:
+def choose_units(words: DataFrame, top: dict[str, int]) -> Units:
     names = sorted((w for w in top if w != END), key=lambda w: (-top[w], w))
-    first = set(names[:FIRST_WORDS])
+    first = pa.array([END, *names[:FIRST_WORDS]], pa.string())
 
     def endings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if w != END and w not in first:
-                    sums[ending(w)] += c
-            if len(sums) > HELD:
-                yield _counts(sums, ("e", "c"), pa.binary())
-                sums.clear()
-        yield _counts(sums, ("e", "c"), pa.binary())
+            other = b.filter(pc.invert(pc.is_in(b.column(0), value_set=first)))
+            sums = pa.table([ending(other.column(0)), other.column(1)], ["e", "n"]).group_by("e").aggregate([("n", "sum")])
+            yield from pa.table([sums.column("e"), sums.column("n_sum")], ["e", "c"]).to_batches()
 
-    found = words.mapInArrow(endings, "e binary, c long").groupBy("e").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(UNIT_ENDINGS)
-    return Units(names, [bytes(r["e"]) for r in found.collect()])
+    found = words.mapInArrow(endings, "e string, c long").groupBy("e").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(UNIT_ENDINGS)
+    return Units(names, [r["e"] for r in found.collect()])
 
 
 # --- documents as units ------------------------------------------------------
 
-ENCODED = "no long, doc_id long, held_out boolean, n_tokens long, units binary, rare array<binary>"
+ENCODED = "no long, doc_id long, held_out boolean, n_tokens long, units binary, rare array<string>"
 
 
 def encode(docs: DataFrame, units: Units) -> DataFrame:
@@ -184,20 +172,18 @@ def encode(docs: DataFrame, units: Units) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = TaskContext.get().partitionId() << 40
         for b in batches:
-            blobs, counts, words, ends = [], [], [], [0]
-            for text in b.column(1).to_pylist():
-                tokens = _tokens(text)
-                u = units.all_of(tokens)
-                blobs.append(u.astype("<u2").tobytes())
-                counts.append(len(u))
-                words.extend([tokens[i] for i in np.flatnonzero(u > units.n_words).tolist()])
-                ends.append(len(words))
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.binary()))
+            words, size = words_of(b.column(1))
+            u = units.of(words)
+            rare, row = u > units.n_words, np.repeat(np.arange(len(size)), size)
+            ends = np.cumsum(size + 1)
+            flat = np.zeros(len(u) + len(size), "<u2")
+            flat[np.arange(len(u)) + row] = u
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int64)), pa.py_buffer(flat)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=len(size)))]).astype(np.int32)), words.filter(pa.array(rare)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(no, no + len(counts))), b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), rare],
-                ["no", "doc_id", "held_out", "n_tokens", "units", "rare"],
+                [pa.array(np.arange(no, no + len(size))), b.column(0), b.column(2), pa.array(size + 1), blobs.cast(pa.binary()), lists], ["no", "doc_id", "held_out", "n_tokens", "units", "rare"]
             )
-            no += len(counts)
+            no += len(size)
 
     return materialize(_input(docs).mapInArrow(run, ENCODED), "lm-encoded")
 
@@ -240,8 +226,9 @@ def neighbours(encoded: DataFrame, units: Units) -> DataFrame:
         if size:
             yield from summed()
 
-    pairs = encoded.filter(~F.col("held_out")).select("units").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = materialize(pairs, "lm-bigrams")
+    # A task has summed its own pairs, so they are shuffled as they are.
+    counted = encoded.filter(~F.col("held_out")).select("units").mapInArrow(count, "pair long, n long").repartition("pair")
+    pairs = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "lm-bigrams")
     first, second = F.expr(f"pair div {n}"), F.col("pair") % n
     side = lambda unit, other, k: pairs.select((F.shiftleft(unit, 17) + (k << 16) + other).alias("key"), "n")
     both = side(first, second, 0).union(side(second, first, 1))
@@ -356,8 +343,12 @@ def class_grid(near: DataFrame, of: np.ndarray, width: int) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = np.zeros((width, width))
         for b in batches:
-            unit, out, _, _ = _side_counts(b, of, width)
-            np.add.at(grid, of[unit], out)
+            # Those after a unit are enough.
+            split = b.column(1).to_pylist()
+            other = _joined([x[: 2 * n] for x, n in zip(b.column(2).to_pylist(), split, strict=True)], "<u2")
+            times = _joined([x[: 8 * n] for x, n in zip(b.column(3).to_pylist(), split, strict=True)], "<i8")
+            code = np.repeat(of[b.column(0).to_numpy()], split) * width + of[other]
+            grid += np.bincount(code, times.astype(float), width * width).reshape(width, width)
         at = np.flatnonzero(grid)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(grid.ravel()[at].astype(np.int64))], ["pair", "n"])
 
@@ -377,14 +368,13 @@ def _moves(near: DataFrame, of: np.ndarray, grid: np.ndarray, turn: int) -> list
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             unit, out, into, own = _side_counts(b, of, len(grid))
-            turns = np.flatnonzero((unit % 2 == turn % 2) & (unit > 0))
-            for k in range(0, len(turns), TOGETHER):
-                at = turns[k : k + TOGETHER]
+            for k in range(0, len(unit), TOGETHER):
+                at = slice(k, k + TOGETHER)
                 was = of[unit[at]]
                 new = best_classes(gains(grid, out[at], into[at], own[at], was), was)
                 yield pa.RecordBatch.from_arrays([pa.array(unit[at][new != was]), pa.array(new[new != was])], ["unit", "k"])
 
-    return near.mapInArrow(run, "unit int, k long").collect()
+    return near.filter((F.col("unit") % 2 == turn % 2) & (F.col("unit") > 0)).mapInArrow(run, "unit int, k long").collect()
 
 
 def cluster(near: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -437,7 +427,7 @@ def rare_words(encoded: DataFrame, units: Units, of: np.ndarray, grid: np.ndarra
             info = held << 24 | k[at] << 16 | k[np.minimum(at + 1, len(k) - 1)] << 8 | _after_end(k)[at]
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), rare.flatten(), pa.array(info.astype(np.int32))], ["no", "word", "info"])
 
-    rows = encoded.select("no", "held_out", "units", "rare").mapInArrow(emit, "no long, word binary, info int").repartition("word")
+    rows = encoded.select("no", "held_out", "units", "rare").mapInArrow(emit, "no long, word string, info int").repartition("word")
     field = lambda shift: F.shiftright("info", shift).bitwiseAND(0xFF)
     log, tokens = transitions(grid), np.log10(np.maximum(grid.sum(0), 1))
     fits = [F.sum(F.expr(f"get({_array(log[:, k] - tokens[k])}, info & 255) + get({_array(log[k])}, shiftright(info, 8) & 255)")) for k in range(1, CLASSES + 1)]
@@ -497,7 +487,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     units = choose_units(words, top)
     tokens, distinct, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    counts = np.array([top.get(w, 0) for w in (END, *units.names)], np.int64)
+    counts = np.array([top.get(w, 0) for w in units.names.to_pylist()], np.int64)
     encoded = encode(docs, units)
     near = neighbours(encoded, units)
     of, grid = cluster(near, units)

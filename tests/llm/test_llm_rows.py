@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -357,24 +358,24 @@ def brown(docs, rows, monkeypatch):
     monkeypatch.setattr(brown_lm, "UNIT_ENDINGS", 5)
     model, encoded, rare = brown_lm.train(docs)
     units, toks, known, of_no = model.units, {}, {}, {}
-    for w, c in zip((b"", *units.names), model.counts.tolist(), strict=True):
-        known[w] = (c, int(model.class_of[units.words[w]]))
+    for k, (w, c) in enumerate(zip(units.names.to_pylist(), model.counts.tolist(), strict=True)):
+        known[w] = (c, int(model.class_of[k]))
     for r in rare.collect():
         of_no.setdefault(r.no, []).append((r.h, r.k, r.c))
     for r in encoded.collect():
-        u, words = np.frombuffer(r.units, "<u2"), iter(map(bytes, r.rare))
-        named = [b"", *units.names]
+        u, words = np.frombuffer(r.units, "<u2"), iter(r.rare)
+        named = units.names.to_pylist()
         toks[r.no] = (r.doc_id, r.held_out, [named[x] if x <= units.n_words else next(words) for x in u.tolist()])
     return model, encoded, rare, toks, known, of_no
 
 
 def history(model, word):
-    return int(model.class_of[model.units.of(word)])
+    return int(model.class_of[model.units.of(pa.array([word]))[0]])
 
 
 def test_brown_documents_come_back(brown, rows):
     model, encoded, rare, toks, known, of_no = brown
-    assert Counter((i, tuple(t)) for i, _, t in toks.values()) == Counter((r[0], (*bytes_of(r[1]).lower().split(), b"")) for r in rows)
+    assert Counter((i, tuple(t)) for i, _, t in toks.values()) == Counter((r[0], (*(w.decode() for w in bytes_of(r[1]).lower().split()), "")) for r in rows)
     assert model.units.n_words <= 20 and sum(map(len, of_no.values())) > 5000
 
 
@@ -386,7 +387,7 @@ def rare_classes(brown):
     log, tokens, fits, count = brown_lm.transitions(grid), np.log10(np.maximum(grid.sum(0), 1)), {}, Counter()
     for _, held, t in toks.values():
         for i, w in enumerate(t):
-            if not held and w not in model.units.words:
+            if not held and w not in known:
                 fits[w] = fits.get(w, 0) + log[history(model, t[i - 1]) if i else 0] - tokens + log[:, history(model, t[i + 1])]
                 count[w] += 1
     return fits, count
@@ -398,7 +399,7 @@ def test_brown_scores_against_brute_force(brown):
     classes = {}
     for no, (_, _, t) in toks.items():
         before = [0, *(history(model, w) for w in t[:-1])]
-        want = [(h, w) for h, w in zip(before, t, strict=True) if w not in model.units.words]
+        want = [(h, w) for h, w in zip(before, t, strict=True) if w not in known]
         got = sorted(of_no.get(no, []))
         ks = {}
         for h, w in want:
@@ -415,7 +416,7 @@ def test_brown_scores_against_brute_force(brown):
     for no, (_, held, t) in toks.items():
         if not held:
             for i, w in enumerate(t):
-                if w in model.units.words:
+                if w in known:
                     grid[history(model, t[i - 1]) if i else 0, known[w][1]] += 1
             for h, k, _ in of_no.get(no, []):
                 grid[h, k] += 1
@@ -425,7 +426,7 @@ def test_brown_scores_against_brute_force(brown):
     for no, (i, held, t) in toks.items():
         total = sum(model.emission(np.array([c]), np.array([k]))[0] + model.transition[h, k] for h, k, c in of_no.get(no, []))
         for j, w in enumerate(t):
-            if w in model.units.words:
+            if w in known:
                 c, k = known[w]
                 total += model.emission(np.array([c]), np.array([k]))[0] + model.transition[history(model, t[j - 1]) if j else 0, k]
         by_id.setdefault((i, len(t)), []).append(total)
@@ -647,7 +648,8 @@ def test_empty_tables(spark, empty):
     assert warc.deduplicate_pages(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_model_state_is_small():
-    units = brown_lm.Units([b"a", b"b"], [b"xyz"])
-    units.all_of([b"a", b"q", b"wxyz", b""])
-    assert json.dumps(units.__getstate__()["seen"]) == "{}" and units.all_of([b"a", b"q", b"wxyz", b""]).tolist() == [1, 4, 3, 0]
+def test_units_of_words():
+    units = brown_lm.Units(["a", "b"], ["xyz", "éüß."])
+    assert units.of(pa.array(["a", "q", "wxyz", "", "äéüß!?", "b"])).tolist() == [1, 5, 3, 0, 4, 2] and units.n == 6
+    words, size = brown_lm.words_of(pa.array(["  A b\x0b\x0c C\xa0Ä ", None, "", " \n", "x"]))
+    assert words.to_pylist() == ["a", "b", "c\xa0Ä", "x"] and size.tolist() == [3, 0, 0, 0, 1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,53 @@ def has_heading(text: Column, title: Column) -> Column:
     return F.array_contains(F.transform(F.split(text, "\n"), lambda x: F.rtrim(x)), F.concat(F.lit("# "), title))
 
 
+HEADING, FENCE = "## Cross-references (machine-readable)", r"(?s)```yaml\n(.*?)\n```"
+
+
+def _reference_errors(block: str | None) -> list[str]:
+    """What is wrong with a block of cross-references, as short codes with the place of the entry."""
+    import yaml
+
+    if block is None:
+        return ["no_block"]
+    try:
+        parsed = yaml.safe_load(block)
+    except yaml.YAMLError:
+        return ["not_yaml"]
+    if not isinstance(parsed, dict) or not isinstance(entries := parsed.get("cross_references"), list):
+        return ["no_list"]
+    out = []
+    for i, e in enumerate(entries):
+        if not isinstance(e, dict):
+            out.append(f"{i}:not_a_mapping")
+            continue
+        part, tutorials = e.get("part_id"), e.get("tutorials")
+        if not (isinstance(part, str) and part.strip()):
+            out.append(f"{i}:no_part_id")
+        if tutorials is not None and not (isinstance(tutorials, list) and all(isinstance(t, str) for t in tutorials)):
+            out.append(f"{i}:tutorials")
+    return out
+
+
+def reference_errors(text: Column) -> Column:
+    """Errors of the last YAML block of a solutions file; none for a valid one."""
+
+    def run(blocks: pd.Series) -> pd.Series:
+        return pd.Series([_reference_errors(b) for b in blocks])
+
+    blocks = F.regexp_extract_all(text, F.lit(FENCE), F.lit(1))
+    last = F.get(blocks, F.size(blocks) - 1)
+    return F.when(~F.contains(F.coalesce(text, F.lit("")), F.lit(HEADING)), F.array(F.lit("no_heading"))).otherwise(F.pandas_udf(run, "array<string>")(last))
+
+
+def file_report(files: DataFrame, category: Column) -> DataFrame:
+    """By category of file: how many were checked and how many skipped, and how many errors the checked ones have."""
+    kind = files.withColumn("category", F.coalesce(category, F.lit("other")))
+    checked = F.col("category") == "exam_solutions"
+    errors = F.when(checked, F.size(reference_errors(F.col("text")))).otherwise(0)
+    return kind.withColumn("e", errors).groupBy("category").agg(F.count_if(checked).alias("checked"), F.count_if(~checked).alias("skipped"), F.sum("e").alias("errors"), F.count_if(F.col("e") > 0).alias("bad_files"))
+
+
 def health(checks: DataFrame) -> DataFrame:
     """One row: ok if all checks are healthy or skipped, and the first that fails in their order."""
     bad = ~F.col("status").isin("ok", "skipped")

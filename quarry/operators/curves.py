@@ -88,6 +88,71 @@ def real_roots(coefficients: Column, low: float, high: float) -> Column:
     return F.pandas_udf(roots, "array<double>")(coefficients)
 
 
+def turning_points(coefficients: Column, low: float, high: float) -> Column:
+    """(x, y) of the points within a range at which polynomials (arrays, highest power first) are level."""
+    n = F.size(coefficients)
+    slope = F.transform(F.slice(coefficients, 1, F.greatest(n - 1, F.lit(0))), lambda a, i: a * (n - 1 - i))
+    value = lambda x: F.aggregate(coefficients, F.lit(0.0), lambda y, a: y * x + a)
+    return F.transform(real_roots(slope, low, high), lambda x: F.struct(x.alias("x"), value(x).alias("y")))
+
+
+# Spellings of comparison operators.
+OPERATORS = {"<": "<", ">": ">", "<=": "<=", ">=": ">=", "=<": "<=", "=>": ">=", "≤": "<=", "≥": ">="}
+
+
+def operator_of(c: Column) -> Column:
+    """A comparison operator in one spelling; null for anything else."""
+    bare = F.replace(F.trim(c), F.lit(" "))
+    return reduce(lambda out, o: F.when(bare == o[0], o[1]).otherwise(out), OPERATORS.items(), F.lit(None).cast("string"))
+
+
+def number_text(x: Column) -> Column:
+    """Up to six decimals, without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.6f", x.cast("double")), r"\.?0+$", "")
+
+
+def polynomial_text(coefficients: Column) -> Column:
+    """x² − 4x + 3 from an array of coefficients, highest power first; 0 if all are 0."""
+    n = F.size(coefficients)
+    raised = F.array(*map(F.lit, ["", "x", "x²", "x³", "x⁴", "x⁵", "x⁶"]))
+
+    def term(a: Column, i: Column) -> Column:
+        power, size = n - 1 - i, F.abs(a)
+        shown = F.when((size == 1) & (power > 0), "").otherwise(number_text(size))
+        name = F.when(power <= 6, F.get(raised, power)).otherwise(F.concat(F.lit("x^"), power.cast("string")))
+        return F.struct((a < 0).alias("minus"), F.concat(shown, name).alias("text"))
+
+    terms = F.filter(F.transform(coefficients, lambda a, i: F.when(a != 0, term(a, i))), lambda t: t.isNotNull())
+    signed = F.transform(terms, lambda t, k: F.concat(F.when(k == 0, F.when(t.minus, "-").otherwise("")).otherwise(F.when(t.minus, " − ").otherwise(" + ")), t.text))
+    return F.when(F.size(terms) == 0, "0").otherwise(F.array_join(signed, ""))
+
+
+def number_line(boundary: Column, operator: Column) -> dict[str, Column]:
+    """An inequality as a ray: the line's ends, the ray's ends, whether its boundary belongs to it, and its text."""
+    op, pad = operator_of(operator), F.greatest(F.lit(4.0), F.abs(boundary) * 0.5)
+    low, high, greater = boundary - pad, boundary + pad, op.startswith(">")
+    shown = F.replace(F.replace(op, F.lit("<="), F.lit("≤")), F.lit(">="), F.lit("≥"))
+    return {
+        "low": low, "high": high, "from": F.when(greater, boundary).otherwise(low), "to": F.when(greater, high).otherwise(boundary),
+        "closed": F.endswith(op, F.lit("=")), "text": F.concat_ws(" ", F.lit("x"), shown, number_text(boundary)),
+    }
+
+
+def shapes(degrees: DataFrame, degree: str, low: float, high: float, n: int = SAMPLES) -> DataFrame:
+    """(degree, sign, i, x, y): the curves x^degree and -x^degree of each row, at n points."""
+    check_range(low, high)
+    each = degrees.select(F.col(degree).alias("degree"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
+    points = each.select("degree", "sign", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    x = F.lit(low) + F.col("i") * ((high - low) / (n - 1))
+    return points.withColumn("x", x).withColumn("y", F.col("sign") * F.pow("x", "degree"))
+
+
+def figure_kind(first_trace: Column) -> Column:
+    """What a figure shows, by the name of its first trace."""
+    name = F.lower(F.coalesce(first_trace, F.lit("")))
+    return F.when(name.isin("sin", "cos", "tan", "sec", "cosec", "csc", "cot"), "trig").when(name == "data", "data_points").when(name == "f(x)", "polynomial").otherwise("overlay")
+
+
 def solution_bands(samples: DataFrame, holds: Column) -> DataFrame:
     """Intervals of x over which an inequality holds, from a sampled curve."""
     marked = samples.withColumn("_ok", holds)

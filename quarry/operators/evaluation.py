@@ -93,9 +93,10 @@ def sample_per_group(rows: DataFrame, key: str, group: str, n: int, seed: int) -
 
 
 def token_frequency(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """In how many documents each token is."""
+    """In how many documents, one a row, each token is."""
     each = docs.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
-    return each.groupBy("token").agg(F.countDistinct(key).alias("n_docs"))
+    # A document has each of its tokens once.
+    return each.groupBy("token").agg(F.count("*").alias("n_docs"))
 
 
 def failure_bucket(overlap_top: Column, overlap_expected: Column, distinctive: Column, in_top5: Column, expected_strand: Column, top_strand: Column, common: Column) -> Column:

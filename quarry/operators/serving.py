@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry import rules
 from quarry.functions import text as T
+from quarry.operators.reports import fixed
 
 
 def spam_reason(honeypot: Column, dwell: Column, agent: Column, tier: Column, bots: Sequence[str]) -> Column:
@@ -72,7 +75,7 @@ def fan_out(queries: DataFrame, surfaces: dict[str, Callable[[DataFrame], DataFr
 def prompts(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, prompt): question, route, and up to four chunks with their scores."""
     first = hits.where(F.col("rank") <= rules.EVIDENCE_CHUNKS)
-    line = F.concat(F.format_string("- [%s] (score=%.2f): ", F.col("doc_id").cast("string"), "score"), "snippet")
+    line = F.concat(F.lit("- ["), F.col("doc_id").cast("string"), F.lit("] (score="), fixed(F.col("score"), 2), F.lit("): "), "snippet")
     chunks = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("c"))
     lines = F.transform(F.coalesce("c", F.array().cast("array<struct<rank:int,line:string>>")), lambda x: x.line)
     head = F.array(F.concat(F.lit("Question: "), F.trim("text")), F.lit(""), F.concat(F.lit("Routing decision: "), "route"))
@@ -131,15 +134,26 @@ def tool_call(answer: Column, schema: str) -> Column:
     return F.when(bare.rlike(r"(?s)^\{.*\}$"), F.from_json(bare, schema))
 
 
-def placeholder_paths(rows: DataFrame, key: str, document: str, depth: int = 6) -> DataFrame:
-    """(key, path, value) of each placeholder in a JSON document, at any place down to ``depth`` levels."""
-    level = rows.select(key, F.lit("").alias("path"), F.parse_json(document).alias("v"))
-    found = []
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        leaf = level.where(kind == "STRING").select(key, "path", F.variant_get("v", "$", "string").alias("value"))
-        found.append(leaf.where(T.is_placeholder(F.col("value"))))
-        level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY")).createOrReplaceTempView("_nested")
-        name = "CASE WHEN x.key IS NULL THEN concat(path, '[', x.pos, ']') WHEN path = '' THEN x.key ELSE concat(path, '.', x.key) END"
-        level = rows.sparkSession.sql(f"SELECT {key}, {name} AS path, x.value AS v FROM _nested, LATERAL variant_explode(v) AS x")
-    return reduce(DataFrame.unionByName, found)
+def _leaves(document: str | None) -> list[dict[str, str]]:
+    """(path, value) of each string in a JSON document, at any depth."""
+    found, open_ = [], [("", json.loads(document))] if document is not None else []
+    while open_:
+        path, value = open_.pop()
+        if isinstance(value, dict):
+            open_ += [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
+        elif isinstance(value, list):
+            open_ += [(f"{path}[{i}]", v) for i, v in enumerate(value)]
+        elif isinstance(value, str):
+            found.append({"path": path, "value": value})
+    return found
+
+
+def placeholder_paths(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, path, value) of each placeholder in a JSON document, however deep it lies; each document is read once."""
+
+    def run(documents: pd.Series) -> pd.Series:
+        return pd.Series([_leaves(d) for d in documents])
+
+    leaves = F.pandas_udf(run, "array<struct<path: string, value: string>>")(document)
+    each = rows.select(key, F.explode(leaves).alias("leaf")).select(key, "leaf.path", "leaf.value")
+    return each.where(T.is_placeholder(F.col("value")))

@@ -255,14 +255,32 @@ def rewrite_aware(t) -> DataFrame:
     return V.rewrite_aware(_bm25(t, 5), rewritten, firing).select("query_id", "doc_id", "rank")
 
 
-@R.query("failure_buckets")
+_CONTENT = (
+    "list_distinct([x FOR x IN [regexp_replace(y, '^[-:;!]+|[-:;!]+$', '', 'g') FOR y IN regexp_split_to_array(regexp_replace(translate(lower(coalesce(text, '')), '²³', '23'), '[?.,()''\"/\\\\]', ' ', 'g'), '\\s+')] "
+    "IF length(x) >= 5 AND NOT regexp_matches(x, '^[0-9]+$'){}])"
+)
+_QUESTION = " AND x NOT IN (" + ", ".join(f"'{w}'" for w in rules.QUESTION_STOPWORDS) + ")"
+_COMMON = "list_max(flatten([[CASE WHEN contains(b, substr(a, i, n)) THEN n ELSE 0 END FOR n IN range(0, length(a) - i + 2)] FOR i IN range(1, length(a) + 1)]))"
+
+
+@R.query(
+    "failure_buckets",
+    f"WITH {bm25_ctes('p', _ITEMS, k=1)}, dt AS (SELECT doc_id, unnest({_CONTENT.format('')}) AS token FROM documents), f AS (SELECT token FROM dt GROUP BY 1 HAVING count(*) <= 2), "
+    f"i AS (SELECT item_id AS query_id, {_CONTENT.format(_QUESTION)} AS q, 'item-' || item_id AS a FROM benchmark), "
+    f"t AS (SELECT pr.query_id, doc_id, lang, concat_ws('-', source, lang, doc_id) AS b, {_CONTENT.format('')} AS d FROM pr JOIN documents USING (doc_id)), "
+    "j AS (SELECT i.query_id, q, a, coalesce(b, '') AS b, doc_id, lang, coalesce(list_intersect(q, d), []) AS shared FROM i LEFT JOIN t USING (query_id)), "
+    "r AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, unnest(shared) AS token FROM j) JOIN f USING (token) GROUP BY 1), "
+    "z AS (SELECT CASE WHEN (len(shared) >= 2 OR coalesce(n, 0) >= 1) AND len([x FOR x IN q IF NOT list_contains(shared, x)]) = 0 THEN 'E' WHEN doc_id IS NULL THEN 'D' WHEN lang = 'en' THEN 'A' WHEN lang IS NOT NULL THEN 'B' "
+    f"WHEN {_COMMON} >= 6 THEN 'C' ELSE 'F' END AS bucket FROM j LEFT JOIN r USING (query_id)) SELECT bucket, count(*) AS n FROM z GROUP BY 1",
+)
 def failure_buckets(t) -> DataFrame:
     """Of each passage: why the first document is not one that contains it."""
     frequency = E.token_frequency(t.documents, "doc_id", T.content_tokens(c("text"), 5))
-    items = _items(t).select("query_id", T.content_tokens(c("text"), 5, rules.QUESTION_STOPWORDS).alias("q"), F.substring("text", 1, 60).alias("head"))
-    top = _bm25(t, 5).where("rank = 1").join(t.documents.select("doc_id", "lang", "source", T.content_tokens(c("text"), 5).alias("d"), F.substring("text", 1, 60).alias("doc_head")), "doc_id")
+    items = _items(t).select("query_id", T.content_tokens(c("text"), 5, rules.QUESTION_STOPWORDS).alias("q"), F.concat(F.lit("item-"), "query_id").alias("slug"))
+    slug = F.concat_ws("-", "source", "lang", "doc_id")
+    top = _bm25(t, 5).where("rank = 1").join(t.documents.select("doc_id", "lang", T.content_tokens(c("text"), 5).alias("d"), slug.alias("doc_slug")), "doc_id")
     joined = items.join(top, "query_id", "left").withColumn("shared", F.coalesce(F.array_intersect("q", "d"), F.array().cast("array<string>")))
     rare = joined.select("query_id", F.explode("shared").alias("token")).join(frequency.where(c("n_docs") <= rules.DISTINCTIVE_DF), "token").groupBy("query_id").agg(F.count("*").alias("distinctive"))
     rows = joined.join(rare, "query_id", "left")
-    bucket = E.failure_bucket(F.size("shared"), F.size(F.array_except("q", "shared")), F.coalesce("distinctive", F.lit(0)), F.col("doc_id").isNotNull(), F.lit("en"), c("lang"), E.common_substring(c("head"), F.coalesce("doc_head", F.lit(""))))
+    bucket = E.failure_bucket(F.size("shared"), F.size(F.array_except("q", "shared")), F.coalesce("distinctive", F.lit(0)), F.col("doc_id").isNotNull(), F.lit("en"), c("lang"), E.common_substring(c("slug"), F.coalesce("doc_slug", F.lit(""))))
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))

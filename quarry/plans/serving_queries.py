@@ -115,7 +115,14 @@ def first_references(t) -> DataFrame:
     return S.first_references(hits, "refs")
 
 
-@R.query("prompts")
+_EVIDENCE = "'- [' || pr.doc_id || '] (score=' || (floor(pr.score * 100 + 0.5)::BIGINT // 100) || '.' || lpad((floor(pr.score * 100 + 0.5)::BIGINT % 100)::VARCHAR, 2, '0') || '): ' || CASE WHEN length(trim(d.text)) > 800 THEN rtrim(substr(trim(d.text), 1, 799)) || '…' ELSE trim(d.text) END"
+
+
+@R.query(
+    "prompts",
+    f"WITH {bm25_ctes('p', _ITEMS)}, e AS (SELECT query_id, string_agg({_EVIDENCE}, chr(10) ORDER BY pr.rank) AS chunks FROM pr JOIN documents d USING (doc_id) WHERE pr.rank <= 4 GROUP BY 1) "
+    f"SELECT item_id AS query_id, 'Question: ' || trim(text) || chr(10) || chr(10) || 'Routing decision: ' || {ROUTE_SQL} || coalesce(chr(10) || chr(10) || 'Evidence chunks (cite by slug):' || chr(10) || chunks, '') AS prompt FROM benchmark LEFT JOIN e ON query_id = item_id",
+)
 def prompts(t) -> DataFrame:
     hits = S.shape_hits(_bm25(t, 5), t.documents.select("doc_id", "text"), "summaries")
     return S.prompts(_items(t).withColumn("route", T.classify(c("text"))), hits)
@@ -143,4 +150,4 @@ def guardrail(t) -> DataFrame:
 def placeholder_paths(t) -> DataFrame:
     second, third = F.when(c("p_size") % 10 == 0, "TBD").otherwise("x"), F.when(c("p_size") % 3 == 0, "TODO").otherwise("y")
     document = F.to_json(F.struct(F.struct(F.array(F.lit("ok"), second).alias("b")).alias("a"), third.alias("c")))
-    return S.placeholder_paths(t.part.select("p_partkey", document.alias("j")), "p_partkey", "j", depth=4)
+    return S.placeholder_paths(t.part.select("p_partkey", document.alias("j")), "p_partkey", "j")

@@ -78,6 +78,24 @@ def appearance_index(parts: DataFrame) -> DataFrame:
     return each.groupBy("slug").agg(F.sort_array(F.collect_set("a"), asc=False).alias("exam_appearances"))
 
 
+def read_appearances(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, place, year, paper, question_number, sitting, marks) from JSON files that map slugs to appearances."""
+    kind = "map<string, array<struct<year: int, paper: int, question_number: int, sitting: string, marks: int>>>"
+    maps = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("slug", "all"))
+    each = maps.select("slug", F.posexplode("all").alias("place", "a"))
+    return each.select("slug", "place", "a.*")
+
+
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """(model, name, price) from a YAML file of two levels; comments, and what is no number, are left out."""
+    text = F.regexp_replace("value", r"(?m)\s*#.*$", "")
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^([\w.-]+):[ \t]*\n((?:[ \t]+\S.*(?:\n|$))+)"), F.lit(0))).alias("block"))
+    model = F.regexp_extract("block", r"^([\w.-]+):", 1)
+    lines = blocks.select(model.alias("model"), F.explode(F.regexp_extract_all("block", F.lit(r"(?m)^[ \t]+([\w.-]+:[ \t]*\S+)"), F.lit(1))).alias("line"))
+    parts = F.split("line", r":\s*", 2)
+    return lines.select("model", parts[0].alias("name"), parts[1].try_cast("double").alias("price")).where("price IS NOT NULL")
+
+
 def score_key(*texts: Column) -> Column:
     """The key of a cached embedding or rerank score."""
     return F.sha1(F.concat_ws("\u0000", *texts))

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import rules
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -86,16 +88,18 @@ def run_to_table(t, name: str, job: Callable[[DataFrame], DataFrame], complete:
 def log_sink(rows: DataFrame, required: Sequence[str], where: str):
     """Micro-batches of log rows to Parquet; rows without a required column are dropped and counted.
 
-    A batch's number names its folder, so a batch that is written twice after a
-    failure is stored once.
+    A batch is what arrived in SINK_SECONDS, and no file has more than SINK_ROWS
+    rows.  A batch's number names its folder, so a batch that is written twice
+    after a failure is stored once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         whole = batch.where(" AND ".join(f"{c} IS NOT NULL" for c in required))
-        whole.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
+        whole.write.mode("overwrite").option("maxRecordsPerFile", rules.SINK_ROWS).parquet(f"{where}/rows/batch={number}")
         batch.agg(F.count("*").alias("enqueued"), *(F.count_if(F.col(c).isNull()).alias(f"without_{c}") for c in required)).write.mode("overwrite").parquet(f"{where}/counts/batch={number}")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint")
+    sink = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint")
+    return sink.trigger(processingTime=f"{rules.SINK_SECONDS} seconds")
 
 
 def run_log_sink(t, name: str, required: Sequence[str]) -> DataFrame:

@@ -11,8 +11,10 @@ files in their order hold all documents in ascending order.  A task holds one
 frame at a time.
 
 Defined cases: a null or empty text has the end id alone; null ids come first;
-repeated ids and rows are all written, ties in the order of their texts; an
-empty table gives no files and no rows; further columns are ignored.
+repeated ids and rows are all written, ties in the order of a hash of their texts;
+a very long text is encoded whole and gets a frame of its own; a vocabulary of more
+than 65,536 entries is refused, since ids have two bytes; an empty table gives no
+files and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,8 +140,9 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, drops_space: bool
         yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [len(writer.index)], "n_tokens": [writer.tokens]})
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = slim.repartitionByRange(int(size // FILE_BYTES) + 1, "doc_id").sortWithinPartitions("doc_id", "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    # Rows of one id, or of none, may go to several files.
+    ranged = slim.repartitionByRange(int(size // FILE_BYTES) + 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     return materialize(ranged.mapInArrow(write, "part long, uri string, n_docs long, n_tokens long"), "token-files")
 
 

@@ -76,3 +76,24 @@ def test_texts_that_share_bands_without_links_meet_all_others(spark, monkeypatch
     for a, b in pairs:
         found = [found[a] if g == found[b] else g for g in found]
     assert len(set(found)) == len(set(group)) == 6
+
+
+def test_rare_shingles_part_texts_that_share_a_passage(spark):
+    """Texts with three fifths in common share no rare shingle, texts of the similarity do."""
+    from quarry.llm import similar
+
+    passage = texts(1, 31)[0]
+    own = texts(12, 32)
+    rows = [(k, f"{passage} {t[: len(passage) * 2 // 3]}") for k, t in enumerate(own)]
+    rows += [(100 + k, t + " coda") for k, t in rows]
+    frame = spark.createDataFrame([(k, t.encode()) for k, t in rows], "node long, text binary")
+    keys = {}
+    for r in similar.rare_shingles(frame).collect():
+        keys.setdefault(r.node, set()).add(r.band)
+    sets = {k: shingles(t) for k, t in rows}
+    for a in keys:
+        assert len(keys[a]) == len(sets[a]) - -(-4 * len(sets[a]) // 5) + 1
+        for b in keys:
+            if a < b:
+                linked = 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+                assert bool(keys[a] & keys[b]) == linked == (b == a + 100)

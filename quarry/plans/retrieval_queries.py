@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarry import rules
 from quarry.functions import scores as S
 from quarry.functions import text as T
+from quarry.functions.stems import english_terms
 from quarry.operators import evaluation as E
 from quarry.operators import retrieval as V
 from quarry.plans.registry import Registry
@@ -155,6 +156,12 @@ def bm25_norm(t) -> DataFrame:
     return _bm25(t, 5).select("query_id", "rank", F.round(S.min_max(c("score"), "query_id"), 4).alias("score"))
 
 
+@R.query("bm25_stemmed_topk")
+def bm25_stemmed_topk(t) -> DataFrame:
+    """By the stems of words that are no stop words; SQL has no stems, so small rows hold it against plain Python."""
+    return V.bm25_topk(_items(t), t.documents.select("doc_id", "text"), english_terms, 5)
+
+
 #: A second ranking: shared words of five letters and more, over the passage's.
 _OVERLAP = "o AS (SELECT q.query_id, e.doc_id, count(DISTINCT term)::DOUBLE AS score FROM q JOIN e USING (term) WHERE length(term) >= 5 GROUP BY 1, 2),"
 

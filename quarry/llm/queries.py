@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import brown_lm, jpeg, mixing, packing, quality, sharding, simhash, token_files, toxicity, warc
+from quarry.llm import alignment, brown_lm, jpeg, mixing, packing, quality, sharding, simhash, token_files, toxicity, warc
 from quarry.llm.storage import materialize
 from quarry.session import ship
 
@@ -126,6 +126,11 @@ def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_lexicon": op1_toxicity_lexicon,
     "op2_warc_revisits": op2_warc_revisits,
@@ -137,5 +142,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_variants": op8_simhash_variants,
     "op9_brown_lm": op9_brown_lm,
     "op10_jpeg_media": op10_jpeg_media,
+    "op13_lockstep_alignment": op13_lockstep_alignment,
 }
 ORACLES: dict[str, str] = {"op2_warc_revisits": OP2_SQL, "op4_quality_ledger": OP4_SQL, "op7_mix_sources": OP7_SQL}

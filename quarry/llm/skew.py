@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SHARE = 1000
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``table``, which has a key once at most, wherever a third of all rows may have one key.
 
     Rows are counted by key (combined before the shuffle).  The fewer than SHARE
@@ -21,6 +21,6 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     counts = rows.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") > max(1, total // SHARE)) & F.col(key).isNotNull())
     hot = [r[0] for r in counts.select(key).collect()]
     if not hot:
-        return rows.join(table, key)
+        return rows.filter(F.col(key).isNotNull()).join(table, key, how)
     is_hot = F.col(key).isin(hot)
-    return rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key).unionByName(rows.filter(~is_hot).join(table.filter(~is_hot), key))
+    return rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key, how).unionByName(rows.filter(~is_hot).join(table.filter(~is_hot), key, how))

@@ -24,6 +24,7 @@ gives no rows; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.skew import join_hot
 from quarry.llm.storage import materialize
-from quarry.llm.tokens import PartEncoder, byte_symbols
+from quarry.llm.tokens import CLOSING, PartEncoder, byte_symbols
 
 #: Bytes of a lane; distinct pairs that a task sums before it passes them on; pairs that are broadcast.
 LANE_BYTES, TASK_PAIRS, BROADCAST_PAIRS = 4096, 1 << 20, 4_000_000
@@ -55,18 +56,23 @@ class ByteLevel:
         self.parts.tokenizer.encode_special_tokens = True
         own = {c: b for b, c in byte_symbols().items()}
         size = self.parts.tokenizer.get_vocab_size()
+        # So any bytes come back as they are.
+        if self.parts.tokenizer.normalizer is not None or any(self.parts.tokenizer.token_to_id(c) is None for c in own):
+            raise ValueError("a vocabulary without all bytes, or with a normaliser")
         pieces = [self.parts.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.pieces = [bytes(own[c] for c in p) if all(c in own for c in p) else p.encode() for p in pieces]
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u2") for x in self.parts.batch([" " + t for t in texts])]
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """No ids for None."""
+        return [np.frombuffer(x, "<u2") for x in self.parts.batch(["" if t is None else " " + t for t in texts])]
 
 
 class Pieces:
     """Tokenizer B, which adds the space itself.
 
-    No piece of the vocabulary goes on from a word into the space after it, so a
-    text may be cut before each run of spaces.  Cut parts are remembered.
+    No piece of the vocabulary goes on from a word into the space or the closing sign
+    after it, so a text may be cut before each run of spaces.  Cut parts are
+    remembered; one whose pieces do not give it back has None, and so has its text.
     """
 
     def __init__(self, path: str):
@@ -74,32 +80,41 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if len(pieces) > 65_536 or any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("pieces that go on after a space, or ids of more than two bytes")
+        if len(pieces) > 65_536 or any("▁" in p.lstrip("▁") or any(a.isalpha() and b in CLOSING for a, b in itertools.pairwise(p)) for p in pieces):
+            raise ValueError("pieces that go on after a space or a word, or ids of more than two bytes")
         self.pieces = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        after = len(self.model.encode("a"))
+        self.closing = {c: np.array(self.model.encode(f"a{c}")[after:], "<u2").tobytes() for c in CLOSING}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), "<u2").tobytes()
+    def _encode(self, texts: list[str]) -> Iterator[bytes | None]:
+        """Ids of whole texts, None where their pieces are not a space and the text."""
+        for t, ids in zip(texts, self.model.encode(texts), strict=True):
+            same = b"".join([self.pieces[i] for i in ids]) == b" " + t.encode()
+            yield np.array(ids, "<u2").tobytes() if same else None
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+    def batch(self, texts: list[str]) -> list[np.ndarray | None]:
         if len(self.known) > CACHE_PARTS:
             self.known.clear()
-        known, out = self.known, []
-        for t in texts:
-            if "  " in t or t[:1] == " " or t[-1:] == " " or "▁" in t:
-                out.append(np.frombuffer(self._ids(t), "<u2"))
-                continue
-            parts = t.split(" ")
-            try:
-                joined = b"".join(map(known.__getitem__, parts))
-            except KeyError:
-                for p in parts:
-                    if p not in known:
-                        known[p] = self._ids(p)
-                joined = b"".join(map(known.__getitem__, parts))
-            out.append(np.frombuffer(joined, "<u2"))
-        return out
+        known, whole, cut = self.known, {}, {}
+        for k, t in enumerate(texts):
+            if "  " in t or t[:1] in ("", " ") or t[-1:] == " " or "▁" in t:
+                whole[k] = t
+            else:
+                cut[k] = t.split(" ")
+        new = list({p for parts in cut.values() for p in parts if p not in known})
+        # No piece goes on from a letter to a closing sign, so words are learned without it.
+        bare = {p: p[:-1] for p in new if p[-1] in CLOSING and p[:-1].isalpha()}
+        words = list({bare.get(p, p) for p in new} - known.keys())
+        known.update(zip(words, self._encode(words), strict=True))
+        known.update({p: None if known[w] is None else known[w] + self.closing[p[-1]] for p, w in bare.items()})
+        out: list[bytes | None] = [None] * len(texts)
+        for k, ids in zip(whole, self._encode(list(whole.values())), strict=True):
+            out[k] = ids
+        for k, parts in cut.items():
+            ids = [known[p] for p in parts]
+            out[k] = None if None in ids else b"".join(ids)
+        return [None if ids is None else np.frombuffer(ids, "<u2") for ids in out]
 
 
 _held: dict[tuple, object] = {}
@@ -143,27 +158,39 @@ def _ends(ids: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.cumsum(sizes[flat]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
 
 
-def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each document the places in A and B of the linked tokens; both sides have the same bytes."""
+def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The linked tokens' places in the tokens of all documents, and each document's first link; both sides have the same bytes."""
     ends_a, docs_a = _ends(ids_a, sizes_a)
-    ends_b, docs_b = _ends(ids_b, sizes_b)
+    ends_b, _ = _ends(ids_b, sizes_b)
     total = int(ends_a[-1]) if len(ends_a) else 0
     edges = np.arange(0, total + LANE_BYTES, LANE_BYTES)
     # A lane takes tokens that end after its first edge and up to its last.
     cut_a, cut_b = np.searchsorted(ends_a, edges, "right"), np.searchsorted(ends_b, edges, "right")
     cut_a[:1], cut_b[:1] = 0, 0
     links_a, links_b = lockstep(ends_a, ends_b, cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:])
-    at = np.searchsorted(links_a, docs_a)
-    return [(links_a[at[k] : at[k + 1]] - docs_a[k], links_b[at[k] : at[k + 1]] - docs_b[k]) for k in range(len(ids_a))]
+    return links_a, links_b, np.searchsorted(links_a, docs_a)
 
 
-def groups_text(a: list[str], b: list[str], links: tuple[np.ndarray, np.ndarray]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group; the last link ends the text."""
-    groups, i, k = [], 0, 0
-    for j, m in zip((links[0] + 1).tolist(), (links[1] + 1).tolist(), strict=True):
-        groups.append(f"{a[i]}|{b[k]}" if j == i + 1 and m == k + 1 else f"{','.join(a[i:j])}|{','.join(b[k:m])}")
-        i, k = j, m
-    return ";".join(groups)
+def group_texts(ids_a: list[np.ndarray], ids_b: list[np.ndarray], links_a: np.ndarray, links_b: np.ndarray, named: list[str]) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3`` for each document.
+
+    ``named`` has the ids in decimal with a comma, then with a bar, then with a
+    semicolon.  The last token of a group is its linked one; a token's place in the
+    text of all documents is its number and that of the other side's tokens before.
+    """
+    a, b = (np.concatenate([*x, np.zeros(0, np.uint16)]).astype(np.int64) for x in (ids_a, ids_b))
+    last_a, last_b, ids = np.zeros(len(a), bool), np.zeros(len(b), bool), len(named) // 3
+    last_a[links_a] = last_b[links_b] = True
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    out = np.empty(len(a) + len(b), np.int64)
+    out[np.arange(len(a)) + np.concatenate([[0], links_b + 1])[group_a]] = a + ids * last_a
+    out[np.arange(len(b)) + (links_a + 1)[group_b]] = b + 2 * ids * last_b
+    words, texts, at = out.tolist(), [], 0
+    for x, y in zip(ids_a, ids_b, strict=True):
+        n = len(x) + len(y)
+        texts.append("".join([named[i] for i in words[at : at + n]])[:-1])
+        at += n
+    return texts
 
 
 def link_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
@@ -172,20 +199,16 @@ def link_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _tokenizers(byte_level, pieces)
         sizes = [np.array([len(p) for p in t.pieces], np.int64) for t in (one, two)]
-        named = [str(i) for i in range(max(len(one.pieces), len(two.pieces)))]
+        named = [f"{i}{sign}" for sign in ",|;" for i in range(max(map(len, sizes)))]
+        none = np.zeros(0, np.uint16)
         for batch in (b.slice(at, BATCH_TEXTS) for b in batches for at in range(0, b.num_rows, BATCH_TEXTS)):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            a, b = one.batch(texts), two.batch(texts)
-            for k, t in enumerate(texts):
-                want = b" " + t.encode()
-                if not t or b"".join(map(one.pieces.__getitem__, a[k])) != want or b"".join(map(two.pieces.__getitem__, b[k])) != want:
-                    a[k] = b[k] = np.zeros(0, np.uint16)
-            found, digests, packed = align(a, b, *sizes), [], []
-            for x, y, links in zip(a, b, found, strict=True):
-                groups = groups_text([named[i] for i in x.tolist()], [named[i] for i in y.tolist()], links)
-                digests.append(hashlib.sha256(groups.encode()).hexdigest() if len(x) else "")
-                packed.append(np.column_stack([x[links[0]], y[links[1]]]).astype("<u2").tobytes())
-            columns = [batch.column(0), *(pa.array([len(x) for x in side], pa.int64()) for side in (a, b, [f[0] for f in found])), pa.array(digests, pa.string()), pa.array(packed, pa.binary())]
+            b = [none if ids is None else ids for ids in two.batch([t or "" for t in batch.column(1).to_pylist()])]
+            a = one.batch([t if len(ids) else None for t, ids in zip(batch.column(1).to_pylist(), b, strict=True)])
+            links_a, links_b, at = align(a, b, *sizes)
+            digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in group_texts(a, b, links_a, links_b, named)]
+            pairs = np.column_stack([np.concatenate([*x, none])[y] for x, y in ((a, links_a), (b, links_b))]).astype("<u2")
+            packed, counts = [pairs[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], np.diff(at)
+            columns = [batch.column(0), *(pa.array([len(x) for x in side], pa.int64()) for side in (a, b)), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_links", "groups_sha256", "links"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import alignment, brown_lm, jpeg, mixing, packing, quality, sharding, simhash, suffixes, token_files, toxicity, warc
+from quarry.llm import alignment, brown_lm, conversations, jpeg, mixing, packing, quality, sharding, simhash, suffixes, token_files, toxicity, warc
 from quarry.llm.storage import materialize
 from quarry.session import ship
 
@@ -126,6 +126,10 @@ def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -146,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_variants": op8_simhash_variants,
     "op9_brown_lm": op9_brown_lm,
     "op10_jpeg_media": op10_jpeg_media,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_suffix_repeats": op12_suffix_repeats,
     "op13_lockstep_alignment": op13_lockstep_alignment,
 }

@@ -75,10 +75,11 @@ def test_lanes_cut_nothing(monkeypatch):
         b.append(np.array(own, np.uint16))
     whole = alignment.align(a, b, sizes, sizes)
     monkeypatch.setattr(alignment, "LANE_BYTES", 7)
-    for (x, y), (v, w) in zip(whole, alignment.align(a, b, sizes, sizes), strict=True):
-        assert x.tolist() == v.tolist() and y.tolist() == w.tolist()
-    for x, y, (v, w) in zip(a, b, whole, strict=True):
-        assert np.cumsum(x)[v].tolist() == np.cumsum(y)[w].tolist() == sorted(set(np.cumsum(x).tolist()) & set(np.cumsum(y).tolist()))
+    for x, y in zip(whole, alignment.align(a, b, sizes, sizes), strict=True):
+        assert x.tolist() == y.tolist()
+    ends = [np.cumsum(np.concatenate(side)) for side in (a, b)]
+    assert ends[0][whole[0]].tolist() == ends[1][whole[1]].tolist() == sorted(set(ends[0].tolist()) & set(ends[1].tolist()))
+    assert np.diff(whole[2]).tolist() == [int(((whole[0] >= k * 300) & (whole[0] < (k + 1) * 300)).sum()) for k in range(5)]
 
 
 def test_empty_table(spark):

@@ -88,6 +88,18 @@ def stratified_sample(rows: DataFrame, key: str, source: str, strand: str, quota
     return few.withColumn("place", place).where(F.col("place") <= quota)
 
 
+def round_robin(rows: DataFrame, stratum: str, order: Sequence[str], n: int) -> DataFrame:
+    """``n`` rows, one of each stratum in turn, in order within it, until all are picked or strata run out.
+
+    A row of wave w has w - 1 rows of its stratum before it.  Strata are cut to n rows
+    where they are read, and the first n by (wave, stratum) are found in each task
+    before they meet.
+    """
+    wave = F.row_number().over(W.partitionBy(stratum).orderBy(*order))
+    few = rows.withColumn("wave", wave).where(F.col("wave") <= n)
+    return few.orderBy("wave", F.asc_nulls_last(stratum)).limit(n)
+
+
 def sample_per_group(rows: DataFrame, key: str, group: str, n: int, seed: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*hash_order(key, seed)))).where(F.col("place") <= n)
 

@@ -6,10 +6,13 @@ windows over the lines of a file; only YAML itself is parsed in Python.
 
 from __future__ import annotations
 
+import fnmatch
+import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -17,10 +20,44 @@ from quarry.operators import ordered
 
 
 def read_files(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
-    """(path, name, folder, text) of all files below a folder."""
+    """(path, name, folder, text) of all files below a folder.
+
+    Spark's readers pass over empty files and names that begin with an underscore or a
+    dot, as summaries do; those are listed by name and opened in tasks.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    both = files.select("path", F.decode("content", "UTF-8").alias("text")).unionByName(_passed_over(spark, folder, glob))
     parts = F.split("path", "/")
-    return files.select("path", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("folder"), F.decode("content", "UTF-8").alias("text"))
+    return both.select("path", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("folder"), "text")
+
+
+def _passed_over(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed, found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().getName()
+        if fnmatch.fnmatchcase(name, glob) and (name[0] in "_." or not status.getLen()) and not name.endswith((".tmp", ".crc")):
+            found.append((status.getPath().toString(),))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path in b["path"]:
+                files, name = _open(path)
+                with files.open_input_stream(name, compression=None) as f:
+                    yield pd.DataFrame({"path": [path], "text": [f.read().decode("utf-8", "replace")]})
+
+    names = spark.createDataFrame(found, "path string").repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism)))
+    return names.mapInPandas(run, "path string, text string")
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+SKIP_REASONS = ("summary", "readme", "no_front_matter", "no_slug")
 
 
 def skip_reason(name: Column, text: Column, slug: Column) -> Column:
@@ -28,6 +65,20 @@ def skip_reason(name: Column, text: Column, slug: Column) -> Column:
     return T.first_match([(name.startswith("_SUMMARY-"), "summary"), (name == "README.md", "readme"), (~text.startswith("---"), "no_front_matter"), (slug.isNull() | (F.trim(slug) == ""), "no_slug")])
 
 
+def walk(files: DataFrame) -> tuple[DataFrame, Observation]:
+    """The tutorials among ``files`` with their slug, and what one pass over them counts.
+
+    The observation has ``walked``, ``parsed`` and the number of skipped files by
+    reason, as soon as the rows have been read once.
+    """
+    slug = F.nullif(F.trim(F.regexp_extract(F.coalesce(front_matter(F.col("text")), F.lit("")), r"(?m)^slug:[ \t]*['\"]?([^'\"\r\n]*)", 1)), F.lit(""))
+    marked = files.withColumn("slug", slug).withColumn("skipped", skip_reason(F.col("name"), F.col("text"), F.col("slug")))
+    seen = Observation()
+    sums = [F.count_if(F.col("skipped") == r).alias(r) for r in SKIP_REASONS]
+    counted = marked.observe(seen, F.count("*").alias("walked"), F.count_if(F.col("skipped").isNull()).alias("parsed"), *sums)
+    return counted.where("skipped IS NULL").drop("skipped"), seen
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(path, n, line) of each line; n counts from 0."""
     return files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
@@ -46,6 +97,58 @@ def strip_block(text: Column, begin: str, end: str) -> Column:
     return F.regexp_replace(text, rf"(?s)\n*{begin}.*?{end}\n*", "\n")
 
 
+#: Heading of the generated block of cross-references.
+CROSS_REFERENCES = "## Cross-references (machine-readable)"
+
+
+def without_references(text: Column) -> Column:
+    """A text up to its last block of cross-references and the rule above it, with one line break at its end."""
+    at = F.length(text) - F.length(F.substring_index(text, CROSS_REFERENCES, -1)) - len(CROSS_REFERENCES)
+    head = F.rtrim(F.substring(text, F.lit(1), at.cast("int")), F.lit(" \t\r\n\f\x0b"))
+    head = F.rtrim(F.regexp_replace(head, r"---$", ""), F.lit(" \t\r\n\f\x0b"))
+    return F.concat(F.rtrim(F.when(F.contains(text, F.lit(CROSS_REFERENCES)), head).otherwise(text), F.lit(" \t\r\n\f\x0b")), F.lit("\n"))
+
+
+def render_references(parts: DataFrame) -> DataFrame:
+    """(path, block) from (path, place, part_id, topic, tutorials): the block of each file, its parts in order of place."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for b in batches:
+            blocks = []
+            for rows in b["rows"]:
+                entries = [{"part_id": r["part_id"], "topic": r["topic"], "tutorials": list(r["tutorials"] if r["tutorials"] is not None else [])} for r in rows]
+                text = yaml.safe_dump({"cross_references": entries}, sort_keys=False, allow_unicode=True, default_flow_style=False)
+                blocks.append(f"\n---\n\n{CROSS_REFERENCES}\n\n```yaml\n{text}```\n")
+            yield pd.DataFrame({"path": b["path"], "block": blocks})
+
+    grouped = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "part_id", "topic", "tutorials"))).alias("rows"))
+    return grouped.mapInPandas(run, "path string, block string")
+
+
+def with_references(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(path, new_text, changed) of the files that have a block; a second run changes none."""
+    new = F.concat(without_references(F.col("text")), "block")
+    return files.join(blocks, "path").select("path", new.alias("new_text"), (new != F.col("text")).alias("changed"))
+
+
+def write_back(rendered: DataFrame) -> int:
+    """Rewrites the changed files in their places, each complete or as it was; returns how many."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, text in zip(b["path"], b["new_text"], strict=True):
+                files, name = _open(path)
+                part = f"{name}.{uuid.uuid4().hex}.tmp"
+                with files.open_output_stream(part, compression=None) as out:
+                    out.write(text.encode())
+                files.move(part, name)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return rendered.where("changed").select("path", "new_text").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def front_matter(text: Column) -> Column:
     """What stands between the first two --- lines, or null."""
     return F.nullif(F.regexp_extract(text, r"(?s)^---\r?\n(.*?)\r?\n---", 1), F.lit(""))

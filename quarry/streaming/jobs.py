@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: aggregates, deduplication, and a batched log sink.
+"""Structured Streaming jobs: aggregates, deduplication with and without expiry, and a batched log sink that counts its losses.
 
 ``run_to_table`` drives a job over a table of the input folder until it is
 drained, and returns what it wrote; the same jobs run on any stream.
@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import rules
@@ -85,25 +85,57 @@ def run_to_table(t, name: str, job: Callable[[DataFrame], DataFrame], complete:
     return t.spark.read.schema(out.schema).parquet(f"{where}/out")
 
 
-def log_sink(rows: DataFrame, required: Sequence[str], where: str):
-    """Micro-batches of log rows to Parquet; rows without a required column are dropped and counted.
+def expiring_distinct(rows: DataFrame, keys: Sequence[str], ts: str, lifetime: str) -> DataFrame:
+    """Each key once until it expires: verified tokens, say, which are checked again after their lifetime.
+
+    A key is forgotten once the watermark (the latest time seen, less the lifetime) has
+    passed the time at which it was let through, plus the lifetime.  So the state holds
+    the keys of some lifetimes and no more, whatever the length of the stream.  Rows
+    that are later than the watermark are dropped, as they count as expired.
+    """
+    return rows.withWatermark(ts, lifetime).dropDuplicatesWithinWatermark(list(keys))
+
+
+def write_rows(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rules.SINK_ROWS).parquet(folder)
+
+
+def log_sink(rows: DataFrame, required: Sequence[str], where: str, writer: Callable[[DataFrame, str], None] = write_rows):
+    """Micro-batches of log rows by ``writer``; rows without a required column are dropped and counted.
 
     A batch is what arrived in SINK_SECONDS, and no file has more than SINK_ROWS
     rows.  A batch's number names its folder, so a batch that is written twice
-    after a failure is stored once.
+    after a failure is stored once.  Rows are counted while they are written; a
+    batch whose writer fails is lost and counted as such, and the stream goes on.
     """
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in required)
+    sums = [F.count("*").alias("enqueued"), F.count_if(~F.expr(whole)).alias("dropped_invalid"), *(F.count_if(F.col(c).isNull()).alias(f"without_{c}") for c in required)]
 
     def write(batch: DataFrame, number: int) -> None:
-        whole = batch.where(" AND ".join(f"{c} IS NOT NULL" for c in required))
-        whole.write.mode("overwrite").option("maxRecordsPerFile", rules.SINK_ROWS).parquet(f"{where}/rows/batch={number}")
-        batch.agg(F.count("*").alias("enqueued"), *(F.count_if(F.col(c).isNull()).alias(f"without_{c}") for c in required)).write.mode("overwrite").parquet(f"{where}/counts/batch={number}")
+        seen, failed = Observation(), False
+        try:
+            writer(batch.observe(seen, *sums).where(whole), f"{where}/rows/batch={number}")
+            found = seen.get
+        except Exception:  # whatever the writer raises, the rows are lost and the stream goes on
+            failed, found = True, batch.agg(*sums).first().asDict()
+        good = found["enqueued"] - found["dropped_invalid"]
+        row = {**found, "flushed": 0 if failed else good, "dropped_on_error": good if failed else 0, "flush_errors": int(failed)}
+        names = sorted(row)
+        one = batch.sparkSession.createDataFrame([tuple(row[c] for c in names)], ", ".join(f"{c} long" for c in names))
+        one.coalesce(1).write.mode("overwrite").parquet(f"{where}/counts/batch={number}")
 
     sink = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint")
     return sink.trigger(processingTime=f"{rules.SINK_SECONDS} seconds")
 
 
-def run_log_sink(t, name: str, required: Sequence[str]) -> DataFrame:
+def sink_statistics(counts: DataFrame) -> DataFrame:
+    """The sink's counters over all its batches: each row is flushed, invalid, or lost with its batch."""
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("enqueued", "flushed", "dropped_invalid", "dropped_on_error", "flush_errors")))
+
+
+def run_log_sink(t, name: str, required: Sequence[str], counts: bool = False) -> DataFrame:
+    """What the sink wrote for a table, or its counts by batch."""
     where = work_folder(t.spark, "log")
     rows = read_stream(streaming_session(t.spark), t.folder, name)
     log_sink(rows, required, where).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{where}/rows")
+    return t.spark.read.parquet(f"{where}/{'counts' if counts else 'rows'}")

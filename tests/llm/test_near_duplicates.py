@@ -117,3 +117,55 @@ def test_near_copies_with_many_edits_are_not_compared_with_each_other(spark, mon
     got = sorted(r.doc_id for r in similar.keep_one(docs).collect())
     assert got == sorted(min(i for i, g in enumerate(group) if g == x) for x in set(group))
     assert sum(compared) < 150 * 20  # all pairs: 11,175
+
+
+def _compared(monkeypatch, run):
+    """What ``run`` gives, and how many pairs of texts were compared for it."""
+    from quarry.llm import similar
+
+    compared, plain = [], similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda df, tag: (compared.append(out.count()) if tag == "candidate-pairs" else None, out)[1] if (out := plain(df, tag)) else None)
+    return run(), sum(compared)
+
+
+def test_variants_that_are_similar_to_none_take_few_comparisons(spark, monkeypatch):
+    """600 texts of 300 words with 6 words changed each: no pair reaches the similarity, all share most of a text."""
+    from quarry.llm import similar
+
+    rng = random.Random(3)
+    base = " ".join(texts(4, 60)).split()[:300]
+    rows = []
+    for i in range(600):
+        w = base[:]
+        for k in rng.sample(range(len(w)), 6):
+            w[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA).repartition(4)
+    kept, compared = _compared(monkeypatch, lambda: sorted(r.doc_id for r in similar.keep_one(docs).collect()))
+    group = components([t for _, t in rows])
+    assert kept == sorted(min(i for i, g in enumerate(group) if g == x) for x in set(group))
+    assert compared < 40_000, compared  # all pairs: 179,700
+
+
+def test_recall_of_pairs_of_little_more_than_the_similarity(spark):
+    """Pairs of 0.8 to 0.85 hidden among variants that are similar to none."""
+    from quarry.llm import similar
+
+    rng = random.Random(4)
+    base, pairs, rows = " ".join(texts(4, 61)).split()[:300], [], []
+    for i in range(150):
+        w = base[:]
+        for k in rng.sample(range(len(w)), 8):
+            w[k] = f"edit{i}x{k}"
+        twin = w[:]
+        for k in rng.sample(range(len(w)), 6):
+            twin[k] = f"twin{i}x{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(twin))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            pairs.append(2 * i)
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA).repartition(4)
+    kept = {r.doc_id for r in similar.keep_one(docs).collect()}
+    assert len(pairs) > 60 and sum(i + 1 not in kept for i in pairs) >= 0.9 * len(pairs)
+    linked = {2 * i + 1 for i in range(150)} - kept
+    assert all(5 * len(shingles(rows[i][1]) & shingles(rows[i - 1][1])) >= 4 * len(shingles(rows[i][1]) | shingles(rows[i - 1][1])) for i in linked)

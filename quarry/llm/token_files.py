@@ -141,8 +141,9 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, drops_space: bool
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    # Rows of one id, or of none, may go to several files.
-    ranged = slim.repartitionByRange(int(size // FILE_BYTES) + 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    # Rows of one id, or of none, may go to several files, and so may equal rows, whose order is free.
+    numbered = slim.withColumn("row", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(int(size // FILE_BYTES) + 1, "doc_id", "tie", "row").drop("row").sortWithinPartitions("doc_id", "tie", "text")
     return materialize(ranged.mapInArrow(write, "part long, uri string, n_docs long, n_tokens long"), "token-files")
 
 

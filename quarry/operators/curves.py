@@ -106,9 +106,51 @@ def operator_of(c: Column) -> Column:
     return reduce(lambda out, o: F.when(bare == o[0], o[1]).otherwise(out), OPERATORS.items(), F.lit(None).cast("string"))
 
 
-def number_text(x: Column) -> Column:
-    """Up to six decimals, without trailing zeros."""
-    return F.regexp_replace(F.format_string("%.6f", x.cast("double")), r"\.?0+$", "")
+def number_text(x: Column, digits: int = 6) -> Column:
+    """So many significant digits without trailing zeros, with an exponent below 1e-4 and from 10^digits on; halves go up."""
+    shown = F.format_string(f"%.{digits}g", x.cast("double"))
+    return F.regexp_replace(F.regexp_replace(shown, r"(\.[0-9]*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+
+
+def axis_text(x: Column) -> Column:
+    """Whole numbers as such, others with two decimals at most."""
+    return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(F.format_string("%.2f", x.cast("double")), r"\.?0+$", ""))
+
+
+def added(x: Column, digits: int = 6, minus: str = "−") -> Column:
+    """ + 2 or − 2, to follow another term; nothing for 0."""
+    return F.when(x == 0, "").otherwise(F.concat(F.when(x > 0, " + ").otherwise(f" {minus} "), number_text(F.abs(x), digits)))
+
+
+def times_x(a: Column, digits: int = 6) -> Column:
+    return F.when(a == 1, "x").otherwise(F.concat(number_text(a, digits), F.lit("x")))
+
+
+def trigonometric_text(kind: Column, amplitude: Column, period: Column, phase: Column, shift: Column) -> Column:
+    """y = 2 sin(3x - 1.5) + 1 from a period and a phase."""
+    frequency = 2 * math.pi / period
+    inner = F.when(F.abs(frequency - 1) < 1e-9, "x").otherwise(times_x(frequency, 3))
+    return F.concat(F.lit("y = "), number_text(amplitude), F.lit(" "), kind, F.lit("("), inner, added(-frequency * phase, 3, "-"), F.lit(")"), added(shift))
+
+
+def _base(base: Column) -> Column:
+    return F.when(F.abs(base - math.e) < 1e-6, "e").otherwise(number_text(base))
+
+
+def _factor(a: Column) -> Column:
+    return F.when(a == 1, "").otherwise(F.concat(number_text(a), F.lit(" · ")))
+
+
+def exponential_text(base: Column, factor: Column, rate: Column, offset: Column) -> Column:
+    """y = 3 · e^(-x) + 1"""
+    power = F.when(rate == -1, "-x").otherwise(times_x(rate))
+    return F.concat(F.lit("y = "), _factor(factor), _base(base), F.lit("^("), power, F.lit(")"), added(offset))
+
+
+def logarithm_text(base: Column, factor: Column, scale: Column, offset: Column) -> Column:
+    """y = 3 · log_2(4x) − 1, with ln for the natural one."""
+    name = F.when(_base(base) == "e", "ln").otherwise(F.concat(F.lit("log_"), _base(base)))
+    return F.concat(F.lit("y = "), _factor(factor), name, F.lit("("), times_x(scale), F.lit(")"), added(offset))
 
 
 def polynomial_text(coefficients: Column) -> Column:

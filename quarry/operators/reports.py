@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,6 +55,30 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).sortWithinPartitions("line").select("text").write.mode("overwrite").text(path)
 
 
+# Columns of a file of results.
+RESULT_COLUMNS = ["eval_id", "source", "difficulty", "expected_slug", "topic", "rank", "precision@1", "recall@5", "mrr", "service_used", "top_k_slugs", "error"]
+
+
+def result_rows(rows: DataFrame, hits: DataFrame, k: int = 5, **values: Column) -> DataFrame:
+    """Rows of a file of results, all text, from scored rows (query_id, rank) and their hits; what is not known is empty."""
+    place = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc_id"))))
+    tops = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.array_join(F.transform(place, lambda x: x.doc_id), ",").alias("_top"))
+    within = lambda n: F.when(F.coalesce(F.col("rank") <= n, F.lit(False)), 1).otherwise(0)
+    known = {"rank": F.col("rank"), "precision@1": within(1), "recall@5": within(5), "mrr": fixed(F.coalesce(1 / F.col("rank"), F.lit(0.0)), 4), "top_k_slugs": F.col("_top"), **values}
+    return rows.join(tops, "query_id", "left").select(*(F.coalesce(known.get(n, F.lit(None)).cast("string"), F.lit("")).alias(n) for n in RESULT_COLUMNS))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """As CSV with heads and doubled quotes, as many files as there are partitions."""
+    rows.write.csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """What ``write_csv`` wrote, as text; values may hold line ends."""
+    found = spark.read.csv(path, schema=", ".join(f"`{n}` string" for n in columns), header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return found.select(*(F.coalesce(f"`{n}`", F.lit("")).alias(n) for n in columns))
+
+
 def inspect(golden: DataFrame, rankings: Mapping[str, DataFrame], accepted: DataFrame) -> DataFrame:
     """Every hit of some golden rows, with its score in each ranking and the rank of what was expected.
 

@@ -3,18 +3,19 @@
 A ranking is a table (query_id, doc_id, score, rank); all queries of a batch are
 answered at once.  Ties are broken by doc_id.
 
-Searches take queries in blocks of at most QUERY_BLOCK.  A block is sent to the
-tasks that read the corpus; each scores its rows, whole, where they are, and keeps
-k of them for each query over all that it reads.  So neither texts nor vectors are
-shuffled, no term is a join key, and what is shuffled has k rows for each query
-and task.
+Searches take queries in packets of about PACKET_BYTES, tens of thousands of
+questions, so that the driver holds no more than one and the corpus is read once
+for each.  A packet is sent to the tasks that read the corpus; each scores its
+rows, whole, where they are, for one block of QUERY_BLOCK queries after another,
+and keeps k of them for each query over all that it reads.  So neither texts nor
+vectors are shuffled, no term is a join key, and what is shuffled has k rows for
+each query and task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
-from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from quarry import rules
 from quarry.functions import scores as S
 
-#: Queries that are answered at once, and (document, term, query) triples that are summed at once.
-QUERY_BLOCK, TRIPLES = 1024, 1 << 22
+#: Queries that are scored at once, bytes of queries that go along with one scan, and (document, term, query) triples that are summed at once.
+QUERY_BLOCK, PACKET_BYTES, TRIPLES = 1024, 16 << 20, 1 << 22
 SCORED = "query_id long, doc_id long, score double"
 
 
@@ -65,9 +66,23 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(self.query), pa.array(self.doc), pa.array(self.score)], ["query_id", "doc_id", "score"])
 
 
-def _in_blocks(queries: DataFrame, answer: Callable[[list[Row]], DataFrame]) -> DataFrame:
-    """The union of the answers to blocks of queries."""
-    answers = [answer(list(rows)) for rows in batched(queries.toLocalIterator(), QUERY_BLOCK)]
+def _packets(queries: DataFrame, size: Callable[[Row], int]) -> Iterator[list[Row]]:
+    """Queries in packets of at most PACKET_BYTES, or of one query that is larger."""
+    packet, held = [], 0
+    for row in queries.toLocalIterator():
+        n = size(row)
+        if packet and held + n > PACKET_BYTES:
+            yield packet
+            packet, held = [], 0
+        packet.append(row)
+        held += n
+    if packet:
+        yield packet
+
+
+def _in_packets(queries: DataFrame, size: Callable[[Row], int], answer: Callable[[list[Row]], DataFrame]) -> DataFrame:
+    """The union of the answers to packets of queries."""
+    answers = [answer(rows) for rows in _packets(queries, size)]
     return reduce(DataFrame.unionByName, answers) if answers else queries.sparkSession.createDataFrame([], SCORED)
 
 
@@ -82,19 +97,22 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector:
 
     def answer(rows: list[Row]) -> DataFrame:
         ids, asked = np.array([r["id"] for r in rows]), _unit(np.array([r["v"] for r in rows], float))
+        cuts = range(QUERY_BLOCK, len(ids), QUERY_BLOCK)
+        blocks = list(zip(np.split(ids, cuts), np.split(asked, cuts), strict=True))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(k + 1)
+            best = [Best(k + 1) for _ in blocks]
             for b in batches:
                 if b.num_rows:
-                    m = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(float)
-                    grid = np.round(np.clip(asked @ _unit(m).T, 0, 1), 6)
-                    best.add_grid(ids, b.column(0).to_numpy(), grid, np.ones_like(grid, bool))
-            yield best.rows()
+                    m = _unit(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(float)).T
+                    for found, (block, vectors) in zip(best, blocks, strict=True):
+                        grid = np.round(np.clip(vectors @ m, 0, 1), 6)
+                        found.add_grid(block, b.column(0).to_numpy(), grid, np.ones_like(grid, bool))
+            yield from (found.rows() for found in best)
 
         return slim(corpus).mapInArrow(run, SCORED)
 
-    return ranked(_in_blocks(slim(queries), answer), k + 1)
+    return ranked(_in_packets(slim(queries), lambda r: 8 * len(r["v"]) + 8, answer), k + 1)
 
 
 def without_self(ranking: DataFrame, k: int) -> DataFrame:
@@ -111,17 +129,14 @@ def merge_fields(*rankings: DataFrame) -> DataFrame:
 
 
 class Asked:
-    """A block of queries by term: the terms, and which queries have each."""
+    """A packet of queries: the terms of all, and its blocks of queries."""
 
     def __init__(self, rows: list[Row]):
-        self.ids = np.array([r["query_id"] for r in rows], np.int64)
         number: dict[str, int] = {}
-        of = np.array([number.setdefault(t, len(number)) for r in rows for t in r["terms"]], np.int64)
-        query = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows])
+        of = [np.array([number.setdefault(t, len(number)) for t in r["terms"]], np.int64) for r in rows]
+        ids = np.array([r["query_id"] for r in rows], np.int64)
         self.terms = pa.array(list(number), pa.string())
-        self.queries = query[np.argsort(of, kind="stable")]
-        self.count = np.bincount(of, minlength=len(number)) if len(of) else np.zeros(len(number), np.int64)
-        self.start = np.cumsum(self.count) - self.count
+        self.blocks = [Block(ids[k : k + QUERY_BLOCK], of[k : k + QUERY_BLOCK]) for k in range(0, len(rows), QUERY_BLOCK)]
 
     def postings(self, terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of documents as lists of terms: row, term and count of each pair that some query asks for; and all lengths."""
@@ -132,14 +147,28 @@ class Asked:
         pair, tf = np.unique((row * n + at)[at >= 0], return_counts=True)
         return pair // n, pair % n, tf, length
 
+
+class Block:
+    """Queries that are scored at once: the terms that they ask for, and which of them have each."""
+
+    def __init__(self, ids: np.ndarray, terms: list[np.ndarray]):
+        self.ids, flat = ids, np.concatenate(terms)
+        query = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+        self.terms, self.count = np.unique(flat, return_counts=True)
+        self.queries = query[np.argsort(flat, kind="stable")]
+        self.start = np.cumsum(self.count) - self.count
+
     def scores(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
         """Sums [query, row] of the weights of the terms that a query has."""
-        out, many = np.zeros(len(self.ids) * n_rows), self.count[term]
+        out = np.zeros(len(self.ids) * n_rows)
+        mine = np.isin(term, self.terms)
+        row, weight, at = row[mine], weight[mine], np.searchsorted(self.terms, term[mine])
+        many = self.count[at]
         upto = np.cumsum(many)
         for part in np.split(np.arange(len(row)), np.searchsorted(upto, np.arange(TRIPLES, upto[-1], TRIPLES))) if len(row) else []:
             each = many[part]
             inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            query = self.queries[np.repeat(self.start[term[part]], each) + inside]
+            query = self.queries[np.repeat(self.start[at[part]], each) + inside]
             out += np.bincount(query * n_rows + np.repeat(row[part], each), np.repeat(weight[part], each), len(out))
         return out.reshape(len(self.ids), n_rows)
 
@@ -150,36 +179,38 @@ def _lexical(queries: DataFrame, docs: DataFrame, terms: Callable[[Column], Colu
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("terms"))
 
     def answer(rows: list[Row]) -> DataFrame:
-        block = Asked(rows)
-        weigh = weigher(known, block)
+        packet = Asked(rows)
+        weigh = weigher(known, packet)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(k)
+            best = [Best(k) for _ in packet.blocks]
             for b in batches:
-                row, term, tf, length = block.postings(b.column(1))
-                grid = np.round(block.scores(row, term, weigh(term, tf, length[row]), b.num_rows), 6)
-                best.add_grid(block.ids, b.column(0).to_numpy(), grid, (grid > 0) & b.column(2).to_numpy(zero_copy_only=False))
-            yield best.rows()
+                row, term, tf, length = packet.postings(b.column(1))
+                weight, may = weigh(term, tf, length[row]), b.column(2).to_numpy(zero_copy_only=False)
+                for found, block in zip(best, packet.blocks, strict=True):
+                    grid = np.round(block.scores(row, term, weight, b.num_rows), 6)
+                    found.add_grid(block.ids, b.column(0).to_numpy(), grid, (grid > 0) & may)
+            yield from (found.rows() for found in best)
 
         return known.mapInArrow(run, SCORED)
 
-    return ranked(_in_blocks(asked, answer), k)
+    return ranked(_in_packets(asked, lambda r: sum(map(len, r["terms"])) + 8, answer), k)
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, terms: Callable[[Column], Column], k: int, keep: Column | None = None, k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
     """The k best by BM25, from (query_id, text) and (doc_id, text); counts are those of all ``docs``, ``keep`` says which may be found."""
 
-    def weigher(known: DataFrame, block: Asked) -> Callable:
+    def weigher(known: DataFrame, packet: Asked) -> Callable:
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            df, n, total = np.zeros(len(block.terms), np.int64), 0, 0
+            df, n, total = np.zeros(len(packet.terms), np.int64), 0, 0
             for batch in batches:
-                _, term, _, length = block.postings(batch.column(0))
+                _, term, _, length = packet.postings(batch.column(0))
                 df += np.bincount(term, minlength=len(df))
                 n, total = n + len(length), total + int(length.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(df))), pa.array(np.concatenate([[total, n], df]))], ["term", "n"])
 
         sums = {r["term"]: r["n"] for r in known.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        n, df = sums.get(-1, 0), np.array([sums.get(t, 0) for t in range(len(block.terms))], float)
+        n, df = sums.get(-1, 0), np.array([sums.get(t, 0) for t in range(len(packet.terms))], float)
         idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), sums.get(-2, 0) / max(1, n) or 1.0
         return lambda term, tf, length: idf[term] * tf / (tf + k1 * (1 - b + b * length / mean))
 
@@ -188,7 +219,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, terms: Callable[[Column], Col
 
 def overlap_topk(queries: DataFrame, docs: DataFrame, terms: Callable[[Column], Column], k: int) -> DataFrame:
     """The k best by the number of distinct terms that they share with the query."""
-    return _lexical(queries, docs, terms, k, None, lambda known, block: lambda term, tf, length: np.ones(len(term)))
+    return _lexical(queries, docs, terms, k, None, lambda known, packet: lambda term, tf, length: np.ones(len(term)))
 
 
 def rrf(*rankings: DataFrame, k: int = rules.RRF_K) -> DataFrame:

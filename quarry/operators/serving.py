@@ -135,8 +135,11 @@ def tool_call(answer: Column, schema: str) -> Column:
 
 
 def _leaves(document: str | None) -> list[dict[str, str]]:
-    """(path, value) of each string in a JSON document, at any depth."""
-    found, open_ = [], [("", json.loads(document))] if document is not None else []
+    """(path, value) of each string in a JSON document, at any depth; none for what is no JSON."""
+    try:
+        found, open_ = [], [("", json.loads(document))] if document is not None else []
+    except (ValueError, RecursionError):
+        return []
     while open_:
         path, value = open_.pop()
         if isinstance(value, dict):

@@ -177,9 +177,10 @@ def union_checks(t) -> DataFrame:
     return out
 
 
-@R.query("minus_orphans", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@R.query("minus_orphans", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def minus_orphans(t) -> DataFrame:
-    return t.customer.select("c_custkey").subtract(t.orders.select(c("o_custkey").alias("c_custkey")))
+    """Customers without an urgent order."""
+    return t.customer.select("c_custkey").subtract(t.orders.where("o_orderpriority = '1-URGENT'").select(c("o_custkey").alias("c_custkey")))
 
 
 @R.query("semi_valid_refs", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from quarry.plans.registry import Registry
 from quarry.plans.retrieval_queries import _METRICS, _ROWS, _asked, _bm25, _golden_rows, _ITEMS, _cosine, _neighbours, bm25_ctes
 from quarry.plans.text_queries import ROUTE_SQL, _cut_sql
 from quarry.sources import tables as tb
+from quarry.streaming import jobs
 
 R = Registry()
 c = F.col
@@ -67,6 +70,22 @@ def markdown_report(t) -> DataFrame:
     return P.markdown_table(labels, [c("label")], label=c("label").cast("string"), n=c("n").cast("string"), p1=P.fixed(c("p1"), 3))
 
 
+@R.query(
+    "results_csv",
+    _ROWS + ", k AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS top FROM n WHERE rank <= 5 GROUP BY 1) "
+    "SELECT query_id::VARCHAR AS eval_id, 'vectors' AS source, CASE WHEN label % 2 = 0 THEN 'even' ELSE '' END AS difficulty, label::VARCHAR AS expected_slug, 'topic \"' || label || '\", or' || chr(10) || 'none' AS topic, coalesce(rank0::VARCHAR, '') AS rank, "
+    "CASE WHEN rank = 1 THEN '1' ELSE '0' END AS \"precision@1\", CASE WHEN rank <= 5 THEN '1' ELSE '0' END AS \"recall@5\", CASE WHEN rank0 IS NULL THEN '0.0000' ELSE '' || (floor(10000.0 / rank0 + 0.5)::BIGINT // 10000) || '.' || lpad((floor(10000.0 / rank0 + 0.5)::BIGINT % 10000)::VARCHAR, 4, '0') END AS mrr, "
+    "'cosine' AS service_used, coalesce(top, '') AS top_k_slugs, '' AS error FROM g LEFT JOIN k USING (query_id)",
+)
+def results_csv(t) -> DataFrame:
+    """Written as CSV and read back; topics hold quotes, commas and line ends."""
+    topic = F.concat(F.lit('topic "'), c("label").cast("string"), F.lit('", or\nnone'))
+    rows = P.result_rows(_golden_rows(t), _neighbours(t, 5), eval_id=c("query_id"), source=F.lit("vectors"), difficulty=F.when(c("label") % 2 == 0, "even"), expected_slug=c("label"), topic=topic, service_used=F.lit("cosine"))
+    path = jobs.work_folder(t.spark, "results")
+    P.write_csv(rows, path)
+    return P.read_csv(t.spark, path, rows.columns)
+
+
 def _search_sql(name: str, part: str) -> str:
     q, d = (f"{x}.embedding{part}" for x in "qd")
     ranked = f"SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label AS ql, d.label AS dl, {_cosine(q, d)} AS score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0"
@@ -263,9 +282,41 @@ def polynomial_texts(t) -> DataFrame:
     return t.part.select("p_partkey", curves.polynomial_text(F.array(*k)).alias("text"))
 
 
-@R.query("minus_idle", "SELECT p_size FROM part EXCEPT SELECT p_size FROM part WHERE p_type = 'SMALL'")
+_SHAPE = (
+    "WITH k AS (SELECT p_partkey, ['sin', 'cos', 'tan'][p_partkey % 3 + 1] AS kind, (p_size % 7 - 3.5)::DOUBLE AS a, CASE WHEN p_partkey % 4 = 0 THEN 2 * pi() ELSE (p_size % 9 + 1) / 2.0 END AS period, "
+    "((p_partkey % 5 - 2) / 4.0)::DOUBLE AS phase, (p_partkey % 3 - 1) * (p_retailprice * 1000 + 0.3) AS d, [2.0, exp(1), 0.5, 10.0][p_partkey % 4 + 1]::DOUBLE AS base, (p_size % 4 - 2)::DOUBLE AS rate, "
+    "(p_size % 3 + 1) * 1e-5 * CASE WHEN p_size % 3 = 0 THEN 100000 ELSE 1 END AS factor FROM part), "
+    "g AS (SELECT *, 2 * pi() / period AS f, CASE WHEN d = 0 THEN '' ELSE CASE WHEN d > 0 THEN ' + ' ELSE ' − ' END || printf('%g', abs(d)) END AS plus, CASE WHEN factor = 1 THEN '' ELSE printf('%g', factor) || ' · ' END AS times, CASE WHEN p_partkey % 4 = 1 THEN 'e' ELSE printf('%g', base) END AS b FROM k) "
+)
+
+
+@R.query(
+    "curve_titles",
+    _SHAPE + "SELECT p_partkey, 'y = ' || printf('%g', a) || ' ' || kind || '(' || CASE WHEN abs(f - 1) < 1e-9 THEN 'x' ELSE printf('%.3g', f) || 'x' END || CASE WHEN phase = 0 THEN '' ELSE CASE WHEN phase > 0 THEN ' - ' ELSE ' + ' END || printf('%.3g', abs(f * phase)) END || ')' || plus AS trigonometric, "
+    "'y = ' || times || b || '^(' || CASE rate WHEN 1 THEN 'x' WHEN -1 THEN '-x' ELSE printf('%g', rate) || 'x' END || ')' || plus AS exponential, "
+    "'y = ' || times || CASE WHEN b = 'e' THEN 'ln' ELSE 'log_' || b END || '(' || CASE WHEN rate = 1 THEN 'x' ELSE printf('%g', rate) || 'x' END || ')' || plus AS logarithm, "
+    "CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE rtrim(printf('%.2f', p_retailprice), '0') END AS axis FROM g JOIN part USING (p_partkey)",
+)
+def curve_titles(t) -> DataFrame:
+    """Titles of curves whose parameters come from the parts: unit and other factors, large and small numbers, both signs."""
+    one_of = lambda *values: F.element_at(F.array(*map(F.lit, values)), (c("p_partkey") % len(values) + 1).cast("int"))
+    period = F.when(c("p_partkey") % 4 == 0, 2 * math.pi).otherwise((c("p_size") % 9 + 1) / 2.0)
+    offset, rate = (c("p_partkey") % 3 - 1) * (c("p_retailprice") * 1000 + 0.3), (c("p_size") % 4 - 2).cast("double")
+    factor, base = (c("p_size") % 3 + 1) * F.lit(1e-5) * F.when(c("p_size") % 3 == 0, 100000).otherwise(1), one_of(2.0, math.e, 0.5, 10.0)
+    return t.part.select(
+        "p_partkey",
+        curves.trigonometric_text(one_of("sin", "cos", "tan"), c("p_size") % 7 - 3.5, period, (c("p_partkey") % 5 - 2) / 4.0, offset).alias("trigonometric"),
+        curves.exponential_text(base, factor, rate, offset).alias("exponential"),
+        curves.logarithm_text(base, factor, rate, offset).alias("logarithm"),
+        curves.axis_text(c("p_retailprice")).alias("axis"),
+    )
+
+
+@R.query("minus_idle", "SELECT p_size, p_brand FROM part EXCEPT SELECT p_size, p_brand FROM part WHERE p_type = 'SMALL'")
 def minus_idle(t) -> DataFrame:
-    return t.part.select("p_size").subtract(t.part.where("p_type = 'SMALL'").select("p_size"))
+    """Sizes and brands that no small part has."""
+    pairs = t.part.select("p_size", "p_brand", "p_type")
+    return pairs.drop("p_type").subtract(pairs.where("p_type = 'SMALL'").drop("p_type"))
 
 
 @R.query("minus_without_large", "SELECT o_custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")

@@ -1,5 +1,6 @@
 """Reports, sources of maps, and figures' numbers on small rows."""
 
+import csv
 import glob
 import json
 import math
@@ -82,3 +83,62 @@ def test_rankings_keep_the_best_over_batches_and_blocks(spark, monkeypatch):
         assert 99 not in got
     same = {(r.query_id, r.doc_id): r.score for r in retrieval.overlap_topk(queries, frame, terms, 60).collect()}
     assert same == {(q, d): len(set(t.split()) & set(x)) for q, t in asked for d, x in lists.items() if set(t.split()) & set(x)}
+
+
+def test_one_scan_and_one_count_for_thousands_of_queries(spark, monkeypatch):
+    """Packets of queries, however small, give the same ranking; thousands of short queries are one packet."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} w{i % 13}") for i in range(40)], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, f"w{q % 14} w{q % 5}") for q in range(2500)], "query_id long, text string")
+    terms = lambda c: F.split(c, " ")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
+    scans = lambda df: df._jdf.queryExecution().analyzed().toString().count("MapInArrow")
+    whole = retrieval.bm25_topk(queries, docs, terms, 3)
+    assert scans(whole) == 1
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(30)], "id long, v array<double>")
+    near = retrieval.dense_topk(vectors, vectors, 2, "id", "v")
+    monkeypatch.setattr(retrieval, "PACKET_BYTES", 400)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    few = queries.where("query_id < 100")
+    parts, same = retrieval.bm25_topk(few, docs, terms, 3), retrieval.dense_topk(vectors, vectors, 2, "id", "v")
+    assert scans(parts) > 1 and scans(same) > 1
+    assert rows(parts) == [r for r in rows(whole) if r[0] < 100] and rows(same) == rows(near)
+
+
+def test_numbers_in_texts(spark):
+    values = [0.0, 1.0, -2.5, 100000.0, 1234567.0, 1e-7, 0.0001, 0.00012345678, 1e22, 123456.7, 3.14159265, 120.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", curves.number_text(F.col("v")).alias("g"), curves.number_text(F.col("v"), 3).alias("h"), curves.axis_text(F.col("v")).alias("a")).collect()
+    assert [(r.g, r.h) for r in got] == [(f"{v:g}", f"{v:.3g}") for v in values]
+    assert [r.a for r in got] == [str(int(v)) if v.is_integer() else f"{v:.2f}".rstrip("0").rstrip(".") for v in values]
+
+
+def test_titles_of_curves(spark):
+    one = spark.range(1)
+    title = lambda f, *v: one.select(f(*(F.lit(x) for x in v)).alias("t")).first().t
+    assert title(curves.trigonometric_text, "sin", 2.0, 2 * math.pi, 0.0, 0.0) == "y = 2 sin(x)"
+    assert title(curves.trigonometric_text, "cos", -0.5, math.pi, 0.75, -1.0) == "y = -0.5 cos(2x - 1.5) − 1"
+    assert title(curves.trigonometric_text, "tan", 1.0, 3.0, -1.0, 2.0) == "y = 1 tan(2.09x + 2.09) + 2"
+    assert title(curves.exponential_text, math.e, 1.0, -1.0, 0.0) == "y = e^(-x)"
+    assert title(curves.exponential_text, 2.0, 3.0, 0.5, -4.0) == "y = 3 · 2^(0.5x) − 4"
+    assert title(curves.logarithm_text, math.e, 1.0, 1.0, 1.5) == "y = ln(x) + 1.5"
+    assert title(curves.logarithm_text, 10.0, 2.0, 4.0, 0.0) == "y = 2 · log_10(4x)"
+
+
+def test_results_as_csv(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 'a "b", c\nd'), (2, None, None), (3, 3, " x ")], "query_id int, rank int, topic string").repartition(2)
+    hits = spark.createDataFrame([(1, 9, 1), (1, 4, 2), (3, 5, 1)], "query_id int, doc_id int, rank int")
+    out = reports.result_rows(rows, hits, eval_id=F.col("query_id"), topic=F.col("topic"))
+    reports.write_csv(out, f"file://{tmp_path}/r")
+    files = sorted((tmp_path / "r").glob("*.csv"))
+    plain = []
+    for f in files:
+        with f.open(newline="") as text:
+            plain += list(csv.DictReader(text))
+    back = [r.asDict() for r in reports.read_csv(spark, f"file://{tmp_path}/r", out.columns).collect()]
+    by_id = lambda x: sorted(x, key=lambda r: r["eval_id"])
+    assert by_id(plain) == by_id(back) == by_id(r.asDict() for r in out.collect())
+    assert by_id(back)[0]["top_k_slugs"] == "9,4" and [r["mrr"] for r in by_id(back)] == ["1.0000", "0.0000", "0.3333"] and by_id(back)[1]["rank"] == ""
+
+
+def test_what_is_no_json_has_no_placeholders(spark):
+    rows = spark.createDataFrame([(1, "{not json"), (2, '["TODO"]'), (3, "[" * 100_000)], "id int, j string")
+    assert [(r.id, r.path) for r in serving.placeholder_paths(rows, "id", "j").collect()] == [(2, "[0]")]

@@ -1,17 +1,22 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding undoes what hides a word: compatibility forms and look-alike letters of
-other scripts become Latin, digits and signs that stand for letters become them,
-invisible characters go, case goes, and other signs become spaces.
+other scripts become Latin (capitals by their own looks, before case goes), digits
+and signs that stand for letters become them, invisible characters go, case goes,
+and other signs become spaces; a ! right before a letter is an i.  Accents stay, as
+they tell words of other languages apart; an accented word without an entry of its
+own is also looked up without its accents.
 
 The lexicon is learned from labelled documents: whole words, and beginnings of
 words (for inflected and compounded terms), that a fair share of the toxic
 documents has and clean ones hardly do, weighted by their log odds.  The score
 is the weight found for the length of the text, through a logistic curve fitted
-to the same documents.  Matches inside an exception phrase do not count.
+to the same documents.  Matches inside an exception phrase do not count: phrases
+that are given, and pairs of words of which one is in the lexicon while clean
+documents have the pair and toxic ones hardly do.
 
-Learning takes at most about ``SAMPLE_ROWS`` labelled rows, chosen by a hash of
-the id, from those that are not held out; matching covers all whole texts.
+Learning takes at most about ``SAMPLE_ROWS`` labelled rows, chosen by hashes of
+ids and rows, from those that are not held out; matching covers all whole texts.
 
 Defined cases: a null or empty text has no weight and scores like any clean one;
 null ids are held out, and labels with a null id or label are not used; several
@@ -25,6 +30,7 @@ rows; further columns are ignored, or returned by ``keep_clean``.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -42,12 +48,19 @@ from quarry.llm.storage import materialize
 SAMPLE_ROWS = 24_000
 #: Lengths of word beginnings; the share of toxic texts, and how many, that an entry needs; its least log odds.
 BEGINNINGS, LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS = range(4, 9), 0.02, 4, 3.0
+#: Toxic texts for each clean one that a pair of words may have and be an exception.
+MOST_TOXIC = 0.12
 #: Words added to a text's length, so that one match in a few words is not all.
 EXTRA_WORDS = 40
 
 # Letters that look like Latin ones, digits and signs that stand for letters.
 CYRILLIC = dict(zip("авекмнорстухіјѕԁӏ", "abekmhopctyxijsdl", strict=True))
 GREEK = dict(zip("αεικνορτυχ", "aeiknoptux", strict=True))
+GREEK_CAPITALS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abezhikmnoptyx", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "abcdeghjklmprstvwz", strict=True))
+ARMENIAN = dict(zip("հոսօ", "hnuo", strict=True))
+SMALL_CAPITALS = dict(zip("ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "abcdefghijklmnoprstuvwyz", strict=True))
+LATIN = dict(zip("ıɑɡɩøđłħ", "iagiodlh", strict=True))
 LEET = dict(zip("0134578@$", "oieastbas", strict=True))
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "rodeo clown")
 
@@ -62,16 +75,25 @@ class _Folds(dict):
         return out
 
 
-_FOLDS = _Folds({ord(k): v for k, v in {**CYRILLIC, **GREEK, **LEET}.items()})
+_CAPITALS = str.maketrans({**GREEK_CAPITALS, **CHEROKEE})
+_FOLDS = _Folds(str.maketrans({**CYRILLIC, **GREEK, **ARMENIAN, **SMALL_CAPITALS, **LATIN, **LEET}))
+_MARK = re.compile(r"!(?=[^\W\d_])")
 
 
 def fold(text: str) -> str:
     """Folded words, each with a space on both sides."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", text).translate(_CAPITALS)
+    if "!" in text:
+        text = _MARK.sub("i", text)
     return f" {' '.join(text.lower().translate(_FOLDS).split())} "
 
 
+def unaccented(folded: str) -> str:
+    """The same words without accents."""
+    return unicodedata.normalize("NFKD", folded).translate(_FOLDS)
+
+
 def terms(folded: str) -> set[str]:
     """' word ' for words and ' begin' for beginnings of longer ones."""
     out = set()
@@ -123,10 +145,20 @@ class Lexicon:
                 total += hits[at]
         return total
 
+    def accented(self, folded: str) -> float:
+        """The weight of words that match without their accents only."""
+        words = [(a, b) for a, b in zip(folded.split(), unaccented(folded).split(), strict=True) if a != b]
+        if not words or not self.weight(" . ".join(["", *(b for _, b in words), ""])):
+            return 0.0
+        return sum(self.weight(f" {b} ") for a, b in words if not self.weight(f" {a} "))
+
     def density(self, text: str | None) -> float:
         """Weight for each hundred words."""
         folded = fold(text or "")
-        if w := self.weight(folded):
+        w = self.weight(folded)
+        if not folded.isascii():
+            w += self.accented(folded)
+        if w:
             return 100 * w / (folded.count(" ") + EXTRA_WORDS)
         return 0.0
 
@@ -155,8 +187,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS)
     n = known.count()
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
-    # At most about ``most`` pairs of numbers, so their size is bounded.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # At most about ``most`` pairs of numbers, so their size is bounded; an id may have any number of rows.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = chosen.count()
+    if rows > most:
+        chosen = chosen.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 20)) < int(most / rows * (1 << 20)))
     return materialize(chosen.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
 
 
@@ -198,7 +233,32 @@ def learn_lexicon(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -
             if t[:k] in odds and odds[t[:k]] < odds[t] - 1:
                 longer[t[:k]] += often[t]
     kept = {t: odds[t] for t in whole if longer[t] < 0.8 * often[t]}
-    return Lexicon(kept, exceptions)
+    return Lexicon(kept, (*exceptions, *learn_exceptions(sample, kept, exceptions)))
+
+
+def pairs(folded: str, weights: dict[str, float]) -> set[str]:
+    """Neighbouring words of which one or both are, or begin with, an entry."""
+    words = folded.split()
+    bad = [f" {w} " in weights or any(f" {w[:k]}" in weights for k in BEGINNINGS) for w in words]
+    return {f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if bad[i] or bad[i + 1]}
+
+
+def learn_exceptions(sample: DataFrame, weights: dict[str, float], given: tuple[str, ...] = ()) -> list[str]:
+    """Pairs of words around entries that LEAST_TEXTS or more clean texts have, and hardly any toxic one; none that is given."""
+    if not weights:
+        return []
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen.update((p, toxic) for p in pairs(fold(text), weights))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["pair", "toxic", "n"])
+
+    found = sample.select("text", "toxic").mapInArrow(count, "pair string, toxic int, n long")
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("toxic") == side, F.col("n"))), F.lit(0))
+    often = found.groupBy("pair").agg(of(0).alias("clean"), of(1).alias("toxic")).filter((F.col("clean") >= LEAST_TEXTS) & (F.col("toxic") + 0.5 <= MOST_TOXIC * (F.col("clean") + 0.5)))
+    return sorted({r["pair"] for r in often.collect()} - {fold(g).strip() for g in given})
 
 
 def fit_curve(counts: dict[tuple[float, int], int]) -> tuple[float, float]:

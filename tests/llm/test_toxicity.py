@@ -7,14 +7,18 @@ import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import toxicity
 
 
 def naive_fold(text):
-    out = []
-    for c in unicodedata.normalize("NFKC", text).lower():
-        same = {**toxicity.CYRILLIC, **toxicity.GREEK, **toxicity.LEET}.get(c)
+    out, text = [], unicodedata.normalize("NFKC", text)
+    for i, c in enumerate(text):
+        if c == "!" and text[i + 1 : i + 2].isalpha():
+            c = "i"
+        c = {**toxicity.GREEK_CAPITALS, **toxicity.CHEROKEE}.get(c, c).lower()
+        same = {**toxicity.CYRILLIC, **toxicity.GREEK, **toxicity.ARMENIAN, **toxicity.SMALL_CAPITALS, **toxicity.LATIN, **toxicity.LEET}.get(c)
         kind = unicodedata.category(c)
         out.append(same or ("" if kind in ("Cf", "Mn") else c if kind[0] in "LN" else " "))
     return " " + " ".join("".join(out).split()) + " "
@@ -41,6 +45,32 @@ def test_matches_are_those_of_a_naive_matcher():
         assert lexicon.weight(folded) == pytest.approx(naive_weight(lexicon, folded))
 
 
+def test_disguises_fold_to_plain_words():
+    """Each disguise against the word that a reader sees."""
+    seen = {
+        "ΙDΙΟΤ": "idiot", "ìdìot": "idiot", "idıot": "idiot", "Z\u0301ΖΒ": "zzb", "ΗΜ": "hm", "ɑss": "ass", "!diot": "idiot", "ᎠᎾ".replace("Ꮎ", "Ꭼ"): "de", "ꜱᴄᴜᴍ": "scum",
+        "𝕚𝕕𝕚𝕠𝕥": "idiot", "ＩＤＩＯＴ": "idiot", "5cum": "scum", "ѕсum": "scum", "i\u200bd\u00adiot": "idiot", "trash!": "trash", "a ! b": "a b", "no!": "no", "lоѕеr": "loser", "øaf": "oaf",
+    }
+    assert {k: toxicity.unaccented(toxicity.fold(k)).strip() for k in seen} == seen
+    lexicon = toxicity.Lexicon({" idiot": 3.0, " été ": 1.0}, ())
+    assert [lexicon.density(t) > 0 for t in ("ìdìot", "un ìdiot", "été", "ete", "ídol", "")] == [True, True, True, False, False, False]
+
+
+def test_exceptions_are_learned_from_clean_texts(spark):
+    rows = [(f"the scum of earth {i}", 1) for i in range(30)] + [(f"pool scum filter {i}", 0) for i in range(20)] + [(f"plain words {i}", 0) for i in range(400)]
+    got = toxicity.learn_exceptions(spark.createDataFrame(rows, "text string, toxic int"), {" scum": 3.0})
+    assert got == ["pool scum", "scum filter"]
+    spared = toxicity.Lexicon({" scum": 3.0}, tuple(got))
+    assert spared.weight(toxicity.fold("a POOL SCUM filter")) == 0 and spared.weight(toxicity.fold("you scum")) == 3.0
+
+
+def test_learned_rows_are_bounded_though_one_id_has_many(spark):
+    docs = spark.range(2000).select((F.when(F.col("id") < 1500, 1).otherwise(F.col("id"))).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    n = toxicity.labelled_sample(docs, labels, 300).count()
+    assert 0 < n < 450
+
+
 def test_long_texts_take_time_in_proportion():
     lexicon = toxicity.Lexicon({" trash": 2.0, " can": 1.0}, ("trash can",))
     text = "trash can " * 200_000 + "trash"

@@ -183,7 +183,10 @@ def voice_context(t) -> DataFrame:
 
 #: Paths of all kinds, made from the pages.
 _PATH = "CASE page_id % 6 WHEN 0 THEN 'tutorials/AB_Maths_Exams/Solutions/20' || lpad((page_id % 24)::VARCHAR, 2, '0') || '_P1_solutions.md' WHEN 1 THEN 'tutorials/AB_The_Line/_SUMMARY-' || page_id || '.md' WHEN 2 THEN 'tutorials/AB_The_Line/' || page_id || '.md' WHEN 3 THEN url WHEN 4 THEN 'tutorials/AB_The_Circle/x' || page_id || '.md' ELSE CASE WHEN page_id % 60 = 5 THEN 'tutorials/SCHEMA.md' ELSE 'README.md' END END"
-_KIND = "CASE page_id % 6 WHEN 0 THEN 'exam_solutions' WHEN 1 THEN 'summaries' WHEN 2 THEN 'tutorials' WHEN 3 THEN NULL WHEN 4 THEN 'tutorials' ELSE CASE WHEN page_id % 60 = 5 THEN 'schema' END END"
+_KIND = (
+    f"CASE WHEN regexp_matches({_PATH}, '^tutorials/[A-Z]+_[^/]+/_SUMMARY-[^/]+\\.md$') THEN 'summaries' WHEN regexp_matches({_PATH}, '^tutorials/[A-Z]+_Maths_Exams/Solutions/[0-9]{{4}}_(DF_)?P[12](_DF)?_solutions\\.md$') THEN 'exam_solutions' "
+    f"WHEN {_PATH} = 'tutorials/SCHEMA.md' THEN 'schema' WHEN regexp_matches({_PATH}, '^tutorials/[A-Z]+_[^/]+/[^/]+\\.md$') AND NOT regexp_matches({_PATH}, '^tutorials/[A-Z]+_Maths_Exams\\b') THEN 'tutorials' END"
+)
 
 
 def _files(t) -> DataFrame:
@@ -240,7 +243,13 @@ def image_topics(t) -> DataFrame:
     return t.conversations.select("conv_id", "turn", route.alias("route"), wanted.alias("wanted"))
 
 
-@R.query("exam_references", "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 2000 + conv_id % 25 END AS year, CASE WHEN conv_id % 2 = 0 THEN 1 + turn % 2 END AS paper, turn + 1 AS question_number, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN turn % 3 = 0 THEN 'df' ELSE 'main' END END AS sitting FROM conversations")
+@R.query(
+    "exam_references",
+    "WITH a AS (SELECT conv_id, turn, 'show me ' || CASE WHEN conv_id % 3 = 0 THEN (2000 + conv_id % 25) || ' ' ELSE '' END || CASE WHEN conv_id % 2 = 0 THEN 'Paper ' || (1 + turn % 2) || ' ' ELSE '' END || 'Q0' || (turn + 1) || CASE WHEN turn % 3 = 0 THEN ' deferred' ELSE '' END AS asked FROM conversations), "
+    r"p AS (SELECT *, nullif(regexp_extract(asked, '(?i)\b((19|20)[0-9]{2})\b', 1), '')::INT AS year FROM a) "
+    r"SELECT conv_id, turn, year, nullif(regexp_extract(asked, '(?i)\b(p|paper)\s*([12])\b', 2), '')::INT AS paper, nullif(regexp_extract(asked, '(?i)\bq(uestion)?\s*0*([0-9]+)', 2), '')::INT AS question_number, "
+    r"CASE WHEN year IS NOT NULL THEN CASE WHEN regexp_matches(asked, '(?i)\b(deferred|df)\b') THEN 'df' ELSE 'main' END END AS sitting FROM p",
+)
 def exam_references(t) -> DataFrame:
     year = F.when(c("conv_id") % 3 == 0, F.concat((2000 + c("conv_id") % 25).cast("string"), F.lit(" "))).otherwise("")
     paper = F.when(c("conv_id") % 2 == 0, F.concat(F.lit("Paper "), (1 + c("turn") % 2).cast("string"), F.lit(" "))).otherwise("")

@@ -161,6 +161,13 @@ def content_tokens(c: Column, least: int = 4, stop: Sequence[str] = ()) -> Colum
     return F.array_distinct(F.filter(clean, lambda t: (F.length(t) >= least) & ~t.rlike(r"^[0-9]+$") & ~t.isin(list(stop) or [""])))
 
 
+def slug_tokens(slug: Column, strands: Sequence[str], stop: Sequence[str] = rules.SLUG_STOPWORDS) -> Column:
+    """Distinct concept words of a slug: without its strand, numbers, stop words and words of under four characters."""
+    low = F.lower(F.coalesce(slug, F.lit("")))
+    rest = F.coalesce(F.substring(low, F.length(strand_by_prefix(low, strands)) + 2, F.length(low)), low)
+    return F.array_distinct(F.filter(F.split(rest, "-"), lambda t: (F.length(t) >= 4) & ~t.rlike(r"^[0-9]+$") & ~t.isin(list(stop) or [""])))
+
+
 def rewrite_tokens(c: Column) -> Column:
     """How many words bear content: stop words and words of signs alone do not count."""
     clean = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}_']+", ""))

@@ -126,6 +126,28 @@ def failure_bucket(overlap_top: Column, overlap_expected: Column, distinctive: C
     )
 
 
+def failure_evidence(rows: DataFrame, slugs: DataFrame, strands: Sequence[str], question: Column) -> DataFrame:
+    """``rows`` of (query_id, expected_slug, top_slug, in_top5) with the bucket of each miss and what it rests on.
+
+    ``slugs`` are all slugs of the corpus; words of a slug that few of them have are
+    distinctive.  Slugs may be null (nothing found) or repeat; a hit has no bucket.
+    """
+    token = lambda name: T.slug_tokens(F.col(name), strands)
+    marked = rows.withColumns(
+        {
+            "expected_strand": T.strand_by_prefix(F.col("expected_slug"), strands), "top_strand": T.strand_by_prefix(F.col("top_slug"), strands),
+            "shared_top": F.array_sort(F.array_intersect(T.content_tokens(question, 4, rules.QUESTION_STOPWORDS), token("top_slug"))),
+            "shared_expected": F.array_sort(F.array_intersect(T.content_tokens(question, 4, rules.QUESTION_STOPWORDS), token("expected_slug"))),
+        }
+    )
+    common = token_frequency(slugs.distinct(), "slug", token("slug")).where(F.col("n_docs") > rules.DISTINCTIVE_DF)
+    usual = marked.select("query_id", F.explode("shared_top").alias("token")).join(common, "token").groupBy("query_id").agg(F.collect_set("token").alias("usual"))
+    found = marked.join(usual, "query_id", "left").withColumn("distinctive", F.array_except("shared_top", F.coalesce("usual", F.array().cast("array<string>")))).drop("usual")
+    found = found.withColumn("common_length", common_substring(F.col("expected_slug"), F.col("top_slug")))
+    bucket = failure_bucket(F.size("shared_top"), F.size("shared_expected"), F.size("distinctive"), F.col("in_top5"), F.col("expected_strand"), F.col("top_strand"), F.col("common_length"))
+    return found.withColumn("bucket", F.when(~F.col("expected_slug").eqNullSafe(F.col("top_slug")), bucket))
+
+
 def _longest(x: str | None, y: str | None) -> int:
     """By halving: whether some run of n characters is in both falls from true to false."""
     x, y = (x or "").lower(), (y or "").lower()

@@ -291,3 +291,38 @@ def failure_buckets(t) -> DataFrame:
     rows = joined.join(rare, "query_id", "left")
     bucket = E.failure_bucket(F.size("shared"), F.size(F.array_except("q", "shared")), F.coalesce("distinctive", F.lit(0)), F.col("doc_id").isNotNull(), F.lit("en"), c("lang"), E.common_substring(c("slug"), F.coalesce("doc_slug", F.lit(""))))
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def _slug(g: str) -> str:
+    """A document's slug: its source, the letters of its beginning as words, and its id."""
+    return f"coalesce(source, 'none') || '-' || lower(replace(trim(regexp_replace(substr(coalesce(text, ''), 1, 60), '[^A-Za-z]+', ' '{g})), ' ', '-')) || '-' || doc_id"
+
+
+_SLUG_WORDS = (
+    "list_distinct([x FOR x IN string_split(CASE WHEN starts_with({0}, 'src1-') OR starts_with({0}, 'src2-') THEN substr({0}, 6) ELSE coalesce({0}, '') END, '-') IF length(x) >= 4 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN (" + ", ".join(f"'{w}'" for w in rules.SLUG_STOPWORDS) + ")])"
+)
+_STRAND = "CASE WHEN starts_with({0}, 'src1-') THEN 'src1' WHEN starts_with({0}, 'src2-') THEN 'src2' END"
+
+
+@R.query(
+    "failure_evidence",
+    _BM25 + _OVERLAP + _TOP.format(name="r1", of="b", k=5) + "," + _TOP.format(name="r2", of="o", k=1)
+    + f", sl AS (SELECT doc_id, {_slug(", 'g'")} AS slug FROM documents), us AS (SELECT token FROM (SELECT slug, unnest({_SLUG_WORDS.format('slug')}) AS token FROM (SELECT DISTINCT slug FROM sl)) GROUP BY 1 HAVING count(*) > 2), "
+    + "gs AS (SELECT item_id AS query_id, text, t.slug AS b, x.slug AS a, coalesce(r2.doc_id IN (SELECT doc_id FROM r1 r WHERE r.query_id = item_id), false) AS in_top5 FROM benchmark LEFT JOIN r1 ON r1.query_id = item_id AND r1.rank = 1 LEFT JOIN r2 ON r2.query_id = item_id LEFT JOIN sl t ON t.doc_id = r1.doc_id LEFT JOIN sl x ON x.doc_id = r2.doc_id), "
+    + f"ws AS (SELECT *, {_CONTENT.replace('>= 5', '>= 4').format(_QUESTION)} AS q, {_SLUG_WORDS.format('b')} AS tb, {_SLUG_WORDS.format('a')} AS ta, {_STRAND.format('a')} AS expected_strand, {_STRAND.format('b')} AS top_strand, coalesce({_COMMON}, 0) AS common_length FROM gs), "
+    + "ev AS (SELECT *, list_sort(list_intersect(q, tb)) AS st, list_sort(list_intersect(q, ta)) AS se FROM ws), hs AS (SELECT *, [x FOR x IN st IF NOT list_contains(usual, x)] AS d FROM ev, (SELECT coalesce(list(token), []) AS usual FROM us)) "
+    + "SELECT query_id, a AS expected_slug, b AS top_slug, in_top5, expected_strand, top_strand, array_to_string(st, '|') AS shared_top, array_to_string(se, '|') AS shared_expected, array_to_string(d, '|') AS distinctive, common_length, "
+    + "CASE WHEN a IS DISTINCT FROM b THEN CASE WHEN (len(st) >= 2 OR len(d) >= 1) AND len(se) = 0 THEN 'E' WHEN NOT in_top5 THEN 'D' WHEN expected_strand = top_strand THEN 'A' WHEN expected_strand <> top_strand THEN 'B' WHEN common_length >= 6 THEN 'C' ELSE 'F' END END AS bucket FROM hs",
+)
+def failure_evidence(t) -> DataFrame:
+    """Of each passage whose first document is another than the one that shares most of its words: the bucket and its evidence."""
+    slugs = t.documents.select("doc_id", F.expr(_slug("")).alias("slug"))
+    found, first = _bm25(t, 5), _overlap(t, 1).select("query_id", c("doc_id").alias("wanted"))
+    tops = found.where("rank = 1").select("query_id", "doc_id").join(slugs, "doc_id").select("query_id", c("slug").alias("top_slug"))
+    wanted = first.join(slugs.withColumnRenamed("doc_id", "wanted"), "wanted").select("query_id", "wanted", c("slug").alias("expected_slug"))
+    near = found.select("query_id", c("doc_id").alias("wanted"), F.lit(True).alias("near"))
+    rows = _items(t).join(tops, "query_id", "left").join(wanted, "query_id", "left").join(near, ["query_id", "wanted"], "left").withColumn("in_top5", F.coalesce("near", F.lit(False)))
+    joined = lambda n: F.array_join(n, "|").alias(n)
+    return E.failure_evidence(rows, slugs.select("slug"), ["src1", "src2"], c("text")).select(
+        "query_id", "expected_slug", "top_slug", "in_top5", "expected_strand", "top_strand", joined("shared_top"), joined("shared_expected"), joined("distinctive"), "common_length", "bucket"
+    )

@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from quarry.operators import curves, reports, retrieval, serving
+from quarry.operators import curves, evaluation, reports, retrieval, serving
 from quarry.sources import tables
 
 
@@ -142,3 +142,22 @@ def test_results_as_csv(spark, tmp_path):
 def test_what_is_no_json_has_no_placeholders(spark):
     rows = spark.createDataFrame([(1, "{not json"), (2, '["TODO"]'), (3, "[" * 100_000)], "id int, j string")
     assert [(r.id, r.path) for r in serving.placeholder_paths(rows, "id", "j").collect()] == [(2, "[0]")]
+
+
+def test_failures_carry_their_evidence(spark):
+    rows = spark.createDataFrame(
+        [
+            (1, "algebra-13-long-division", "the-line-7-circumcircle", True, "the circumcircle, please"),
+            (2, "algebra-13-long-division", "algebra-2-quadratic", True, "long quadratic division"),
+            (3, "algebra-13-long-division", None, False, None),
+            (4, "algebra-1-a", "algebra-1-a", True, "a"),
+            (5, "other-13-long", "odd-2-long", True, "what is long?"),
+            (6, "algebra-1-sets", "the-line-1-slope", True, "sets of slope"),
+        ],
+        "query_id int, expected_slug string, top_slug string, in_top5 boolean, text string",
+    )
+    slugs = spark.createDataFrame([("algebra-13-long-division",), ("algebra-2-quadratic",), ("algebra-3-quadratic",), ("algebra-4-quadratic",), ("the-line-7-circumcircle",), ("the-line-7-circumcircle",)], "slug string")
+    got = {r.query_id: r for r in evaluation.failure_evidence(rows, slugs, ["algebra", "the-line"], F.col("text")).collect()}
+    assert [got[k].bucket for k in range(1, 7)] == ["E", "A", "D", None, "F", "B"]
+    assert got[1].distinctive == ["circumcircle"] and got[2].distinctive == [] and got[2].shared_top == ["quadratic"] and got[2].shared_expected == ["division", "long"]
+    assert got[3].common_length == 0 and got[5].expected_strand is None and got[5].common_length == 5

@@ -301,12 +301,14 @@ def tutorial_rows(files: DataFrame, cap: int = 4000) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in TUTORIAL.split(", ")]
         for b in batches:
-            yield pd.DataFrame([_tutorial(p, y) for p, y in zip(b["path"], b["yaml"], strict=True)], columns=names).astype(object).where(lambda d: d.notna(), None)
+            parsed = pd.DataFrame([_tutorial(p, y) for p, y in zip(b["path"], b["yaml"], strict=True)], columns=names).astype(object).where(lambda d: d.notna(), None)
+            yield parsed.assign(body=b["body"])
 
-    parsed = files.select("path", repair_yaml(front_matter(F.col("text"))).alias("yaml")).mapInPandas(run, TUTORIAL)
+    halves = files.select("path", repair_yaml(front_matter(F.col("text"))).alias("yaml"), body(F.col("text")).alias("body"))
+    parsed = halves.mapInPandas(run, TUTORIAL + ", body string")
     searchable = T.join_capped(F.concat(F.array(F.coalesce("title", F.lit(""))), F.coalesce("keywords", F.array().cast("array<string>")), F.coalesce("phrasings", F.array().cast("array<string>"))), cap)
     error = F.coalesce("error", F.when(F.col("slug").isNull(), "no_slug"))
-    return parsed.withColumns({"title_plus_phrasings": searchable, "error": error}).join(files.select("path", body(F.col("text")).alias("body")), "path")
+    return parsed.withColumns({"title_plus_phrasings": searchable, "error": error})
 
 
 def phrasing_rows(tutorials: DataFrame) -> DataFrame:

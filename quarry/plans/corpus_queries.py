@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,9 +90,11 @@ _SUMMARIES = (
 
 
 def _summaries(t) -> DataFrame:
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_LINE_ORDER.split(", "), F.expr(_TOP_ROW).alias("top"), F.expr(_TIME_ROW).alias("time")))).alias("l"), F.sum("l_quantity").alias("q"))
-    text = lambda start, name: F.concat(F.array(*map(F.lit, start)), F.transform("l", lambda x: x[name]))
-    both = F.when(c("q") > 60, F.concat(text(_OPENING, "top"), text(_BETWEEN, "time"))).otherwise(text(_OPENING, "top"))
+    # Lines are rendered after they have met, so that numbers are shuffled and no text.
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_LINE_ORDER.split(", ")))).alias("l"), F.sum("l_quantity").alias("q"))
+    rendered = lambda row: F.expr(f"transform(l, x -> {re.sub(r'\bl_', 'x.l_', row)})")
+    text = lambda start, row: F.concat(F.array(*map(F.lit, start)), rendered(row))
+    both = F.when(c("q") > 60, F.concat(text(_OPENING, _TOP_ROW), text(_BETWEEN, _TIME_ROW))).otherwise(text(_OPENING, _TOP_ROW))
     return lines.select(F.concat("l_orderkey", F.lit("/_SUMMARY-order.md")).alias("path"), F.array_join(both, "\n").alias("text"))
 
 

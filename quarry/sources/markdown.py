@@ -227,23 +227,24 @@ def callouts(prose: Column) -> Column:
 
 
 def tables(files: DataFrame, heading: str) -> DataFrame:
-    """(path, row, cells) of the first table after the heading that the pattern matches, without its header."""
-    rows = lines(files)
-    after = rows.where(F.col("line").rlike(heading)).groupBy("path").agg(F.min("n").alias("start"))
-    rows = rows.join(after, "path").where("n > start").withColumn("cell_row", F.col("line").rlike(r"^\s*\|.*\|\s*$"))
-    rows = rows.withColumn("block", F.row_number().over(_w("path")) - F.row_number().over(_w("path", "cell_row")))
-    ended = rows.where(F.col("line").startswith("## ")).groupBy("path").agg(F.min("n").alias("next"))
-    found = rows.join(ended, "path", "left").where(F.col("cell_row") & (F.col("next").isNull() | (F.col("n") < F.col("next"))))
-    first = found.groupBy("path").agg(F.min_by("block", "n").alias("block"))
-    data = found.join(first, ["path", "block"]).where(~F.col("line").rlike(r"^\s*\|[\s:|-]+\|\s*$"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
-    return data.withColumn("row", F.row_number().over(_w("path")) - 1).where("row > 0").select("path", "row", cells.alias("cells"))
-
-
-def _w(*by: str):
-    from pyspark.sql import Window
+    """(path, row, cells) of the first table after the heading that the pattern matches, without its header.
 
-    return Window.partitionBy(*by).orderBy("n")
+    A file is one value, so its lines are cut where it is and nothing is shuffled.  Files
+    without such a table come to an empty list: a filter here would be pushed down and
+    do all of its steps again.
+    """
+    at = lambda test, value=True: F.array_position(F.transform("l", test), value).cast("int").alias("at")
+    since = F.slice("l", F.when(F.col("at") > 0, F.col("at")).otherwise(F.size("l") + 1), F.size("l")).alias("l")
+    before = F.when(F.col("at") > 0, F.slice("l", F.lit(1), F.col("at") - 1)).otherwise(F.col("l")).alias("l")
+    row, rule = r"^\s*\|.*\|\s*$", r"^\s*\|[\s:|-]+\|\s*$"
+    step = files.select("path", F.split("text", r"\r?\n").alias("l"))
+    step = step.select("path", "l", at(lambda x: x.rlike(heading))).select("path", since).select("path", F.slice("l", F.lit(2), F.size("l")).alias("l"))
+    step = step.select("path", "l", at(lambda x: x.startswith("## "))).select("path", before)
+    step = step.select("path", "l", at(lambda x: x.rlike(row))).select("path", since)
+    step = step.select("path", "l", at(lambda x: x.rlike(row), False)).select("path", before)
+    data = step.select("path", F.posexplode_outer(F.filter("l", lambda x: ~x.rlike(rule))).alias("row", "line")).where("row > 0")
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+    return data.select("path", "row", cells.alias("cells"))
 
 
 def top_tutorials(table: DataFrame) -> DataFrame:

@@ -154,6 +154,16 @@ def test_summary_tables(spark):
     assert [(r.activity, r.minutes) for r in split] == [("read", 10), ("rest", None)]
 
 
+def test_summary_tables_are_cut_without_a_shuffle(spark, capsys):
+    head = "## Top\n| a | b |\n|---|---|\n"
+    texts = {"two": f"{head}| 1 | x |\n\n| 2 | y |\n", "next": f"## Top\n## Other\n{head[7:]}| 1 | x |\n", "none": "| 1 | x |", "null": None, "end": f"{head}| 1 | x |\n| 2 | y |"}
+    found = markdown.tables(spark.createDataFrame(list(texts.items()), "path string, text string"), r"^## Top")
+    assert sorted((r.path, r.row, r.cells) for r in found.collect()) == [("end", 1, ["1", "x"]), ("end", 2, ["2", "y"]), ("two", 1, ["1", "x"])]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and plan.count("split(text") == 1
+
+
 def test_tutorials(spark):
     good = "---\nslug: s-1\ntitle: T\nkeywords: k\ncommon_student_phrasings:\n  - how do I\n  - how do I\n  - |z| = 1\ntechniques_taught: [a, b]\ntechniques_used: [b, c]\nsyllabus:\n  - strand: S\n    learning_outcomes: [x, y]\nsequence_number: TBD\n---\nBody\n"
     files = spark.createDataFrame([("a", good), ("b", "no front matter"), ("c", "---\ntitle: x\n---\n"), ("d", "---\n: [\n---\n")], "path string, text string")

@@ -38,12 +38,18 @@ from quarry.sources.versions import Rejected, Versions, materialize
 BUCKETS, CHUNK_DOCS, FLOOR_CHUNKS = 64, 256, 4
 #: What rounding may add to a score of six digits.
 SLACK = 2e-6
+#: Documents whose terms a task counts at once, documents of a file of postings in each folder, rows of keys that are broadcast.
+TASK_DOCS, FILE_DOCS, BROADCAST_ROWS = 4096, 200_000, 1_000_000
 
 
 def _bucket(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
 def refresh(index: Versions, docs: DataFrame, terms: Callable[[Column], Column], at: str | None = None) -> dict[str, int]:
     """Brings the index to the state of ``docs`` (doc_id, text); returns added, changed, removed and untouched documents.
 
@@ -70,18 +76,25 @@ def refresh(index: Versions, docs: DataFrame, terms: Callable[[Column], Column],
         return counts
     version, tables = base + 1, {name: list(old["tables"].get(name, [])) for name in ("documents", "postings", "frequencies", "dead")}
 
-    # New postings, and the documents with their distinct terms.
-    written = slim.join(states.where(F.col("state").isin("added", "changed")).select("doc_id"), "doc_id", "left_semi") if known is not None else slim
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-fresh // CHUNK_DOCS)))).cast("int")
-    cut = written.select("doc_id", F.sha1("text").alias("digest"), chunk.alias("chunk"), terms(F.col("text")).alias("all"))
-    of = cut.select("doc_id", F.lit(version).alias("version"), "digest", "chunk", F.size("all").cast("long").alias("length"), F.array_distinct("all").alias("terms"), F.lit(True).alias("live"), "all")
-    staged = materialize(of, "index-documents")
+    # The documents with their terms, which are written once; their postings are made from there.
+    written = slim
+    if known is not None:
+        written = slim.join(_small(states.where(F.col("state").isin("added", "changed")).select("doc_id"), fresh), "doc_id", "left_semi")
+    chunks = max(1, -(-fresh // CHUNK_DOCS))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    cut = written.select("doc_id", F.sha1("text").alias("digest"), chunk.alias("chunk"), terms(F.col("text")).alias("terms"))
+    new = cut.select("doc_id", F.lit(version).alias("version"), "digest", "chunk", F.size("terms").cast("long").alias("length"), "terms", F.lit(True).alias("live"))
     removed = states.where(F.col("state") == "removed").select("doc_id", F.lit(version).alias("version"), F.lit("").alias("digest"), F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("length"), F.array().cast("array<string>").alias("terms"), F.lit(False).alias("live"))
-    tables["documents"].append(index.stage(staged.drop("all").unionByName(removed)))
-    each = staged.select("doc_id", "chunk", "length", F.explode("all").alias("term")).groupBy("term", "chunk", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    tables["documents"].append(index.stage(new.unionByName(removed)))
+    staged = index.open(tables["documents"][-1:]).where("live")
+    # Chunks meet as documents, some in a task, so the words themselves are counted where they are.
+    tasks = max(-(-fresh // TASK_DOCS), min(chunks, index.spark.sparkContext.defaultParallelism))
+    met = staged.select("doc_id", "chunk", "length", "terms").repartition(tasks, "chunk")
+    each = met.select("doc_id", "chunk", "length", F.explode("terms").alias("term")).groupBy("term", "chunk", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     lists = each.groupBy("term", "chunk").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.array_sort(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("entries"))
-    postings = lists.withColumns({"version": F.lit(version), "bucket": _bucket()}).repartition("bucket").sortWithinPartitions("bucket", "term", "chunk")
-    tables["postings"].append(index.stage(postings, ["bucket"]))
+    postings, files = lists.withColumns({"version": F.lit(version), "bucket": _bucket()}), -(-fresh // FILE_DOCS)
+    dealt = postings.repartition("bucket") if files <= 1 else postings.repartition(BUCKETS * files, "bucket", F.pmod("chunk", F.lit(files)))
+    tables["postings"].append(index.stage(dealt.sortWithinPartitions("bucket", "term", "chunk"), ["bucket"]))
     written_postings = index.open(tables["postings"][-1:])
     freq = written_postings.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"))
 
@@ -89,8 +102,8 @@ def refresh(index: Versions, docs: DataFrame, terms: Callable[[Column], Column],
     if gone:
         before = index.open(old["tables"]["documents"])
         lost = states.where(F.col("state").isin("changed", "removed")).select("doc_id", F.col("old_version").alias("version"))
-        dead = materialize(before.join(lost, ["doc_id", "version"], "left_semi").select("doc_id", "version", "length", "terms"), "dead-documents")
-        tables["dead"].append(index.stage(dead.select("doc_id", "version")))
+        dead = materialize(before.join(_small(lost, gone), ["doc_id", "version"], "left_semi").select("doc_id", "version", "chunk", "length", F.array_distinct("terms").alias("terms")), "dead-documents")
+        tables["dead"].append(index.stage(dead.select("doc_id", "version", "chunk")))
         facts["terms"] -= dead.agg(F.sum("length")).first()[0] or 0
         less = dead.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
         freq = freq.unionByName(less.select(_bucket(), "term", "df", F.lit(None).cast("long").alias("max_tf"), F.lit(None).cast("long").alias("min_length")))
@@ -137,17 +150,26 @@ def search(index: Versions, queries: DataFrame, terms: Callable[[Column], Column
     known = asked.join(counted, ["bucket", "term"]).select("query_id", "bucket", "term", "df", idf.alias("idf"), (idf * weight(F.col("max_tf"), F.col("min_length"))).alias("most"))
     known = materialize(known, "known-terms")
     postings, dead = read("postings"), index.open(tables["dead"])
+    # At most a chunk's documents in each list.
+    gone = None if dead is None else dead.groupBy("version", "chunk").agg(F.collect_set("doc_id").alias("gone"))
+    # Given by number: few bytes of lists make many scores, so tasks must not be merged by bytes.
+    pairs, tasks = known.count(), max(-(-n // TASK_DOCS), asked.sparkSession.sparkContext.defaultParallelism)
+    weights, terms_asked = _small(known.select("query_id", "bucket", "term", "idf"), pairs), _small(known.select("bucket", "term").distinct(), pairs)
     heads = postings.select("bucket", "term", "version", "chunk", weight(F.col("max_tf"), F.col("min_length")).alias("bound"))
     spot = ["query_id", "version", "chunk"]
 
     def scored(spots: DataFrame) -> DataFrame:
         """Whole scores of the documents in (query_id, version, chunk)."""
-        wanted = spots.join(known.select("query_id", "bucket", "term", "idf"), "query_id")
-        rows = wanted.join(postings, ["bucket", "term", "version", "chunk"]).select("query_id", "version", "idf", F.explode("entries").alias("e"))
-        each = rows.select("query_id", "version", F.col("e.doc_id").alias("doc_id"), (F.col("idf") * weight(F.col("e.tf"), F.col("e.length"))).alias("w"))
-        each = each if dead is None else each.join(dead, ["doc_id", "version"], "left_anti")
-        each = each if keep is None else each.join(keep.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-        return each.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+        asking = spots.groupBy("version", "chunk").agg(F.collect_set("query_id").alias("asking"))
+        # A list goes once to the task of its chunk, whoever asks for it; there its documents are scored.
+        lists = postings.join(terms_asked, ["bucket", "term"], "left_semi").select("bucket", "term", "version", "chunk", "entries").repartition(tasks, "version", "chunk").join(asking, ["version", "chunk"])
+        if gone is not None:
+            alive = F.filter("entries", lambda e: ~F.array_contains("gone", e.doc_id))
+            lists = lists.join(gone, ["version", "chunk"], "left").withColumn("entries", F.when(F.col("gone").isNull(), F.col("entries")).otherwise(alive))
+        rows = lists.join(weights, ["bucket", "term"]).where(F.array_contains("asking", F.col("query_id"))).select("query_id", "version", "chunk", "idf", F.explode("entries").alias("e"))
+        each = rows.select("query_id", "version", "chunk", F.col("e.doc_id").alias("doc_id"), (F.col("idf") * weight(F.col("e.tf"), F.col("e.length"))).alias("w"))
+        sums = each.groupBy("query_id", "version", "chunk", "doc_id").agg(F.sum("w").alias("score")).select("query_id", "doc_id", "score")
+        return sums if keep is None else sums.join(keep.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
 
     def first(rows: DataFrame, count: int, *order: Column) -> DataFrame:
         return rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= count)

@@ -78,6 +78,19 @@ def test_only_folders_of_the_terms_are_read(spark, tmp_path, small_chunks, capsy
     assert any("max_tf" in s and "entries" not in s for s in scans) and any("entries" in s for s in scans)
 
 
+def test_lists_meet_by_chunks_and_not_by_scores(spark, tmp_path, small_chunks, capsys):
+    index = Versions(spark, f"file://{tmp_path}/index")
+    texts = made(6, 120)
+    L.refresh(index, docs_of(spark, texts), terms)
+    L.refresh(index, docs_of(spark, {d: t for d, t in texts.items() if d % 5} | {3: "w1 w2"}), terms)
+    found = L.search(index, spark.createDataFrame([(q, "w1 w2 w3") for q in range(9)], "query_id long, text string"), terms, 5)
+    found.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(version" in line for line in exchanges) and not any("query_id" in line and "doc_id" in line.split("ENSURE")[0] for line in exchanges)
+    assert all(row.doc_id % 5 for row in found.collect())
+
+
 def test_rejected_ids(spark, tmp_path):
     index = Versions(spark, f"file://{tmp_path}/index")
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "doc_id long, text string")

@@ -108,10 +108,17 @@ def pick_one(t) -> DataFrame:
     return S.pick_one(t.documents.select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], [F.desc("n_chars"), c("doc_id")]).drop("n_chars")
 
 
+#: Lines of orders in a task.
+_TASK_LINES = 250_000
+
+
 @R.query("first_references", "WITH e AS (SELECT l_orderkey AS query_id, l_partkey::VARCHAR AS slug, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2) SELECT query_id, slug, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, slug) AS place FROM e) WHERE place <= 5")
 def first_references(t) -> DataFrame:
+    # Orders meet once, so many lines in a task, and all that follows is done there.
     # Lines of one number are one hit, whose references are sorted.
-    hits = t.lineitem.groupBy(c("l_orderkey").alias("query_id"), c("l_linenumber").alias("rank")).agg(F.array_sort(F.collect_set(c("l_partkey").cast("string"))).alias("refs"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    tasks = max(-(-lines.count() // _TASK_LINES), t.spark.sparkContext.defaultParallelism)
+    hits = lines.repartition(tasks, "l_orderkey").groupBy(c("l_orderkey").alias("query_id"), c("l_linenumber").alias("rank")).agg(F.array_sort(F.collect_set(c("l_partkey").cast("string"))).alias("refs"))
     return S.first_references(hits, "refs")
 
 

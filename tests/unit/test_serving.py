@@ -55,3 +55,11 @@ def test_references_and_audit(spark):
     t = dt.datetime(2024, 1, 1)
     spans = spark.createDataFrame([("q", "start", t), ("q", "end", t + dt.timedelta(milliseconds=250))], "id string, phase string, ts timestamp")
     assert S.spans(spans, ["id"]).first().ms == 250
+
+
+def test_orders_meet_once_for_their_references(spark, capsys):
+    from quarry.plans import REGISTRY
+
+    REGISTRY.queries["first_references"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan

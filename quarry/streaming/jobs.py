@@ -97,14 +97,16 @@ def expiring_distinct(rows: DataFrame, keys: Sequence[str], ts: str, lifetime: s
 
 
 def write_rows(rows: DataFrame, folder: str) -> None:
-    rows.write.mode("overwrite").option("maxRecordsPerFile", rules.SINK_ROWS).parquet(folder)
+    """A file for each task: files follow the input's splits, not the number of rows."""
+    rows.write.mode("overwrite").parquet(folder)
 
 
 def log_sink(rows: DataFrame, required: Sequence[str], where: str, writer: Callable[[DataFrame, str], None] = write_rows):
     """Micro-batches of log rows by ``writer``; rows without a required column are dropped and counted.
 
-    A batch is what arrived in SINK_SECONDS, and no file has more than SINK_ROWS
-    rows.  A batch's number names its folder, so a batch that is written twice
+    A batch is what arrived in SINK_SECONDS, and is written at once: a row waits for
+    no other one, so SINK_ROWS, which flushes a buffer early, has no part here (it is
+    replayed by ``reports.flushes``).  A batch's number names its folder, so a batch that is written twice
     after a failure is stored once.  Rows are counted while they are written; a
     batch whose writer fails is lost and counted as such, and the stream goes on.
     """

@@ -216,3 +216,11 @@ def test_sink_counts_what_a_failing_writer_loses(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log/rows")).count() == 27
     assert counts.agg(F.sum("without_token"), F.sum("without_ts")).first()[:] == (12, 0)
     assert SimpleNamespace(**counts.where("batch = 1").first().asDict()).dropped_on_error == 9
+
+
+def test_sink_files_follow_tasks_not_rows(spark, tmp_path):
+    """A batch of thousands of rows is a few files: with one for each hundred rows, files grew with the table."""
+    stream = _batches(spark, tmp_path, [[(f"b{i}", at(i % 50), 1.0) for i in range(3000)] for _ in range(2)])
+    jobs.log_sink(stream, ["token", "ts"], str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "log/rows"))
+    assert rows.count() == 6000 and len(rows.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism

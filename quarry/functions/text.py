@@ -156,8 +156,10 @@ def tokens(c: Column) -> Column:
 
 def content_tokens(c: Column, least: int = 4, stop: Sequence[str] = ()) -> Column:
     """Distinct tokens of ``least`` or more characters that are neither numbers nor stop words."""
-    spaced = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "²³", "23"), r"[?.,()'\"/\\]", " ")
-    clean = F.transform(F.split(spaced, r"\s+"), lambda t: F.regexp_replace(t, r"^[-:;!]+|[-:;!]+$", ""))
+    low = F.replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("²"), F.lit("2")), F.lit("³"), F.lit("3"))
+    # Trimming only shortens, so short words and repeated ones go before they are looked at one by one.
+    long = F.array_distinct(F.filter(F.split(low, r"[\s?.,()'\"/\\]+"), lambda t: F.length(t) >= least))
+    clean = F.transform(long, lambda t: F.btrim(t, F.lit("-:;!")))
     return F.array_distinct(F.filter(clean, lambda t: (F.length(t) >= least) & ~t.rlike(r"^[0-9]+$") & ~t.isin(list(stop) or [""])))
 
 

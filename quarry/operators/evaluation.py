@@ -104,9 +104,10 @@ def sample_per_group(rows: DataFrame, key: str, group: str, n: int, seed: int) -
     return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*hash_order(key, seed)))).where(F.col("place") <= n)
 
 
-def token_frequency(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """In how many documents, one a row, each token is."""
+def token_frequency(docs: DataFrame, key: str, tokens: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """In how many documents, one a row, each token is; of all tokens, or of the ``wanted`` ones (token) if few are asked for."""
     each = docs.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
+    each = each if wanted is None else each.join(wanted, "token", "left_semi")
     # A document has each of its tokens once.
     return each.groupBy("token").agg(F.count("*").alias("n_docs"))
 

@@ -17,6 +17,7 @@ from quarry.functions.stems import english_terms
 from quarry.operators import evaluation as E
 from quarry.operators import retrieval as V
 from quarry.plans.registry import Registry
+from quarry.sources.versions import materialize
 
 R = Registry()
 c = F.col
@@ -282,12 +283,15 @@ _COMMON = "list_max(flatten([[CASE WHEN contains(b, substr(a, i, n)) THEN n ELSE
 )
 def failure_buckets(t) -> DataFrame:
     """Of each passage: why the first document is not one that contains it."""
-    frequency = E.token_frequency(t.documents, "doc_id", T.content_tokens(c("text"), 5))
     items = _items(t).select("query_id", T.content_tokens(c("text"), 5, rules.QUESTION_STOPWORDS).alias("q"), F.concat(F.lit("item-"), "query_id").alias("slug"))
-    slug = F.concat_ws("-", "source", "lang", "doc_id")
-    top = _bm25(t, 5).where("rank = 1").join(t.documents.select("doc_id", "lang", T.content_tokens(c("text"), 5).alias("d"), slug.alias("doc_slug")), "doc_id")
-    joined = items.join(top, "query_id", "left").withColumn("shared", F.coalesce(F.array_intersect("q", "d"), F.array().cast("array<string>")))
-    rare = joined.select("query_id", F.explode("shared").alias("token")).join(frequency.where(c("n_docs") <= rules.DISTINCTIVE_DF), "token").groupBy("query_id").agg(F.count("*").alias("distinctive"))
+    # A few rows for each passage: written once, and met before texts are cut into tokens.
+    top = materialize(_bm25(t, 1).where("rank = 1").select("query_id", "doc_id"), "first-documents")
+    found = t.documents.join(top, "doc_id").select("query_id", "doc_id", "lang", T.content_tokens(c("text"), 5).alias("d"), F.concat_ws("-", "source", "lang", "doc_id").alias("doc_slug"))
+    shared = F.coalesce(F.array_intersect("q", "d"), F.array().cast("array<string>"))
+    joined = materialize(items.join(found, "query_id", "left").withColumn("shared", shared).drop("d"), "shared-tokens")
+    tokens = joined.select("query_id", F.explode("shared").alias("token"))
+    frequency = E.token_frequency(t.documents, "doc_id", T.content_tokens(c("text"), 5), tokens.select("token").distinct())
+    rare = tokens.join(frequency.where(c("n_docs") <= rules.DISTINCTIVE_DF), "token").groupBy("query_id").agg(F.count("*").alias("distinctive"))
     rows = joined.join(rare, "query_id", "left")
     bucket = E.failure_bucket(F.size("shared"), F.size(F.array_except("q", "shared")), F.coalesce("distinctive", F.lit(0)), F.col("doc_id").isNotNull(), F.lit("en"), c("lang"), E.common_substring(c("slug"), F.coalesce("doc_slug", F.lit(""))))
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))

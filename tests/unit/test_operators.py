@@ -123,3 +123,26 @@ def test_curves(spark):
     assert spark.range(1).select(curves.logarithm(2, F.lit(-1.0))).first()[0] is None
     assert spark.range(1).select(curves.trigonometric("tan", F.lit(math.pi / 2))).first()[0] is None
     assert curves.overlay(("a", s), ("b", s)).groupBy("trace").count().count() == 2
+
+
+def test_content_tokens_and_frequencies_of_wanted_ones(spark):
+    """Odd marks and spaces against the plain rule; only wanted tokens are counted, each once a document."""
+    import re
+
+    from quarry.functions import text as T
+    from quarry.operators import evaluation
+
+    rows = [(0, None), (1, ""), (2, "--Solve:: x²+y³=12345, (Solve) solve;- the/quotient\\rule 'rule's' 12345 --!!--"), (3, "a\tQUOTIENT\nquotient \"Σίγμα\" -:;!ab-cd!;:- --quotient"), (4, "x" * 5 + "-" * 9)]
+
+    def plain(text, least):
+        low = re.sub(r"[?.,()'\"/\\]", " ", (text or "").lower().replace("²", "2").replace("³", "3"))
+        clean = [re.sub(r"^[-:;!]+|[-:;!]+$", "", t) for t in re.split(r"\s+", low)]
+        return list(dict.fromkeys(t for t in clean if len(t) >= least and not re.search(r"^[0-9]+$", t) and t != "rule"))
+
+    docs = spark.createDataFrame(rows, "k int, text string")
+    for least in (4, 5):
+        got = {r.k: r.t for r in docs.select("k", T.content_tokens(docs.text, least, ["rule"]).alias("t")).collect()}
+        assert got == {k: plain(t, least) for k, t in rows}
+    wanted = spark.createDataFrame([("quotient",), ("solve",), ("absent",)], "token string")
+    counted = evaluation.token_frequency(docs, "k", T.content_tokens(docs.text, 5), wanted)
+    assert {r.token: r.n_docs for r in counted.collect()} == {"quotient": 2, "solve": 1}

@@ -237,6 +237,13 @@ def _counted_strings(rows: DataFrame) -> DataFrame:
     return places.select("row", "firsts", F.col("firsts").alias("lasts"))
 
 
+def among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in ``known``, which is sorted; a batch's work does not grow with it, as sorting both would."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _text_key() -> Column:
     return F.sha2(F.col("text"), 256)
 
@@ -265,7 +272,7 @@ def _rows(docs: DataFrame) -> DataFrame:
             keys, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
             of, first, last, core = runs(texts)
             if known is not None:
-                picked = np.flatnonzero(np.isin(core, known.value, assume_unique=False))
+                picked = np.flatnonzero(among(known.value, core))
                 of, first, last, core = (x[picked] for x in (of, first, last, core))
             data = [texts[k][i : j + LENGTH] for k, i, j in zip(of.tolist(), first.tolist(), last.tolist(), strict=True)]
             columns = [pa.array([keys[k] for k in of.tolist()], pa.string()), pa.array(first), pa.array(core), pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array(data, pa.binary())]

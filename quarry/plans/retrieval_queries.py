@@ -321,7 +321,9 @@ _STRAND = "CASE WHEN starts_with({0}, 'src1-') THEN 'src1' WHEN starts_with({0},
 def failure_evidence(t) -> DataFrame:
     """Of each passage whose first document is another than the one that shares most of its words: the bucket and its evidence."""
     slugs = t.documents.select("doc_id", F.expr(_slug("")).alias("slug"))
-    found, first = _bm25(t, 5), _overlap(t, 1).select("query_id", c("doc_id").alias("wanted"))
+    # A few rows for each passage, read more than once: each search runs once.
+    found = materialize(_bm25(t, 5).select("query_id", "doc_id", "rank"), "found-documents")
+    first = materialize(_overlap(t, 1).select("query_id", c("doc_id").alias("wanted")), "wanted-documents")
     tops = found.where("rank = 1").select("query_id", "doc_id").join(slugs, "doc_id").select("query_id", c("slug").alias("top_slug"))
     wanted = first.join(slugs.withColumnRenamed("doc_id", "wanted"), "wanted").select("query_id", "wanted", c("slug").alias("expected_slug"))
     near = found.select("query_id", c("doc_id").alias("wanted"), F.lit(True).alias("near"))

@@ -40,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of similarity 0.8 or more stays: that of the smallest id.
 
     Null ids come last; of rows of one id and text one stays, of one id and several
-    texts of a group the least by hash.  Pairs are found by MinHash bands and
-    verified exactly, since 3 of 64 fingerprint bits miss most of them (README).
+    texts of a group the least by hash.  Pairs are found by one-wildcard variants of
+    the segments of wide SimHash fingerprints, and verified exactly.
     """
     ship(spark)
     return similar.keep_one(docs)

@@ -1,27 +1,33 @@
-"""Near-duplicates by word shingles: MinHash bands find candidates, exact Jaccard similarity links them.
+"""Near-duplicates by word shingles: wide SimHash fingerprints find candidates, exact Jaccard similarity links them.
 
 Texts are linked at a similarity of 0.8 or more over the sets of their five-word
-shingles.  A text has 32 band keys of six minima each; a pair of similarity 0.8
-shares a key with probability 1 - (1 - 0.8^6)^32 = 0.9999, and a more similar one
-with a greater.  Every candidate is verified on the texts.
-
-Texts that share a key are not all compared with each other: each is compared with
-one leader, the text that shares most keys with others; in the next rounds leaders
-come from those that are still unlinked.  So a group of near copies takes a few
-comparisons each.  What shares a key but no leader (texts with a long passage in
-common, say) goes by its rarest shingles: of n shingles the rarest
-n - ceil(0.8 n) + 1, of which two texts of the similarity always share one.  Texts
-that share a rare shingle, and enough shingles with any others to be similar to one
-of them, are led in the same way.
-
-Of groups in which some are then left, a steeper index compares only texts that no
-link joins yet: 240 bands of 20 minima, of which a pair of exactly 0.8 shares one with
-probability 1 - (1 - 0.8^20)^240 = 0.94, one of 0.85 with 0.9999, and one of 2/3 with
-0.07, so that texts that are similar to a part of each other mostly do not meet.
-
-Two limits: a pair of little more than 0.8 may be missed there, and what is compared
-there grows, with that small factor, with the square of the number of separate
-groups.  Two linked groups are joined there too, if a pair of them is found.
+shingles.  At 0.8 at least 8/9 of the shingles of two texts of one size are common, so
+their bits differ with probability acos(8/9) / pi = 0.15.  A fingerprint has 192 segments
+of 32 bits, and a pair meets where a segment differs by at most one bit: under a
+one-wildcard variant (one bit position left out) that both have, as in ``simhash``.  One
+segment of a pair of 0.8 does so with probability 0.035, one of 192 with 0.9989, and of a
+more similar pair with a greater one; of other texts about one in 10^8.  What has met is
+verified on the whole fingerprint, and then on the texts.
+
+The 6,144 variants of a text are not rows.  Two segments that differ by at most one bit
+have an equal half, so segments are dealt once for each half by its first bits (as one
+column while they are few), and the equality join of variants runs within a task, over
+some 500,000 segments.
+
+First, texts that meet in one of 32 segments are grouped under the least text that they
+meet.  Those of a group are not all compared with each other: each is compared with one
+leader, the text that shares most groups with others; in the next rounds leaders come
+from those that are still unlinked.  So a group of near copies takes a few comparisons
+each.  What shares a group but no leader (texts with a long passage in common, say) goes
+by its rarest shingles: of n shingles the rarest n - ceil(0.8 n) + 1, of which two texts
+of the similarity always share one.  Texts that share a rare shingle, and enough shingles
+with any others to be similar to one of them, are led in the same way.
+
+Then texts of all segments meet, but only those that no link joins yet.
+
+Two limits: a pair of little more than 0.8 may be missed (1 in 900 at 0.8, by formula),
+and what meets between separate groups grows with the square of their number, where they
+have most shingles in common; each such pair takes a comparison of fingerprints.
 
 Defined cases: null texts and texts without words are linked to each other; a text
 of fewer than five words is one shingle; copies of a text are collapsed first.
@@ -31,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,19 +54,19 @@ from quarry.llm.words import ascii_words
 
 #: Words of a shingle; the least similarity of a link, as a fraction.
 SHINGLE, SIMILARITY = 5, (4, 5)
-#: Minima of a band, bands, and rounds in which texts are compared with one leader of their band before all others.
-ROWS, BANDS, LEADERS = 6, 32, 2
-#: Minima of a band and bands of the steeper index.
-STEEP_ROWS, STEEP_BANDS = 20, 240
-#: Shingles that are hashed at once; rows of one or two numbers that are broadcast.
-CHUNK, BROADCAST_ROWS = 2048, 1_000_000
+#: Bits of a segment and segments of a fingerprint; those that group texts before all meet; rounds of leaders.
+SEGMENT_BITS, SEGMENTS, GROUPING, LEADERS = 32, 192, 32, 2
+#: Of the bits of two texts of the similarity, at most this part differs, and of those with few shingles this one.
+DIFFER, FEW, DIFFER_FEW = 0.172, 50, 0.22
+#: Bits of a sketch, the first ones of a fingerprint, that differ at most.
+SKETCH_DIFFER = 24
+#: Segments that meet in a task; texts that a task deals at once; pairs that it makes at once.
+MEETING, DEALT, PAIRS = 1 << 19, 1 << 14, 1 << 20
+#: Shingles whose bits are summed at once; rows of one or two numbers, and fingerprints, that are broadcast.
+CHUNK, BROADCAST_ROWS, BROADCAST_FINGERPRINTS = 128, 1_000_000, 16_384
 
-def _random(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    xor, factor = np.random.default_rng(seed).integers(0, 1 << 64, (2, n), np.uint64)
-    return xor, factor | np.uint64(1)
-
-
-_BROAD, _STEEP = _random(42, ROWS * BANDS), _random(43, STEEP_ROWS * STEEP_BANDS)
+_XOR, _FACTOR = np.random.default_rng(42).integers(0, 1 << 64, (2, SEGMENTS), np.uint64)
+_FACTOR |= np.uint64(1)
 
 
 def shingles(text: bytes) -> set[bytes]:
@@ -74,34 +81,176 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both)
 
 
-def band_keys(text: bytes, rows: int = ROWS, random: tuple[np.ndarray, np.ndarray] = _BROAD) -> np.ndarray:
-    xor, factor = random
-    least = np.full(len(xor), (1 << 64) - 1, np.uint64)
+def fingerprint(text: bytes) -> tuple[np.ndarray, int]:
+    """Its segments, and how many shingles the text has; a bit is 1 if more than half of the shingles' hashes have it."""
     hashes = np.array([xxhash.xxh64_intdigest(s) for s in shingles(text)], np.uint64)
-    step = max(1, CHUNK * ROWS * BANDS // len(xor))
-    for at in range(0, len(hashes), step):
-        least = np.minimum(least, ((hashes[at : at + step, None] ^ xor) * factor).min(0))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(-1, rows))], np.uint64).view(np.int64)
+    ones = np.zeros(SEGMENTS * SEGMENT_BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        # The upper half of a product hangs on all bits of the hash.
+        mixed = ((hashes[at : at + CHUNK, None] ^ _XOR) * _FACTOR) >> np.uint64(32)
+        ones += np.unpackbits(mixed.astype("<u4").view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view("<u4"), len(hashes)
 
 
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     node = TaskContext.get().partitionId() << 33
     for b in batches:
-        keys = [band_keys(t or b"") for t in b.column(1).to_pylist()]
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(node, node + len(keys))), b.column(0), b.column(1), bands], ["node", KEY, "text", "bands"])
-        node += len(keys)
+        prints = [fingerprint(t or b"") for t in b.column(1).to_pylist()]
+        sketch = np.array([fp[:2].view(np.int64)[0] for fp, _ in prints], np.int64)
+        columns = [np.arange(node, node + len(prints)), b.column(0), b.column(1), pa.array([fp.tobytes() for fp, _ in prints], pa.binary()), sketch, np.array([n for _, n in prints], np.int64)]
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["node", KEY, "text", "fp", "sketch", "size"])
+        node += len(prints)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
+
+
+def _deal(segments: int, bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, root, fp) to the segments of many texts in a row: those of one bucket.
+
+    A bucket is a segment's number, one of its halves and the first ``bits`` of that
+    half; without any, a segment is dealt once and not for each half.
+    """
+
+    def rows(batch: pa.Table) -> Iterator[tuple]:
+        node, root = (batch.column(c).to_numpy() for c in (0, 1))
+        prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(len(node), SEGMENTS)
+        pack = lambda at: (_packed(np.diff(node[at], prepend=0)), _packed(root[at] - node[at]))
+        whole = pack(slice(None))
+        for k in range(segments):
+            values = np.ascontiguousarray(prints[:, k])
+            if not bits:
+                yield 2 * k << 16, len(node), values.tobytes(), *whole
+                continue
+            for half, first in enumerate((values >> np.uint32(32 - bits), (values & np.uint32(0xFFFF)) >> np.uint32(16 - bits))):
+                order = np.argsort(first, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+                    yield (2 * k + half) << 16 | int(first[at[0]]), len(at), values[at].tobytes(), *pack(at)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            made = rows(pa.Table.from_batches(held))
+            while part := list(islice(made, 64)):
+                kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*part, strict=True), kinds, strict=True)], ["bucket", "n", "segments", "nodes", "roots"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= DEALT:
+                yield from flush()
+                held = []
+        if sum(x.num_rows for x in held):
+            yield from flush()
+
+    return run
+
+
+def _adjacent(values: np.ndarray, positions: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, k) of places in the sorted distinct ``values`` that have a one-wildcard variant of one of these positions in common."""
+    firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in positions:
+        bit = np.uint32(1 << p)
+        zero = np.flatnonzero((values & bit) == 0)
+        other = values[zero] | bit
+        at = np.minimum(np.searchsorted(values, other), len(values) - 1)
+        hit = values[at] == other
+        firsts.append(zero[hit])
+        seconds.append(at[hit])
+    return np.concatenate(firsts), np.concatenate(seconds)
+
+
+def _grouping(segments: np.ndarray, node: np.ndarray, root: np.ndarray, positions: range, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(least node that a text meets, itself included; node) of the texts that meet any."""
+    values, own, count = np.unique(segments, return_inverse=True, return_counts=True)
+    first, second = _adjacent(values, positions)
+    least = np.full(len(values), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, node)
+    met, best = count > 1, least.copy()
+    for x, y in ((first, second), (second, first)):
+        met[x] = True
+        np.minimum.at(best, x, least[y])
+    yield best[own][met[own]], node[met[own]]
+
+
+def _crossing(segments: np.ndarray, node: np.ndarray, root: np.ndarray, positions: range, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of nodes of different roots that meet."""
+    order = np.lexsort((root, segments))
+    segments, node, root = segments[order], node[order], root[order]
+    values, start, own, count = np.unique(segments, return_index=True, return_inverse=True, return_counts=True)
+    first, second = _adjacent(values, positions)
+    if equal:
+        several = np.flatnonzero(count > 1)
+        first, second = np.concatenate([first, several]), np.concatenate([second, several])
+    low, high = root[start], root[start + count - 1]
+    mixed = np.minimum(low[first], low[second]) != np.maximum(high[first], high[second])
+    first, second = first[mixed], second[mixed]
+    # Each member of the first class with those of the second that have another root: all but one run.
+    rank = np.unique(root, return_inverse=True)[1]
+    place = own * (len(node) + 1) + rank
+    sums = np.cumsum(count[first])
+    for at in np.split(np.arange(len(first)), np.searchsorted(sums, np.arange(PAIRS, sums[-1] if len(sums) else 0, PAIRS))):
+        n = count[first[at]]
+        x = np.repeat(start[first[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        y = np.repeat(second[at], n)
+        same = y * (len(node) + 1) + rank[x]
+        lo, hi = np.searchsorted(place, same, "left"), np.searchsorted(place, same, "right")
+        others = count[y] - (hi - lo)
+        ends = np.cumsum(others)
+        for part in np.split(np.arange(len(x)), np.searchsorted(ends, np.arange(PAIRS, ends[-1] if len(ends) else 0, PAIRS))):
+            m = others[part]
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            partner = np.repeat(start[y[part]], m) + step
+            partner += np.where(partner >= np.repeat(lo[part], m), np.repeat((hi - lo)[part], m), 0)
+            one, other = node[np.repeat(x[part], m)], node[partner]
+            yield np.minimum(one, other), np.maximum(one, other)
+
+
+def _meet(bits: int, pairs: Callable, names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``_deal``, sorted by bucket, to the ``pairs`` of each bucket."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for bucket, rows in groupby(each, lambda row: row[0]):
+            parts = [(np.frombuffer(v, "<u4"), np.cumsum(_unpacked(x, n)), _unpacked(r, n)) for _, n, v, x, r in rows]
+            segments, node, root = map(np.concatenate, zip(*parts, strict=True))
+            half = bucket >> 16 & 1
+            # The first half is equal: a bit of the second differs, or none.
+            positions = range(SEGMENT_BITS) if not bits else range(16, 32) if half else range(16)
+            for a, b in pairs(segments, node, root + node, positions, not half):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
+
+    return run
+
+
+def _met(prints: DataFrame, texts: int, segments: int, pairs: Callable, names: list[str]) -> DataFrame:
+    """``pairs`` of the texts of ``prints`` (node, root, fp) that meet in one of the first ``segments``."""
+    bits = min(16, max(0, (texts - 1) // MEETING).bit_length())
+    dealt = prints.select("node", "root", "fp").mapInArrow(_deal(segments, bits), "bucket long, n long, segments binary, nodes binary, roots binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(bits, pairs, names), ", ".join(f"{c} long" for c in names)).distinct()
 
 
-def _steep_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root, text) to a row for each band of the steeper index."""
+def _few_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [t or b"" for t in b.column(2).to_pylist()]
-        bands = np.concatenate([np.zeros(0, np.int64), *(band_keys(t, STEEP_ROWS, _STEEP) for t in texts)])
-        size = np.array([len(shingles(t)) for t in texts], np.int64)
-        columns = [bands, *(np.repeat(x, STEEP_BANDS) for x in (b.column(0).to_numpy(), size, b.column(1).to_numpy()))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["band", "node", "size", "root"])
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (2, 3))
+        share = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) / (SEGMENTS * SEGMENT_BITS)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(share <= np.where(b.column(4).to_numpy() < FEW, DIFFER_FEW, DIFFER)))
+
+
+def _near(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` whose whole fingerprints differ by few bits enough."""
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met-texts")
+    own = materialize(prints.select("node", "fp", "size").join(_small(nodes), "node", "left_semi"), "met-fingerprints")
+    own = F.broadcast(own) if own.count() <= BROADCAST_FINGERPRINTS else own
+    one, other = (own.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("size").alias(f"{c}_size")) for c in "ab")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "a_fp", "b_fp", F.least("a_size", "b_size"))
+    return both.mapInArrow(_few_bits, "a long, b long")
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,41 +282,33 @@ def _grouped(index: DataFrame, tag: str) -> DataFrame:
     return materialize(shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node"), tag)
 
 
-def links(signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes at the similarity or above that join their groups (see the module's limits)."""
-    members = _grouped(signatures.select("node", F.explode("bands").alias("band")), "band-members")
+def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    pairs = materialize(pairs.distinct(), "candidate-pairs")
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("x")).join(_small(pairs), "a")
+    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "similar-pairs")
+
+
+def links(signatures: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes at the similarity or above that join the groups of ``index`` (band, node).
+
+    Without it, a text of ``signatures`` is in its ``bands``; with ``fp`` and ``size``
+    there, only texts of close fingerprints are compared.
+    """
+    members = _grouped(signatures.select("node", F.explode("bands").alias("band")) if index is None else index, "band-members")
     nodes = materialize(members.select("node").distinct(), "candidates")
-    texts = materialize(signatures.select("node", "text").join(_small(nodes), "node", "left_semi"), "candidate-texts")
+    texts = materialize(signatures.drop(KEY, "bands", "sketch").join(_small(nodes), "node", "left_semi"), "candidate-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct(), "candidate-pairs")
-        first = texts.select(F.col("node").alias("a"), F.col("text").alias("x")).join(_small(pairs), "a")
-        both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "similar-pairs")
+        return _verify(texts, _near(texts, materialize(pairs.distinct(), "led-pairs")) if "fp" in texts.columns else pairs)
 
     found, left = _lead(members, verified)
     if left is not None:
         # All texts of the groups in which some are left meet again by their rarest shingles.
         again = materialize(members.join(left.select("band").distinct(), "band", "left_semi").select("node").distinct(), "unled")
         rare = materialize(rare_shingles(texts.join(_small(again), "node", "left_semi")), "rare-shingles")
-        members = _grouped(rare, "rare-members")
-        more, left = _lead(members, verified)
+        more, _ = _lead(_grouped(rare, "rare-members"), verified)
         found = found.union(more)
-    if left is not None:
-        # Of what is left, pairs that a steeper index finds and no link joins yet.
-        met = materialize(members.join(left.select("band").distinct(), "band", "left_semi").select("node").distinct(), "unlinked")
-        roots_so_far = components(found)
-        rooted = texts.join(_small(met), "node", "left_semi").join(roots_so_far, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
-        # Thousands of minima for each text: ranges deal the texts evenly.
-        rows = rooted.repartitionByRange("node").mapInArrow(_steep_rows, "band long, node long, size long, root long")
-        index = materialize(rows, "steep-index")
-        mixed = index.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter(F.col("one") != F.col("other")).select("band")
-        shared = materialize(index.join(mixed, "band", "left_semi"), "steep-members")
-        one, other = (shared.select("band", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "root"))) for side in ("a", "b"))
-        # Of unequal sizes, the smaller one has to be four fifths of the other.
-        close = SIMILARITY[1] * F.least("a_size", "b_size") >= SIMILARITY[0] * F.greatest("a_size", "b_size")
-        rest = one.join(other, "band").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & close)
-        found = found.union(verified(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))))
     return found
 
 
@@ -222,9 +363,25 @@ def rare_shingles(texts: DataFrame) -> DataFrame:
 def roots(docs: DataFrame) -> DataFrame:
     """(KEY, root) of each distinct text: the least node of its component."""
     rows = docs.select(text_key().alias(KEY), F.col("text").cast("binary").alias("text"))
-    rows = materialize(rows.mapInArrow(_signatures, f"node long, {KEY} long, text binary, bands array<long>"), "shingle-signatures")
+    rows = materialize(rows.mapInArrow(_signatures, f"node long, {KEY} long, text binary, fp binary, sketch long, size long"), "shingle-signatures")
     texts = materialize(rows.groupBy(KEY).agg(F.min("node").alias("node")), "distinct-texts")
-    found = components(links(rows.join(texts.select("node"), "node", "left_semi")))
+    signatures, count = rows.join(texts.select("node"), "node", "left_semi"), texts.count()
+
+    met = materialize(_met(signatures.withColumn("root", F.col("node")), count, GROUPING, _grouping, ["band", "node"]), "least-met")
+    grouped = links(signatures, met.union(met.select("band", F.col("band").alias("node"))).distinct())
+
+    # All segments, between texts that no link joins yet.
+    linked = components(grouped)
+    rooted = signatures.select("node", "fp").join(_small(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = materialize(_met(rooted, count, SEGMENTS, _crossing, ["a", "b"]), "crossing-pairs")
+    sketches = [signatures.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab"]
+    close = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= SKETCH_DIFFER
+    pairs = materialize(pairs.join(sketches[0], "a").join(sketches[1], "b").filter(close).select("a", "b"), "close-pairs")
+    near = materialize(_near(signatures, pairs), "near-pairs")
+    nodes = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-texts")
+    crossing = _verify(materialize(signatures.select("node", "text").join(_small(nodes), "node", "left_semi"), "near-texts"), near)
+
+    found = components(grouped.union(crossing))
     return texts.join(found, "node", "left").select(KEY, F.coalesce("root", "node").alias("root"))
 
 

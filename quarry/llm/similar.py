@@ -49,7 +49,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.simhash import KEY, one_of_each, text_key
-from quarry.llm.storage import materialize
+from quarry.llm.skew import join_hot
+from quarry.llm.storage import discard, materialize
 from quarry.llm.words import ascii_words
 
 #: Words of a shingle; the least similarity of a link, as a fraction.
@@ -365,7 +366,11 @@ def roots(docs: DataFrame) -> DataFrame:
     rows = docs.select(text_key().alias(KEY), F.col("text").cast("binary").alias("text"))
     rows = materialize(rows.mapInArrow(_signatures, f"node long, {KEY} long, text binary, fp binary, sketch long, size long"), "shingle-signatures")
     texts = materialize(rows.groupBy(KEY).agg(F.min("node").alias("node")), "distinct-texts")
-    signatures, count = rows.join(texts.select("node"), "node", "left_semi"), texts.count()
+    # Only the copies are looked up: a join of all texts would shuffle them whenever they are read.
+    copies = join_hot(rows.select(KEY, "node"), texts.withColumnRenamed("node", "least"), KEY).filter(F.col("node") != F.col("least"))
+    copies = materialize(copies.select("node"), "copies")
+    signatures, count = materialize(rows.join(_small(copies), "node", "left_anti"), "signatures"), texts.count()
+    discard(rows)
 
     met = materialize(_met(signatures.withColumn("root", F.col("node")), count, GROUPING, _grouping, ["band", "node"]), "least-met")
     grouped = links(signatures, met.union(met.select("band", F.col("band").alias("node"))).distinct())

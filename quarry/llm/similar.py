@@ -23,11 +23,17 @@ by its rarest shingles: of n shingles the rarest n - ceil(0.8 n) + 1, of which t
 of the similarity always share one.  Texts that share a rare shingle, and enough shingles
 with any others to be similar to one of them, are led in the same way.
 
-Then texts of all segments meet, but only those that no link joins yet.
+Texts of the groups in which some are still unlinked are a crowd: many may meet many, with
+a part of their shingles in common.  Pairs of a crowd come from an equality join by those
+rarest shingles, which misses none, and only where no link joins the two yet and the places
+of the shingle leave room for the similarity.  Then texts of all segments meet, but only
+those that no link joins yet and that are not both of a crowd.  A text that met none or
+few in the 32 segments meets few in the others: of d expected in all, it met none before
+with probability exp(-d / 6).
 
 Two limits: a pair of little more than 0.8 may be missed (1 in 900 at 0.8, by formula),
-and what meets between separate groups grows with the square of their number, where they
-have most shingles in common; each such pair takes a comparison of fingerprints.
+and texts that differ from a text that is not there by less than a ninth of their
+shingles, and by others each, are compared as fingerprints, all pairs of them.
 
 Defined cases: null texts and texts without words are linked to each other; a text
 of fewer than five words is one shingle; copies of a text are collapsed first.
@@ -112,16 +118,16 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
 
 
 def _deal(segments: int, bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, root, fp) to the segments of many texts in a row: those of one bucket.
+    """(node, root, fp, crowd) to the segments of many texts in a row: those of one bucket.
 
     A bucket is a segment's number, one of its halves and the first ``bits`` of that
     half; without any, a segment is dealt once and not for each half.
     """
 
     def rows(batch: pa.Table) -> Iterator[tuple]:
-        node, root = (batch.column(c).to_numpy() for c in (0, 1))
+        node, root, crowd = (batch.column(c).to_numpy() for c in (0, 1, 3))
         prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(len(node), SEGMENTS)
-        pack = lambda at: (_packed(np.diff(node[at], prepend=0)), _packed(root[at] - node[at]))
+        pack = lambda at: (_packed(np.diff(node[at], prepend=0)), _packed(2 * (root[at] - node[at]) + crowd[at]))
         whole = pack(slice(None))
         for k in range(segments):
             values = np.ascontiguousarray(prints[:, k])
@@ -167,7 +173,7 @@ def _adjacent(values: np.ndarray, positions: Iterable[int]) -> tuple[np.ndarray,
     return np.concatenate(firsts), np.concatenate(seconds)
 
 
-def _grouping(segments: np.ndarray, node: np.ndarray, root: np.ndarray, positions: range, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _grouping(segments: np.ndarray, node: np.ndarray, root: np.ndarray, crowd: np.ndarray, positions: range, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(least node that a text meets, itself included; node) of the texts that meet any."""
     values, own, count = np.unique(segments, return_inverse=True, return_counts=True)
     first, second = _adjacent(values, positions)
@@ -180,10 +186,10 @@ def _grouping(segments: np.ndarray, node: np.ndarray, root: np.ndarray, position
     yield best[own][met[own]], node[met[own]]
 
 
-def _crossing(segments: np.ndarray, node: np.ndarray, root: np.ndarray, positions: range, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of nodes of different roots that meet."""
+def _crossing(segments: np.ndarray, node: np.ndarray, root: np.ndarray, crowd: np.ndarray, positions: range, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of nodes of different roots that meet and are not both of a crowd."""
     order = np.lexsort((root, segments))
-    segments, node, root = segments[order], node[order], root[order]
+    segments, node, root, crowd = segments[order], node[order], root[order], crowd[order]
     values, start, own, count = np.unique(segments, return_index=True, return_inverse=True, return_counts=True)
     first, second = _adjacent(values, positions)
     if equal:
@@ -192,25 +198,32 @@ def _crossing(segments: np.ndarray, node: np.ndarray, root: np.ndarray, position
     low, high = root[start], root[start + count - 1]
     mixed = np.minimum(low[first], low[second]) != np.maximum(high[first], high[second])
     first, second = first[mixed], second[mixed]
-    # Each member of the first class with those of the second that have another root: all but one run.
-    rank = np.unique(root, return_inverse=True)[1]
-    place = own * (len(node) + 1) + rank
-    sums = np.cumsum(count[first])
+    rank, every = np.unique(root, return_inverse=True)[1], np.arange(len(node))
+    for xs, ys in ((every[~crowd], every), (every[crowd], every[~crowd])):
+        for x, y in _across(first, second, own[xs], own[ys], rank[xs], rank[ys]):
+            one, other = node[xs[x]], node[ys[y]]
+            yield np.minimum(one, other), np.maximum(one, other)
+
+
+def _across(first: np.ndarray, second: np.ndarray, own_x: np.ndarray, own_y: np.ndarray, rank_x: np.ndarray, rank_y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of other ranks in the classes ``first`` of x and ``second`` of y; both are in order of class and rank."""
+    (start_x, n_x), (start_y, n_y) = ((np.searchsorted(own, c, "left"), np.searchsorted(own, c, "right") - np.searchsorted(own, c, "left")) for own, c in ((own_x, first), (own_y, second)))
+    width = max(rank_x.max(initial=0), rank_y.max(initial=0)) + 1
+    place = own_y * width + rank_y
+    sums = np.cumsum(n_x)
     for at in np.split(np.arange(len(first)), np.searchsorted(sums, np.arange(PAIRS, sums[-1] if len(sums) else 0, PAIRS))):
-        n = count[first[at]]
-        x = np.repeat(start[first[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        y = np.repeat(second[at], n)
-        same = y * (len(node) + 1) + rank[x]
+        n = n_x[at]
+        x = np.repeat(start_x[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # Each member of the first class with those of the second that have another root: all but one run.
+        same = np.repeat(second[at], n) * width + rank_x[x]
         lo, hi = np.searchsorted(place, same, "left"), np.searchsorted(place, same, "right")
-        others = count[y] - (hi - lo)
+        begin, others = np.repeat(start_y[at], n), np.repeat(n_y[at], n) - (hi - lo)
         ends = np.cumsum(others)
         for part in np.split(np.arange(len(x)), np.searchsorted(ends, np.arange(PAIRS, ends[-1] if len(ends) else 0, PAIRS))):
             m = others[part]
-            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            partner = np.repeat(start[y[part]], m) + step
-            partner += np.where(partner >= np.repeat(lo[part], m), np.repeat((hi - lo)[part], m), 0)
-            one, other = node[np.repeat(x[part], m)], node[partner]
-            yield np.minimum(one, other), np.maximum(one, other)
+            y = np.repeat(begin[part], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            y += np.where(y >= np.repeat(lo[part], m), np.repeat((hi - lo)[part], m), 0)
+            yield np.repeat(x[part], m), y
 
 
 def _meet(bits: int, pairs: Callable, names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -220,20 +233,21 @@ def _meet(bits: int, pairs: Callable, names: list[str]) -> Callable[[Iterable[pa
         each = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for bucket, rows in groupby(each, lambda row: row[0]):
             parts = [(np.frombuffer(v, "<u4"), np.cumsum(_unpacked(x, n)), _unpacked(r, n)) for _, n, v, x, r in rows]
-            segments, node, root = map(np.concatenate, zip(*parts, strict=True))
+            segments, node, mark = map(np.concatenate, zip(*parts, strict=True))
             half = bucket >> 16 & 1
             # The first half is equal: a bit of the second differs, or none.
             positions = range(SEGMENT_BITS) if not bits else range(16, 32) if half else range(16)
-            for a, b in pairs(segments, node, root + node, positions, not half):
+            for a, b in pairs(segments, node, (mark >> 1) + node, (mark & 1).astype(bool), positions, not half):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
 
     return run
 
 
 def _met(prints: DataFrame, texts: int, segments: int, pairs: Callable, names: list[str]) -> DataFrame:
-    """``pairs`` of the texts of ``prints`` (node, root, fp) that meet in one of the first ``segments``."""
+    """``pairs`` of the texts of ``prints`` (node, root, fp and, if any are, crowd) that meet in one of the first ``segments``."""
     bits = min(16, max(0, (texts - 1) // MEETING).bit_length())
-    dealt = prints.select("node", "root", "fp").mapInArrow(_deal(segments, bits), "bucket long, n long, segments binary, nodes binary, roots binary")
+    crowd = F.col("crowd") if "crowd" in prints.columns else F.lit(False)
+    dealt = prints.select("node", "root", "fp", crowd.cast("long")).mapInArrow(_deal(segments, bits), "bucket long, n long, segments binary, nodes binary, roots binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(bits, pairs, names), ", ".join(f"{c} long" for c in names)).distinct()
 
 
@@ -296,6 +310,11 @@ def links(signatures: DataFrame, index: DataFrame | None = None) -> DataFrame:
     Without it, a text of ``signatures`` is in its ``bands``; with ``fp`` and ``size``
     there, only texts of close fingerprints are compared.
     """
+    return _links(signatures, index)[0]
+
+
+def _links(signatures: DataFrame, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The links of ``links``; the nodes of the groups in which some are left, and their ``rare_shingles``, or None."""
     members = _grouped(signatures.select("node", F.explode("bands").alias("band")) if index is None else index, "band-members")
     nodes = materialize(members.select("node").distinct(), "candidates")
     texts = materialize(signatures.drop(KEY, "bands", "sketch").join(_small(nodes), "node", "left_semi"), "candidate-texts")
@@ -304,13 +323,14 @@ def links(signatures: DataFrame, index: DataFrame | None = None) -> DataFrame:
         return _verify(texts, _near(texts, materialize(pairs.distinct(), "led-pairs")) if "fp" in texts.columns else pairs)
 
     found, left = _lead(members, verified)
+    again = rare = None
     if left is not None:
         # All texts of the groups in which some are left meet again by their rarest shingles.
         again = materialize(members.join(left.select("band").distinct(), "band", "left_semi").select("node").distinct(), "unled")
         rare = materialize(rare_shingles(texts.join(_small(again), "node", "left_semi")), "rare-shingles")
         more, _ = _lead(_grouped(rare, "rare-members"), verified)
         found = found.union(more)
-    return found
+    return found, again, rare
 
 
 def _lead(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
@@ -337,7 +357,7 @@ def _enough(common: Column, sizes: Column) -> Column:
 
 
 def rare_shingles(texts: DataFrame) -> DataFrame:
-    """(band, node, size, shared): the rarest shingles of each text among ``texts``, as hashes, that another text has too.
+    """(band, node, size, place, shared): the rarest shingles of each text among ``texts``, as hashes, that another text has too.
 
     They are the first n - ceil(0.8 n) + 1 of its n shingles in order of frequency,
     so texts of the similarity have one in common.  ``shared`` shingles of a text
@@ -358,7 +378,28 @@ def rare_shingles(texts: DataFrame) -> DataFrame:
     first = F.col("size") - F.ceil(F.col("size") * SIMILARITY[0] / SIMILARITY[1]) + 1
     placed = counted.withColumns({"place": place, "shared": F.count_if(F.col("df") > 1).over(own)}).filter((F.col("place") <= first) & (F.col("df") > 1))
     least = F.min("size").over(W.partitionBy("band"))
-    return placed.withColumn("least", least).filter(_enough(F.col("shared"), F.col("size") + F.col("least"))).select("band", "node", "size", "shared")
+    return placed.withColumn("least", least).filter(_enough(F.col("shared"), F.col("size") + F.col("least"))).select("band", "node", "size", "place", "shared")
+
+
+def _unlinked(rare: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different roots by ``linked`` (node, root) that may be similar by a shingle of ``rare_shingles``.
+
+    At the first shingle in common, texts have no more in common than that one and
+    those after it in either.  Of a band's rows, those of its largest root meet only
+    the others, so a group that is linked already is not joined to itself.
+    """
+    rows = rare.join(_small(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.withColumn("most", F.least(F.col("size") - F.col("place") + 1, "shared")).select("band", "node", "root", "size", "most")
+    rows = materialize(rows, "rooted-rare")
+    by_root = rows.groupBy("band", "root").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+    main = by_root.groupBy("band").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"), F.min("least").alias("least")).filter(F.col("roots") > 1)
+    rows = rows.join(main, "band").filter(_enough(F.col("most"), F.col("size") + F.col("least"))).withColumn("other", F.col("root") != F.col("main"))
+    rows = materialize(rows.select("band", "node", "root", "size", "most", "other"), "mixed-rare")
+    one, two = rows.filter("other").alias("x"), rows.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.other") | (F.col("x.node") < F.col("y.node")))
+    room = _enough(F.least("x.most", "y.most"), F.col("x.size") + F.col("y.size"))
+    met = one.join(two, (F.col("x.band") == F.col("y.band")) & apart & room)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def roots(docs: DataFrame) -> DataFrame:
@@ -373,15 +414,20 @@ def roots(docs: DataFrame) -> DataFrame:
     discard(rows)
 
     met = materialize(_met(signatures.withColumn("root", F.col("node")), count, GROUPING, _grouping, ["band", "node"]), "least-met")
-    grouped = links(signatures, met.union(met.select("band", F.col("band").alias("node"))).distinct())
+    grouped, crowd, rare = _links(signatures, met.union(met.select("band", F.col("band").alias("node"))).distinct())
 
-    # All segments, between texts that no link joins yet.
+    # All segments, between texts that no link joins yet; a crowd has met by its rarest shingles.
     linked = components(grouped)
-    rooted = signatures.select("node", "fp").join(_small(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = signatures.select("node", "fp", "size").join(_small(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if crowd is not None:
+        # Texts without shingles have no rare ones, so they meet as all others do.
+        rooted = rooted.join(_small(crowd.withColumn("in", F.lit(True))), "node", "left").withColumn("crowd", F.coalesce("in", F.lit(False)) & (F.col("size") > 0))
     pairs = materialize(_met(rooted, count, SEGMENTS, _crossing, ["a", "b"]), "crossing-pairs")
     sketches = [signatures.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab"]
     close = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= SKETCH_DIFFER
     pairs = materialize(pairs.join(sketches[0], "a").join(sketches[1], "b").filter(close).select("a", "b"), "close-pairs")
+    if rare is not None:
+        pairs = materialize(pairs.union(_unlinked(rare, linked)).distinct(), "close-pairs")
     near = materialize(_near(signatures, pairs), "near-pairs")
     nodes = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-texts")
     crossing = _verify(materialize(signatures.select("node", "text").join(_small(nodes), "node", "left_semi"), "near-texts"), near)

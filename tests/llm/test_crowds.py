@@ -19,7 +19,7 @@ def copies_with_edits(n, edits, seed=14):
 
 
 def test_near_copies_that_no_link_joins_make_few_pairs(spark, monkeypatch):
-    """Of 500 copies with up to 9 edits more than half are similar to none: as rows, pairs that met were most of 60,000."""
+    """Of 500 copies with up to 9 edits more than half are similar to none; as rows, 23,910 pairs met in all segments before."""
     made, plain = [], similar.materialize
     monkeypatch.setattr(similar, "materialize", lambda df, tag: (made.append(out.count()) if tag in ("crossing-pairs", "close-pairs") else None, out)[1] if (out := plain(df, tag)) else None)
     rows = list(dict.fromkeys(copies_with_edits(500, 9)))
